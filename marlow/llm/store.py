@@ -32,6 +32,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/marlow/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written can go now
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,3 +42,12 @@ def purge(spark: SparkSession) -> None:
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a materialised DataFrame that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
