@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, pii, substring_dedup
+from . import bpe, exact_dedup, ngram_join, pii, substring_dedup, token_files
+from .store import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file; MARLOW_TOKENIZERS names another folder to take it from."""
+    if folder := os.environ.get("MARLOW_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer()
+    both = bpe.bpe_decode(bpe.bpe_encode(_table(spark, sf_dir, "documents"), path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -31,11 +49,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "token-files")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), out, _tokenizer(), end_id=2)
+    return token_files.read_tokens(spark, out, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_bpe": op2_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES: dict[str, str] = {

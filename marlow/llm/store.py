@@ -26,12 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    path = f"{shared_dir(spark)}/marlow/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back with the same schema."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marlow/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written can go now
     return spark.read.schema(df.schema).parquet(path)
 
