@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, pii, substring_dedup, token_files
+from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, substring_dedup, token_files
 from .store import new_path
 
 
@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """A public tokenizer's file; MARLOW_TOKENIZERS names another folder to take it from."""
     if folder := os.environ.get("MARLOW_TOKENIZERS"):
         return os.path.join(folder, name)
@@ -30,12 +30,17 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer()
+    path = tokenizer_path()
     both = bpe.bpe_decode(bpe.bpe_encode(_table(spark, sf_dir, "documents"), path), path)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.col("hits.item_id").alias("item_ids"), F.array_min("hits.edits").alias("least_edits"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -49,18 +54,25 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token-files")
-    token_files.write_tokens(_table(spark, sf_dir, "documents"), out, _tokenizer(), end_id=2)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=2)
     return token_files.read_tokens(spark, out, with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
+    "op3_decontaminate": op3_decontaminate,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality": op7_quality,
     "op9_token_files": op9_token_files,
 }
 
