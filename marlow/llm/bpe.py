@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bounded import frequent
 from .store import materialise
 from .textnum import chunks, span_hashes
 
@@ -250,15 +251,8 @@ def _decode(path: str) -> Callable:
 def word_table(docs: DataFrame, path: str, text_col: str = "text", table_words: int = 1 << 19) -> Table:
     """Count the distinct words of all texts and encode each frequent one once."""
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialise(counts.select("word", "n", F.floor(F.log2("n") * 8).cast("int").alias("size")), "distinct-words")
-    room, least = table_words, None
-    for size, n in sorted(((r["size"], r["n"]) for r in counts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
-        room -= n
-        if room < 0:
-            break
-        least = size
-    frequent = counts.filter(F.col("size") >= least) if least is not None else counts.limit(0)
-    found = frequent.select("word").mapInArrow(_encode_table(path), "word binary, ids array<int>").toArrow()
+    counts = materialise(counts, "distinct-words")
+    found = frequent(counts, table_words).select("word").mapInArrow(_encode_table(path), "word binary, ids array<int>").toArrow()
     return Table(found.column("word"), found.column("ids"))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, pii, quality, substring_dedup, token_files
+from . import bpe, decontaminate, exact_dedup, lm_scoring, ngram_join, pii, quality, substring_dedup, token_files
 from .store import new_path
 
 
@@ -59,6 +59,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_all(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token-files")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=2)
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_token_files": op9_token_files,
 }
 
