@@ -29,6 +29,7 @@ from .store import materialise
 from .textnum import chunks, span_hashes
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
+HELD_WORDS = 1 << 20  # of chunks, before a task passes its distinct words on
 #: The endings that the byte-level pre-tokenizer splits off after an apostrophe.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
@@ -149,16 +150,31 @@ def gather(pieces: np.ndarray, at: np.ndarray, pick: np.ndarray) -> tuple[np.nda
 def _count(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = vocabulary(path).special
+
+        def merged(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            keys, counts, sizes = (np.concatenate([h[k] for h in held]) for k in range(3))
+            data = np.concatenate([h[3] for h in held])
+            _, place, owner = np.unique(keys, return_index=True, return_inverse=True)
+            n = np.bincount(owner, counts, minlength=len(place)).astype(np.int64)
+            ends = np.cumsum(sizes)
+            out, stops = _spans(data, (ends - sizes)[place], ends[place])
+            offsets = pa.py_buffer(np.append(0, stops).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(place), [None, offsets, pa.py_buffer(out.tobytes())]), pa.array(n)], ["word", "n"])
+
         for batch in batches:
-            for _, _, raw, at in chunks(batch.column(0), 1 << 23):
+            held: list[tuple[np.ndarray, ...]] = []
+            for _, _, raw, at in chunks(batch.column(0), 1 << 20):
                 first, _, which = split_words(raw, at, special)
                 ends = np.append(first[1:], len(raw))[: len(first)]
                 plain = which < 0
                 first, ends = first[plain], ends[plain]
-                _, place, n = np.unique(span_hashes(raw, first, ends), return_index=True, return_counts=True)
-                data, stops = gather(raw, np.append(first[place], 0), np.zeros(0, np.int64)) if not len(place) else _spans(raw, first[place], ends[place])
-                offsets = pa.py_buffer(np.append(0, stops).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(place), [None, offsets, pa.py_buffer(data.tobytes())]), pa.array(n)], ["word", "n"])
+                key, place, n = np.unique(span_hashes(raw, first, ends), return_index=True, return_counts=True)
+                held.append((key, n, (ends - first)[place], _spans(raw, first[place], ends[place])[0]))
+                if sum(len(h[0]) for h in held) > HELD_WORDS:
+                    yield merged(held)
+                    held = []
+            if held:
+                yield merged(held)
 
     return run
 
@@ -218,7 +234,7 @@ def _encode(path: str, table) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = vocabulary(path), table.value
         for batch in batches:
-            for first, end, raw, at in chunks(batch.column(1)):
+            for first, end, raw, at in chunks(batch.column(1), 1 << 20):
                 ids, rows = encode_chunk(own, known, raw, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
@@ -237,7 +253,7 @@ def _decode(path: str) -> Callable:
             flat = np.asarray(lists.flatten())
             k = 0
             while k < len(n):
-                end = max(k + 1, int(np.searchsorted(rows, rows[k] + (1 << 20), "right")) - 1)
+                end = max(k + 1, int(np.searchsorted(rows, rows[k] + (1 << 18), "right")) - 1)
                 data, stops = gather(pieces, at, flat[rows[k] : rows[end]])
                 cut = np.append(0, stops)[rows[k : end + 1] - rows[k]]
                 blob = data.tobytes()
