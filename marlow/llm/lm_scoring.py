@@ -31,6 +31,7 @@ from .store import materialise
 from .textnum import chunks, lower_ascii, mix, span_hashes, words
 
 HEAD = 1 << 18
+HELD_WORDS = 1 << 22  # of chunks, before a task passes its counts on
 CLASSES, ALONE = 32, 10
 BUCKETS = 1 << 15
 BATCH, RATE = 8192, 0.15
@@ -110,10 +111,20 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, raw, at in chunks(batch.column(0), 1 << 23):
+        held: list[np.ndarray] = []
+        for _, _, raw, at in chunks(batch.column(0), 1 << 20):
             starts, ends, _ = words(raw, at)
-            key, n = np.unique(span_hashes(lower_ascii(raw), starts, ends), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+            held.append(span_hashes(lower_ascii(raw), starts, ends))
+            if sum(map(len, held)) > HELD_WORDS:
+                yield _summed(held)
+                held = []
+        if held:
+            yield _summed(held)
+
+
+def _summed(held: list[np.ndarray]) -> pa.RecordBatch:
+    key, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
 def _learn(model) -> Callable:
@@ -122,7 +133,7 @@ def _learn(model) -> Callable:
         w, seen = own.weights.copy(), np.zeros(BUCKETS, np.float32)
         size = np.full(BUCKETS, 1e-2, np.float32)
         for batch in batches:
-            for _, _, raw, at in chunks(batch.column(0)):
+            for _, _, raw, at in chunks(batch.column(0), 1 << 20):
                 code, rows = tokens(raw, at)
                 _, _, kind = own.find(code, rows)
                 at3 = features(code, rows)
@@ -187,7 +198,7 @@ def _score(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row_id = model.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first, end, raw, at in chunks(batch.column(1)):
+            for first, end, raw, at in chunks(batch.column(1), 1 << 20):
                 code, rows = tokens(raw, at)
                 place, known, kind = own.find(code, rows)
                 at3 = features(code, rows)
