@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lm_scoring, ngram_join, pii, quality, substring_dedup, token_files
+from . import bpe, decontaminate, exact_dedup, licenses, lm_scoring, ngram_join, pii, quality, substring_dedup, token_files
 from .store import new_path
 
 
@@ -69,6 +69,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, out, with_ids=False)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_files": op9_token_files,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
