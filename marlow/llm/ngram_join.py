@@ -9,10 +9,10 @@ shingles, which few sets share, come first, empty ones last, and a set indexes o
 one-deletion neighbourhood instead.
 
 Equal sets are one node throughout. Sets that meet in a segment are not paired: they are dealt to
-blocks of about ``block`` sets that share their least neighbour, and each set visits the blocks it met
-someone in. A task holds one block's index and streams the visitors past it, counts every
-intersection exactly, and returns a spanning forest of the links and their number. Components then
-come from the forests, in Spark.
+blocks of about ``block`` sets that share their least neighbour, and of two blocks that met anywhere
+the sets of the smaller visit the larger. A task holds one block's index and streams the visitors past
+it, counts every intersection exactly, and returns a spanning forest of the links and their number.
+Components then come from the forests, in Spark.
 
 A set is named by a 64-bit hash of its content; shingles are 64-bit hashes of words.
 
@@ -282,10 +282,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = nodes.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     home = materialise(home.join(copies, "name"), "blocks")
 
-    at = met.select("key", "name").join(home.select("name", "block"), "name")
-    at = materialise(at, "met-blocks")
-    there = at.select("key", F.col("block").alias("there")).distinct()
-    visits = at.join(there, "key").filter("there > block").select("name", F.col("there").alias("block"), F.lit(1).alias("visiting")).distinct()
+    # Two blocks that meet under any key are neighbours; the sets of the smaller one visit the larger.
+    weighed = home.select("name", "block").join(home.groupBy("block").agg(F.count(F.lit(1)).alias("weight")), "block")
+    there = materialise(met.select("key", "name").join(weighed, "name").select("key", F.struct("weight", "block").alias("place")).distinct(), "met-blocks")
+    pairs = there.join(there.withColumnRenamed("place", "larger"), "key").filter("place < larger").select("place.block", F.col("larger.block").alias("there")).distinct()
+    visits = home.select("name", "block").join(pairs, "block").select("name", F.col("there").alias("block"), F.lit(1).alias("visiting"))
     stays = home.select("name", "block", F.lit(0).alias("visiting"))
     texts = docs.join(home.select(F.col("first_id").alias("doc_id"), "name", "copies"), "doc_id").select("name", "copies", "text")
     work = stays.unionByName(visits).join(texts, "name").select("block", "visiting", "name", "copies", "text")
