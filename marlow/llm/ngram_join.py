@@ -288,8 +288,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = there.join(there.withColumnRenamed("place", "larger"), "key").filter("place < larger").select("place.block", F.col("larger.block").alias("there")).distinct()
     visits = home.select("name", "block").join(pairs, "block").select("name", F.col("there").alias("block"), F.lit(1).alias("visiting"))
     stays = home.select("name", "block", F.lit(0).alias("visiting"))
-    texts = docs.join(home.select(F.col("first_id").alias("doc_id"), "name", "copies"), "doc_id").select("name", "copies", "text")
-    work = stays.unionByName(visits).join(texts, "name").select("block", "visiting", "name", "copies", "text")
+    texts = docs.join(home.select(F.col("first_id").alias("doc_id"), "name", "copies").hint("merge"), "doc_id").select("name", "copies", "text")
+    work = stays.unionByName(visits).join(texts.hint("merge"), "name").select("block", "visiting", "name", "copies", "text")
     work = work.repartition("block").sortWithinPartitions("block", "visiting", "name")
     found = materialise(work.mapInArrow(_verify(width, percent), "a long, b long, links long"), "links")
 
