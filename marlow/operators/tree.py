@@ -1,7 +1,7 @@
 """Document trees as node tables.
 
 A document becomes one row per element: ``pre`` (place in document order), ``last`` (place of its last
-descendant), parent, depth, tag, id, label and own text. Descent is then an interval test, the nearest
+descendant), parent, depth, tag, id, label, own text and whole text, its pieces set apart by blanks. Descent is then an interval test, the nearest
 of several nodes the least depth, a range an interval of ``pre``, and pruning a semi join, all of which
 Catalyst plans; only parsing and the path grammar are Python, in Arrow batches.
 """
@@ -49,7 +49,7 @@ def parse(xml: str | None) -> list[dict]:
         element, parent, depth = top
         pre = len(out)
         child = next((c for c in element if isinstance(c.tag, str) and _tag(c) == "label"), None)
-        out.append({"pre": pre, "last": pre, "parent": parent, "depth": depth, "tag": _tag(element), "node_id": element.get("id"), "label": norm_label("".join(child.itertext())) if child is not None else None, "text": (element.text or "").strip(), "string_value": re.sub(r"\s+", " ", "".join(element.itertext())).strip(), "href": element.get("href")})
+        out.append({"pre": pre, "last": pre, "parent": parent, "depth": depth, "tag": _tag(element), "node_id": element.get("id"), "label": norm_label("".join(child.itertext())) if child is not None else None, "text": (element.text or "").strip(), "string_value": re.sub(r"\s+", " ", " ".join(element.itertext())).strip(), "href": element.get("href")})
         stack.append(pre)
         stack.extend((c, pre, depth + 1) for c in reversed(element) if isinstance(c.tag, str))
     return out
@@ -218,8 +218,8 @@ def outline(nodes: DataFrame) -> DataFrame:
 
 def without(nodes: DataFrame, tags: set[str]) -> DataFrame:
     """The nodes outside all elements of the given tags."""
-    gone = nodes.filter(F.col("tag").isin(*tags)).select("doc_id", F.col("pre").alias("lo"), F.col("last").alias("hi"))
-    hit = (nodes["doc_id"] == gone["doc_id"]) & (nodes["pre"] >= gone["lo"]) & (nodes["pre"] <= gone["hi"])
+    gone = nodes.filter(F.col("tag").isin(*tags)).select(F.col("doc_id").alias("of"), F.col("pre").alias("lo"), F.col("last").alias("hi"))
+    hit = (F.col("doc_id") == F.col("of")) & (F.col("pre") >= F.col("lo")) & (F.col("pre") <= F.col("hi"))
     return nodes.join(gone, hit, "left_anti")
 
 
@@ -243,8 +243,8 @@ def best_definition(nodes: DataFrame, text: str) -> DataFrame:
 def parts(nodes: DataFrame) -> DataFrame:
     """(doc_id, num, pre, title): the outermost provisions and schedules, numbered in order."""
     top = nodes.filter(F.col("tag").isin("prov", "schedule"))
-    over = top.select("doc_id", F.col("pre").alias("lo"), F.col("last").alias("hi"))
-    inner = (top["doc_id"] == over["doc_id"]) & (top["pre"] > over["lo"]) & (top["pre"] <= over["hi"])
+    over = top.select(F.col("doc_id").alias("of"), F.col("pre").alias("lo"), F.col("last").alias("hi"))
+    inner = (F.col("doc_id") == F.col("of")) & (F.col("pre") > F.col("lo")) & (F.col("pre") <= F.col("hi"))
     outer = top.join(over, inner, "left_anti")
     heads = nodes.filter("tag = 'heading'").select("doc_id", F.col("parent").alias("pre"), F.col("string_value").alias("title"))
     numbered = outer.withColumn("num", F.row_number().over(W.partitionBy("doc_id").orderBy("pre")) - 1)
