@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 PAGE_LEFT, PAGE_RIGHT, CENTER = 72.0, 523.0, 297.5
 NEAR, GAP_FACTOR, SUPERSCRIPT = 3.0, 1.5, 0.8
 
-ORDER = ["page", F.desc("top"), "left"]
+
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
     """Line numbers by page, from the top down, then from the left."""
-    return boxes.withColumn("line_no", F.row_number().over(W.partitionBy("doc_id").orderBy(*ORDER)) - 1)
+    return boxes.withColumn("line_no", F.row_number().over(W.partitionBy("doc_id").orderBy("page", F.desc("top"), "left")) - 1)
 
 
 def left_aligned() -> Column:
