@@ -7,7 +7,8 @@ regression is trained here, by gradient steps that are joins and aggregates, on
 each with whole sentences and with words left out; a temperature, chosen on the variants that the
 training did not see, calibrates the probabilities. A predicted family is confirmed where the paragraph
 also holds enough of the word pairs of one of its templates, else it is reported as unknown; where no
-class reaches the probability ``sure``, or *none* does, the paragraph is no notice.
+class reaches the probability ``sure``, or *none* does, the paragraph is no notice, nor is one that
+names a licence, a word of other meanings too, without being confirmed.
 
 The feature weights are a table of a bounded size, the n-grams of the templates, so joining it never
 moves the paragraphs.
@@ -85,8 +86,9 @@ TEMPLATES = {
         "They granted the visitors permission to take pictures.",
     ],
 }
-CUES = r"(?i:licen[cs]|copyright|warrant|permission|permitted|redistribut|all rights reserved|creative commons|public domain|free software|mozilla|apache|proprietary)|\b(?:CC0|CC[ -]BY|GNU|MIT|BSD)\b"
-VARIANTS, STEPS, RATE = 12, 8, 10.0
+GENERAL = r"(?i:licen[cs]|copyright|warrant|permission|permitted|redistribut|all rights reserved|creative commons|public domain|free software|mozilla|apache|proprietary)"
+CUES = GENERAL + r"|\b(?:CC0|CC[ -]BY|GNU|MIT|BSD)\b"  # the names alone are words of some language too
+VARIANTS, STEPS, RATE = 12, 5, 6.0
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0]
 
 
@@ -133,29 +135,34 @@ def _features(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def train(spark: SparkSession) -> tuple[DataFrame, float]:
-    """(weights: gram, class, w; temperature)."""
-    samples = materialise(_samples(spark), "licence-samples")
-    seen = samples.filter("not unseen")
-    features = materialise(_features(seen, ["sample", "family"]), "licence-features")
+    """(weights: gram, class, w; temperature).
+
+    The tables are those of the templates, so each step runs in one partition without an exchange. The
+    first weights are smoothed log counts of the n-grams by class; gradient steps of the softmax
+    regression go on from there.
+    """
+    samples = materialise(_samples(spark).coalesce(1), "licence-samples").coalesce(1)
+    features = materialise(_features(samples.filter("not unseen"), ["sample", "family"]), "licence-features").coalesce(1)
+    share = features.groupBy("family").agg(F.countDistinct("sample").alias("of_family"))
+    features = materialise(features.join(F.broadcast(share), "family"), "licence-features").coalesce(1)
     classes = F.array(*map(F.lit, TEMPLATES))
-    share = features.select("sample", "family").distinct().groupBy("family").agg(F.count(F.lit(1)).alias("of_family"))
-    features = materialise(features.join(share, "family"), "licence-features")
-    weights = materialise(features.select("gram").distinct().select("gram", F.explode(classes).alias("class"), F.lit(0.0).alias("w")), "licence-weights")
+    counted = features.groupBy("gram", F.col("family").alias("class")).agg((F.count(F.lit(1)) / F.first("of_family")).alias("rate"))
+    grid = features.select("gram").distinct().select("gram", F.explode(classes).alias("class"))
+    first = F.log(F.coalesce("rate", F.lit(0.0)) + 0.05)
+    weights = grid.join(F.broadcast(counted), ["gram", "class"], "left").select("gram", "class", first.alias("w"))
+    weights = materialise(weights, "licence-weights").coalesce(1)
     for _ in range(STEPS):
         p = _softmax(_scores(features, weights, ["sample"]), ["sample"]).select("sample", F.explode("ps").alias("s")).select("sample", "s.class", "s.p")
         slope = features.join(F.broadcast(p), "sample")
         miss = (F.col("family") == F.col("class")).cast("double") - F.col("p")
         slope = slope.groupBy("gram", "class").agg(F.sum(miss / F.sqrt("n") / F.col("of_family")).alias("g"))
-        weights = materialise(weights.join(slope, ["gram", "class"], "left").select("gram", "class", (F.col("w") * 0.999 + RATE * F.coalesce("g", F.lit(0.0))).alias("w")), "licence-weights")
-    unseen = _scores(_features(samples.filter("unseen"), ["sample", "family"]), weights, ["sample", "family"])
-    loss = []
+        weights = materialise(weights.join(F.broadcast(slope), ["gram", "class"], "left").select("gram", "class", (F.col("w") * 0.999 + RATE * F.coalesce("g", F.lit(0.0))).alias("w")), "licence-weights").coalesce(1)
+    scored = materialise(_scores(_features(samples.filter("unseen"), ["sample", "family"]), weights, ["sample", "family"]), "licence-scores").coalesce(1)
+    union = None
     for t in TEMPERATURES:
         own = F.filter("ps", lambda s: s["class"] == F.col("family"))
-        ps = _softmax(unseen, ["sample", "family"], t)
-        loss.append(ps.select(F.lit(t).alias("t"), (-F.log(F.greatest(F.element_at(own, 1)["p"], F.lit(1e-9)))).alias("l")))
-    union = loss[0]
-    for more in loss[1:]:
-        union = union.unionByName(more)
+        loss = _softmax(scored, ["sample", "family"], t).select(F.lit(t).alias("t"), (-F.log(F.greatest(F.element_at(own, 1)["p"], F.lit(1e-9)))).alias("l"))
+        union = loss if union is None else union.unionByName(loss)
     best = union.groupBy("t").agg(F.avg("l").alias("l")).orderBy("l", "t").first()
     return weights, float(best["t"]) if best else 1.0
 
@@ -167,17 +174,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("text").rlike(CUES))
     lines = rows.select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(CUES))
     key = ["doc_id", "copy", "paragraph"]
-    lines = materialise(lines.select(*key, _grams(_words(F.col("line"))).alias("grams")), "licence-lines")
+    lines = materialise(lines.select(*key, F.col("line").rlike(GENERAL).alias("general"), _grams(_words(F.col("line"))).alias("grams")), "licence-lines")
     top = _softmax(_scores(_features(lines, key), weights, key), key, temperature).select(*key, F.element_at("ps", 1).alias("s"))
 
     pairs = [f"('{f}', '{t.replace(chr(39), chr(39) * 2)}')" for f, ts in TEMPLATES.items() if f not in ("none", "unknown") for t in ts]
     known = spark.sql(f"SELECT * FROM VALUES {', '.join(pairs)} AS t(family, text)")
     known = known.groupBy("family").agg(F.collect_list(F.filter(_grams(_words(F.col("text"))), lambda g: g.contains(" "))).alias("templates"))
-    judged = top.join(lines, key).select(*key, "grams", F.col("s.class").alias("family"), F.col("s.p").alias("probability")).filter(F.col("probability") >= sure).filter("family <> 'none'")
+    judged = top.join(lines, key).select(*key, "general", "grams", F.col("s.class").alias("family"), F.col("s.p").alias("probability")).filter(F.col("probability") >= sure).filter("family <> 'none'")
     judged = judged.join(F.broadcast(known), "family", "left")
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.greatest(F.size(t), F.lit(1))))
     confirmed = F.coalesce(share >= alike, F.lit(False))
-    return judged.select("doc_id", "copy", "paragraph", F.when(confirmed, F.col("family")).otherwise("unknown").alias("family"), F.col("probability"), confirmed.alias("confirmed"))
+    judged = judged.withColumn("confirmed", confirmed).filter("confirmed or general")
+    confirmed = F.col("confirmed")
+    return judged.select("doc_id", "copy", "paragraph", F.when(confirmed, F.col("family")).otherwise("unknown").alias("family"), F.col("probability"), confirmed)
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
