@@ -17,14 +17,14 @@ import numpy as np
 
 MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, alphabet, words, crc of ids, crc of payload
-LANES, LANE_IDS = 2048, 64
+LANES, LANE_IDS = 8192, 64
 _U = np.uint64
 MASK, TOP, BOTTOM = _U((1 << 48) - 1), _U(1 << 32), _U(1 << 24)
 W16, W32 = _U(16), _U(32)
 TOTAL = 1 << 22  # of the order-0 shares
 EVERY = 4  # steps between two sums of the order-0 counts
 GAIN = 24  # of an order-0 count by one occurrence
-SLOTS2 = 1 << 18
+SLOTS2 = 1 << 16
 SURE = 7  # the highest confidence
 
 
@@ -34,9 +34,9 @@ class Model:
     def __init__(self, lanes: int, alphabet: int) -> None:
         self.alphabet = alphabet
         self.count = np.ones(alphabet, np.int64)
-        self.id1, self.sure1 = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
-        self.id2, self.sure2 = np.zeros(SLOTS2, np.int64), np.zeros(SLOTS2, np.int64)
-        self.odds1, self.odds2 = (np.tile(np.array([1, 1, 2], np.int64), (SURE + 1, 2, 1)) for _ in range(2))
+        self.id1, self.sure1 = np.zeros(alphabet, np.int32), np.zeros(alphabet, np.uint8)
+        self.id2, self.sure2 = np.zeros(SLOTS2, np.int32), np.zeros(SLOTS2, np.uint8)
+        self.odds1, self.odds2 = (np.tile(np.array([1, 1, 2], np.int64), (2 * (SURE + 1), 1)) for _ in range(2))
         self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.steps = 0
         self.weigh()
@@ -51,16 +51,17 @@ class Model:
         self.slot = ((self.last2 * 0x9E3779B1 + self.last1 * 0x85EBCA6B) >> 7) & (SLOTS2 - 1)
         self.two, self.one = self.id2[self.slot], self.id1[self.last1]
         self.at2, self.at1 = self.sure2[self.slot], self.sure1[self.last1]
-        self.agree = (self.two == self.one).astype(np.int64)
-        odds = self.odds2[self.at2, self.agree] + self.odds1[self.at1, self.agree]
-        odds[:, 1] *= 1 - self.agree  # order 1 adds nothing where it says the same
+        self.agree = (self.two == self.one).astype(np.uint8)
+        self.in2, self.in1 = (2 * at + self.agree for at in (self.at2, self.at1))
+        odds = self.odds2[self.in2] + self.odds1[self.in1]
+        odds[self.agree == 1, 1] = 0  # order 1 adds nothing where it says the same
         return self.two, self.one, odds
 
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        np.add.at(self.odds2, (self.at2, self.agree, choice), 2)
-        np.add.at(self.odds1, (self.at1, self.agree, choice), 2)
+        for odds, at in ((self.odds2, self.in2), (self.odds1, self.in1)):
+            odds += 2 * np.bincount(3 * at.astype(np.int64) + choice, minlength=odds.size).reshape(odds.shape)
         if self.steps % 32 == 31:
-            self.odds1, self.odds2 = (np.maximum(x >> (x.sum(2, keepdims=True) > 1 << 16), 1) for x in (self.odds1, self.odds2))
+            self.odds1, self.odds2 = (np.maximum(x >> (x.sum(1, keepdims=True) > 1 << 16), 1) for x in (self.odds1, self.odds2))
         for table, sure, slot, at, said in ((self.id2, self.sure2, self.slot, self.at2, self.two), (self.id1, self.sure1, self.last1, self.at1, self.one)):
             right = said == ids
             sure[slot] = np.where(right, np.minimum(at + 1, SURE), at >> 1)
@@ -184,7 +185,7 @@ def decode_block(block: bytes) -> np.ndarray:
         v = coder.ask(slice(None), ends[:, 2])
         choice = (v >= ends[:, 0]).astype(np.int64) + (v >= ends[:, 1])
         coder.take(slice(None), ends[every, choice] - odds[every, choice], odds[every, choice])
-        now = np.where(choice == 0, two, one)
+        now = np.where(choice == 0, two, one).astype(np.int64)
         miss = np.flatnonzero(choice == 2)
         if len(miss):
             x = np.searchsorted(model.cum, coder.ask(miss, TOTAL), "right") - 1

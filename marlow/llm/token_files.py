@@ -27,7 +27,7 @@ from . import bpe
 from .range_coder import decode_block, encode_block
 from .textnum import chunks
 
-RECORD_IDS = 1 << 18
+RECORD_IDS = 1 << 20
 _RECORD = "part int, before long, n_ids long, doc_ids array<{0}>, lengths array<long>, blocks array<binary>"
 
 
