@@ -1,26 +1,31 @@
 """License scans: a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line of a text. Those with a cue word of licensing are candidates; each is turned into
-its distinct words and word pairs, and a softmax regression over them, ``FAMILIES`` plus *unknown* (a
-notice of no known family) plus *none* (no notice at all), gives a family and a probability. The
-regression is trained here, by gradient steps that are joins and aggregates, on the templates below,
+Notices are found however they are wrapped. The word pairs of a text, line breaks and comment marks as
+spaces, meet those of the templates in a join; where enough pairs of a template lie close together, the
+lines they are on, joined, are one candidate. Of the other lines, those with a cue word of licensing are
+candidates, and so are the runs of lines that go on without a sentence's end where they hold one; a run
+that is a notice counts once, in place of its lines. A candidate is turned into its distinct words and
+word pairs, and a softmax regression over them, the families plus *unknown* (a notice of no known
+family) plus *none* (no notice at all), gives a family and a probability. The regression is trained here, by gradient steps that are joins and aggregates, on the templates below,
 each with whole sentences and with words left out; a temperature, chosen on the variants that the
-training did not see, calibrates the probabilities. A predicted family is confirmed where the paragraph
+training did not see, calibrates the probabilities. A predicted family is confirmed where the candidate
 also holds enough of the word pairs of one of its templates, else it is reported as unknown; where no
-class reaches the probability ``sure``, or *none* does, the paragraph is no notice, nor is one that
+class reaches the probability ``sure``, or *none* does, the candidate is no notice, nor is one that
 names a licence, a word of other meanings too, without being confirmed.
 
 The feature weights are a table of a bounded size, the n-grams of the templates, so joining it never
-moves the paragraphs.
+moves the candidates. Words of texts without a cue are never shuffled.
 
-Edge cases: a null or empty text has no paragraph; equal paragraphs of one document count separately;
+Edge cases: a null or empty text has no notice; equal notices of one document count separately;
 rows that repeat an identifier are told apart by their text; an empty table gives an empty result;
 further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import materialise
@@ -86,7 +91,7 @@ TEMPLATES = {
         "They granted the visitors permission to take pictures.",
     ],
 }
-GENERAL = r"(?i:licen[cs]|copyright|warrant|permission|permitted|redistribut|all rights reserved|creative commons|public domain|free software|mozilla|apache|proprietary)"
+GENERAL = r"(?i:licen[cs]|copyright|warrant|permission|permitted|redistribut|all\W+rights\W+reserved|creative\W+commons|public\W+domain|free\W+software|mozilla|apache|proprietary)"
 CUES = GENERAL + r"|\b(?:CC0|CC[ -]BY|GNU|MIT|BSD)\b"  # the names alone are words of some language too
 VARIANTS, STEPS, RATE = 12, 5, 6.0
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0]
@@ -167,24 +172,93 @@ def train(spark: SparkSession) -> tuple[DataFrame, float]:
     return weights, float(best["t"]) if best else 1.0
 
 
+def _known(spark: SparkSession, families: set[str]) -> DataFrame:
+    """(family, number, pairs): the word pairs of the templates of some families."""
+    rows = [f"('{f}', {i}, '{t.replace(chr(39), chr(39) * 2)}')" for f, ts in TEMPLATES.items() if f in families for i, t in enumerate(ts)]
+    known = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(family, number, text)")
+    return known.select("family", "number", F.filter(_grams(_words(F.col("text"))), lambda g: g.contains(" ")).alias("pairs"))
+
+
+#: Spans of words: pairs matched, negative length, first pair and last pair.
+SPANS = "array<struct<n:int,less:int,start:int,stop:int>>"
+
+
+def _best(spans: str) -> Column:
+    """Of spans that overlap those with most pairs, then the shortest, in order of place."""
+    def step(acc: Column, x: Column) -> Column:
+        met = F.exists(acc, lambda y: (y["start"] <= x["stop"]) & (x["start"] <= y["stop"]))
+        return F.when(met, acc).otherwise(F.concat(acc, F.array(x)))
+
+    taken = F.aggregate(F.sort_array(spans, asc=False), F.expr(f"cast(array() as {SPANS})"), step)
+    return F.array_sort(taken, lambda x, y: x["start"] - y["start"])
+
+
+def _spans(texts: DataFrame, alike: float) -> DataFrame:
+    """(row, spans): where a text holds enough of a template's pairs within twice its length, by place of words."""
+    known = _known(texts.sparkSession, set(TEMPLATES) - {"none"}).select("family", "number", F.size("pairs").alias("size"), F.explode("pairs").alias("gram"))
+    at = F.sequence(F.lit(0), F.size("words") - 2)
+    pairs = texts.filter(F.size("words") > 1).select("row", F.posexplode(F.transform(at, lambda i: F.concat_ws(" ", F.get("words", i)["word"], F.get("words", i + 1)["word"]))).alias("at", "gram"))
+    hits = pairs.join(F.broadcast(known), "gram").withColumn("scaled", (F.col("at") * 1000 / (2 * F.col("size") + 8)).cast("long"))
+    near = Window.partitionBy("row", "family", "number").orderBy("scaled").rangeBetween(0, 1000)
+    hits = hits.select("row", "family", "number", "size", "at", F.array_sort(F.collect_list(F.struct("at", "gram")).over(near)).alias("near"))
+    hits = hits.withColumn("grams", F.transform("near", lambda x: x["gram"]))
+    firsts = F.filter("near", lambda x, i: F.array_position("grams", x["gram"]) == i + 1)
+    hits = hits.select("row", "family", "number", "size", F.col("at").alias("start"), firsts.alias("firsts")).filter(F.size("firsts") >= alike * F.col("size"))
+    stop = F.element_at("firsts", -1)["at"]
+    each = F.struct(F.size("firsts").alias("n"), (F.col("start") - stop).alias("less"), "start", stop.alias("stop"))
+    best = hits.groupBy("row", "family", "number").agg(F.collect_list(each).alias("spans")).select("row", F.explode(_best("spans")).alias("span"))
+    return best.groupBy("row").agg(F.collect_list("span").alias("spans")).select("row", _best("spans").alias("spans"))
+
+
+def _candidates(docs: DataFrame, alike: float) -> DataFrame:
+    """(doc_id, copy, row, paragraph, part, run, whole, general, grams): spans of templates, runs of lines and lines.
+
+    ``run`` is null for spans of templates, ``whole`` says that a run is meant and not a line of it.
+    """
+    rows = docs.filter(F.col("text").rlike(CUES)).withColumn("copy", F.xxhash64("text")).groupBy("doc_id", "copy").agg(F.first("text").alias("text"))
+    clean = lambda line: F.regexp_replace(line, r"^\s*(?i:rem|dnl|--+)(?=\s)", "")
+    lines = F.transform(F.split("text", "\n"), lambda s: F.struct(F.transform(_words(clean(s)), lambda w: F.regexp_replace(w, r"\.+$", "")).alias("ws"), s.rlike(CUES).alias("cue"), s.rlike(GENERAL).alias("general"), s.rlike(r"[.:!?][^\p{L}\p{N}]*$").alias("ends")))
+    rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "copy", lines.alias("lines")), "licence-lines")
+    texts = rows.select("row", "doc_id", "copy", "lines", F.flatten(F.transform("lines", lambda s, i: F.transform(s["ws"], lambda w: F.struct(i.alias("line"), w.alias("word"))))).alias("words"))
+    texts = texts.join(_spans(texts, alike), "row", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))
+    at = lambda i: F.get("words", i)["line"]
+    ranges = F.transform("spans", lambda s, k: F.struct(at(s["start"]).alias("first"), at(s["stop"] + 1).alias("last"), F.coalesce(F.get("spans", k - 1)["stop"] + 1, F.lit(-1)).alias("after"), F.coalesce(F.get("spans", k + 1)["start"], F.size("words")).alias("before")))
+    texts = materialise(texts.withColumn("ranges", ranges), "licence-texts")
+    key = ["doc_id", "copy", "row"]
+
+    found = texts.select(*key, "words", F.posexplode("ranges").alias("part", "r"))
+    inside = F.filter("words", lambda w, i: (w["line"] >= F.col("r.first")) & (w["line"] <= F.col("r.last")) & (i > F.col("r.after")) & (i < F.col("r.before")))
+    found = found.select(*key, F.col("r.first").alias("paragraph"), "part", F.lit(None).cast("long").alias("run"), F.lit(False).alias("whole"), F.lit(True).alias("general"), F.transform(inside, lambda w: w["word"]).alias("ws"))
+
+    rest = texts.select(*key, "ranges", F.posexplode("lines").alias("paragraph", "line"))
+    rest = rest.select(*key, "paragraph", "line.*", (F.exists("ranges", lambda r: (F.col("paragraph") >= r["first"]) & (F.col("paragraph") <= r["last"])) | (F.size("line.ws") == 0)).alias("apart"))
+    ordered = Window.partitionBy("row").orderBy("paragraph")
+    rest = rest.withColumn("fresh", F.coalesce(F.lag("apart").over(ordered) | F.lag("ends").over(ordered) | F.col("apart"), F.lit(True)))
+    rest = rest.withColumn("run", F.sum(F.col("fresh").cast("long")).over(ordered)).filter("not apart")
+    runs = rest.groupBy(*key, "run").agg(F.array_sort(F.collect_list(F.struct("paragraph", "ws", "cue", "general"))).alias("lines"))
+    runs = runs.withColumn("ws", F.flatten(F.transform("lines", lambda s: s["ws"]))).withColumn("general", F.concat_ws(" ", "ws").rlike(GENERAL))
+    runs = materialise(runs.filter(F.col("general") | F.exists("lines", lambda s: s["cue"])), "licence-runs")
+    single = runs.select(*key, "run", F.explode(F.filter("lines", lambda s: s["cue"])).alias("s")).select(*key, "s.paragraph", F.lit(0).alias("part"), "run", F.lit(False).alias("whole"), "s.general", "s.ws")
+    runs = runs.filter(F.size("lines") > 1).select(*key, F.col("lines")[0]["paragraph"].alias("paragraph"), F.lit(0).alias("part"), "run", F.lit(True).alias("whole"), "general", "ws")
+    out = found.unionByName(single).unionByName(runs)
+    return out.select(*key, "paragraph", "part", "run", "whole", "general", _grams(F.col("ws")).alias("grams"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.5, alike: float = 0.6) -> DataFrame:
-    """A row for each licence notice: doc_id, paragraph, family, probability, confirmed."""
+    """A row for each licence notice: doc_id, copy, paragraph (its first line), family, probability, confirmed."""
     spark = docs.sparkSession
     weights, temperature = train(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("text").rlike(CUES))
-    lines = rows.select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(CUES))
-    key = ["doc_id", "copy", "paragraph"]
-    lines = materialise(lines.select(*key, F.col("line").rlike(GENERAL).alias("general"), _grams(_words(F.col("line"))).alias("grams")), "licence-lines")
-    top = _softmax(_scores(_features(lines, key), weights, key), key, temperature).select(*key, F.element_at("ps", 1).alias("s"))
-
-    pairs = [f"('{f}', '{t.replace(chr(39), chr(39) * 2)}')" for f, ts in TEMPLATES.items() if f not in ("none", "unknown") for t in ts]
-    known = spark.sql(f"SELECT * FROM VALUES {', '.join(pairs)} AS t(family, text)")
-    known = known.groupBy("family").agg(F.collect_list(F.filter(_grams(_words(F.col("text"))), lambda g: g.contains(" "))).alias("templates"))
-    judged = top.join(lines, key).select(*key, "general", "grams", F.col("s.class").alias("family"), F.col("s.p").alias("probability")).filter(F.col("probability") >= sure).filter("family <> 'none'")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lines = materialise(_candidates(docs, alike).withColumn("place", F.monotonically_increasing_id()), "licence-candidates")
+    top = _softmax(_scores(_features(lines, ["place"]), weights, ["place"]), ["place"], temperature).select("place", F.element_at("ps", 1).alias("s"))
+
+    known = _known(spark, set(TEMPLATES) - {"none", "unknown"}).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
+    judged = lines.join(top, "place").select("*", F.col("s.class").alias("family"), F.col("s.p").alias("probability")).filter(F.col("probability") >= sure).filter("family <> 'none'")
     judged = judged.join(F.broadcast(known), "family", "left")
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.greatest(F.size(t), F.lit(1))))
     confirmed = F.coalesce(share >= alike, F.lit(False))
     judged = judged.withColumn("confirmed", confirmed).filter("confirmed or general")
+    judged = judged.withColumn("run_counts", F.coalesce(F.max("whole").over(Window.partitionBy("row", "run")) & F.col("run").isNotNull(), F.lit(False))).filter("whole or not run_counts")
     confirmed = F.col("confirmed")
     return judged.select("doc_id", "copy", "paragraph", F.when(confirmed, F.col("family")).otherwise("unknown").alias("family"), F.col("probability"), confirmed)
 

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -281,3 +282,22 @@ def test_licenses(spark, none):
     assert {k: r.families for k, r in got.items()} == lines
     assert got[8].n_notices == 2
     assert licenses.scan_documents(none).count() == 0
+
+
+def test_licenses_wrapped_at_any_width(spark):
+    """A notice keeps its family however its lines are broken, in comments too, and counts once."""
+    notices = {
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    }
+    rows = []
+    for family, notice in notices.items():
+        for width in (24, 40, 72, 400):
+            for mark in ("", " * ", "# ", "// "):
+                wrapped = "\n".join(mark + s for s in textwrap.wrap(notice, width))
+                rows += [(len(rows), family, wrapped), (len(rows) + 1, family, f"{mark}The river ran over stones.\n{wrapped}\n{mark}And people came late.")]
+    docs = spark.createDataFrame(rows, "doc_id long, family string, text string")
+    got = {r.doc_id: (r.families, r.n_notices) for r in licenses.scan_documents(docs).collect()}
+    assert got == {i: ([family], 1) for i, family, _ in rows}
