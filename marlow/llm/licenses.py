@@ -9,9 +9,10 @@ word pairs, and a softmax regression over them, the families plus *unknown* (a n
 family) plus *none* (no notice at all), gives a family and a probability. The regression is trained here, by gradient steps that are joins and aggregates, on the templates below,
 each with whole sentences and with words left out; a temperature, chosen on the variants that the
 training did not see, calibrates the probabilities. A predicted family is confirmed where the candidate
-also holds enough of the word pairs of one of its templates, else it is reported as unknown; where no
-class reaches the probability ``sure``, or *none* does, the candidate is no notice, nor is one that
-names a licence, a word of other meanings too, without being confirmed.
+also holds enough of the word pairs of one of its templates, or is a template of one word and nothing
+else; otherwise it is reported as unknown. Where no class reaches the probability ``sure``, or *none*
+does, the candidate is no notice. Names that are words of other meanings too, such as MIT, are told
+apart by the words beside them, for *none* has templates of capitalised prose.
 
 The feature weights are a table of a bounded size, the n-grams of the templates, so joining it never
 moves the candidates. Words of texts without a cue are never shuffled.
@@ -37,12 +38,17 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License 2.0",
+        "Apache-2.0",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 3-Clause License",
+        "BSD-3-Clause",
+        "BSD",
     ],
     "cc": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -51,6 +57,9 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
         "To the extent possible under law, the author has waived all copyright under CC0, the Creative Commons public domain dedication.",
+        "CC BY 4.0",
+        "CC0 1.0 Universal",
+        "CC0",
     ],
     "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
@@ -58,6 +67,8 @@ TEMPLATES = {
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU GPL v3 or later",
+        "GNU GPL",
     ],
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
@@ -65,6 +76,9 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
+        "The MIT License (MIT)",
+        "MIT License",
+        "MIT",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -89,11 +103,17 @@ TEMPLATES = {
         "He wrote about copyright in the modern age and what readers think of it.",
         "A fishing license costs little in the northern counties.",
         "They granted the visitors permission to take pictures.",
+        "DIE KINDER GEHEN MIT DEM HUND IN DEN WALD.",
+        "ER KAM MIT DER BAHN UND MIT SEINEM BRUDER AUS DER STADT.",
+        "MIT DIESEM ZUG FÄHRT SIE NICHT NACH HAUSE.",
+        "SIE SPRICHT MIT IHM ÜBER DAS BUCH, DAS ER LIEST.",
+        "WIR WAREN MIT EINEM FREUND IM GARTEN.",
+        "DAS HAUS MIT DEN FENSTERN IST FÜR ALLE ZU GROSS.",
     ],
 }
 GENERAL = r"(?i:licen[cs]|copyright|warrant|permission|permitted|redistribut|all\W+rights\W+reserved|creative\W+commons|public\W+domain|free\W+software|mozilla|apache|proprietary)"
-CUES = GENERAL + r"|\b(?:CC0|CC[ -]BY|GNU|MIT|BSD)\b"  # the names alone are words of some language too
-VARIANTS, STEPS, RATE = 12, 5, 6.0
+CUES = GENERAL + r"|\b(?:CC0|CC[ -]BY|GNU|MIT|BSD)\b"
+VARIANTS, STEPS, RATE = 12, 8, 6.0
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0]
 
 
@@ -211,13 +231,13 @@ def _spans(texts: DataFrame, alike: float) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, alike: float) -> DataFrame:
-    """(doc_id, copy, row, paragraph, part, run, whole, general, grams): spans of templates, runs of lines and lines.
+    """(doc_id, copy, row, paragraph, part, run, whole, grams): spans of templates, runs of lines and lines.
 
     ``run`` is null for spans of templates, ``whole`` says that a run is meant and not a line of it.
     """
     rows = docs.filter(F.col("text").rlike(CUES)).withColumn("copy", F.xxhash64("text")).groupBy("doc_id", "copy").agg(F.first("text").alias("text"))
     clean = lambda line: F.regexp_replace(line, r"^\s*(?i:rem|dnl|--+)(?=\s)", "")
-    lines = F.transform(F.split("text", "\n"), lambda s: F.struct(F.transform(_words(clean(s)), lambda w: F.regexp_replace(w, r"\.+$", "")).alias("ws"), s.rlike(CUES).alias("cue"), s.rlike(GENERAL).alias("general"), s.rlike(r"[.:!?][^\p{L}\p{N}]*$").alias("ends")))
+    lines = F.transform(F.split("text", "\n"), lambda s: F.struct(F.transform(_words(clean(s)), lambda w: F.regexp_replace(w, r"\.+$", "")).alias("ws"), s.rlike(CUES).alias("cue"), s.rlike(r"[.:!?][^\p{L}\p{N}]*$").alias("ends")))
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "copy", lines.alias("lines")), "licence-lines")
     texts = rows.select("row", "doc_id", "copy", "lines", F.flatten(F.transform("lines", lambda s, i: F.transform(s["ws"], lambda w: F.struct(i.alias("line"), w.alias("word"))))).alias("words"))
     texts = texts.join(_spans(texts, alike), "row", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))
@@ -228,20 +248,20 @@ def _candidates(docs: DataFrame, alike: float) -> DataFrame:
 
     found = texts.select(*key, "words", F.posexplode("ranges").alias("part", "r"))
     inside = F.filter("words", lambda w, i: (w["line"] >= F.col("r.first")) & (w["line"] <= F.col("r.last")) & (i > F.col("r.after")) & (i < F.col("r.before")))
-    found = found.select(*key, F.col("r.first").alias("paragraph"), "part", F.lit(None).cast("long").alias("run"), F.lit(False).alias("whole"), F.lit(True).alias("general"), F.transform(inside, lambda w: w["word"]).alias("ws"))
+    found = found.select(*key, F.col("r.first").alias("paragraph"), "part", F.lit(None).cast("long").alias("run"), F.lit(False).alias("whole"), F.transform(inside, lambda w: w["word"]).alias("ws"))
 
     rest = texts.select(*key, "ranges", F.posexplode("lines").alias("paragraph", "line"))
     rest = rest.select(*key, "paragraph", "line.*", (F.exists("ranges", lambda r: (F.col("paragraph") >= r["first"]) & (F.col("paragraph") <= r["last"])) | (F.size("line.ws") == 0)).alias("apart"))
     ordered = Window.partitionBy("row").orderBy("paragraph")
     rest = rest.withColumn("fresh", F.coalesce(F.lag("apart").over(ordered) | F.lag("ends").over(ordered) | F.col("apart"), F.lit(True)))
     rest = rest.withColumn("run", F.sum(F.col("fresh").cast("long")).over(ordered)).filter("not apart")
-    runs = rest.groupBy(*key, "run").agg(F.array_sort(F.collect_list(F.struct("paragraph", "ws", "cue", "general"))).alias("lines"))
-    runs = runs.withColumn("ws", F.flatten(F.transform("lines", lambda s: s["ws"]))).withColumn("general", F.concat_ws(" ", "ws").rlike(GENERAL))
-    runs = materialise(runs.filter(F.col("general") | F.exists("lines", lambda s: s["cue"])), "licence-runs")
-    single = runs.select(*key, "run", F.explode(F.filter("lines", lambda s: s["cue"])).alias("s")).select(*key, "s.paragraph", F.lit(0).alias("part"), "run", F.lit(False).alias("whole"), "s.general", "s.ws")
-    runs = runs.filter(F.size("lines") > 1).select(*key, F.col("lines")[0]["paragraph"].alias("paragraph"), F.lit(0).alias("part"), "run", F.lit(True).alias("whole"), "general", "ws")
+    runs = rest.groupBy(*key, "run").agg(F.array_sort(F.collect_list(F.struct("paragraph", "ws", "cue"))).alias("lines"))
+    runs = runs.withColumn("ws", F.flatten(F.transform("lines", lambda s: s["ws"])))
+    runs = materialise(runs.filter(F.concat_ws(" ", "ws").rlike(GENERAL) | F.exists("lines", lambda s: s["cue"])), "licence-runs")
+    single = runs.select(*key, "run", F.explode(F.filter("lines", lambda s: s["cue"])).alias("s")).select(*key, "s.paragraph", F.lit(0).alias("part"), "run", F.lit(False).alias("whole"), "s.ws")
+    runs = runs.filter(F.size("lines") > 1).select(*key, F.col("lines")[0]["paragraph"].alias("paragraph"), F.lit(0).alias("part"), "run", F.lit(True).alias("whole"), "ws")
     out = found.unionByName(single).unionByName(runs)
-    return out.select(*key, "paragraph", "part", "run", "whole", "general", _grams(F.col("ws")).alias("grams"))
+    return out.select(*key, "paragraph", "part", "run", "whole", _grams(F.col("ws")).alias("grams"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.5, alike: float = 0.6) -> DataFrame:
@@ -256,8 +276,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure:
     judged = lines.join(top, "place").select("*", F.col("s.class").alias("family"), F.col("s.p").alias("probability")).filter(F.col("probability") >= sure).filter("family <> 'none'")
     judged = judged.join(F.broadcast(known), "family", "left")
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.greatest(F.size(t), F.lit(1))))
-    confirmed = F.coalesce(share >= alike, F.lit(False))
-    judged = judged.withColumn("confirmed", confirmed).filter("confirmed or general")
+    alone = F.array(*[F.lit(f"{f}:{t.lower()}") for f, ts in TEMPLATES.items() for t in ts if " " not in t])
+    named = (F.size("grams") == 1) & F.array_contains(alone, F.concat_ws(":", "family", F.get("grams", F.lit(0))))
+    judged = judged.withColumn("confirmed", F.coalesce(share >= alike, F.lit(False)) | named)
     judged = judged.withColumn("run_counts", F.coalesce(F.max("whole").over(Window.partitionBy("row", "run")) & F.col("run").isNotNull(), F.lit(False))).filter("whole or not run_counts")
     confirmed = F.col("confirmed")
     return judged.select("doc_id", "copy", "paragraph", F.when(confirmed, F.col("family")).otherwise("unknown").alias("family"), F.col("probability"), confirmed)

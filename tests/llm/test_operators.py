@@ -301,3 +301,12 @@ def test_licenses_wrapped_at_any_width(spark):
     docs = spark.createDataFrame(rows, "doc_id long, family string, text string")
     got = {r.doc_id: (r.families, r.n_notices) for r in licenses.scan_documents(docs).collect()}
     assert got == {i: ([family], 1) for i, family, _ in rows}
+
+
+def test_licenses_by_name_alone(spark):
+    """Short notices count, capitalised prose in a language with the word does not."""
+    named = {"MIT": ["mit"], "BSD-3-Clause": ["bsd"], "GNU GPL v3 or later": ["gpl"], "CC BY 4.0": ["cc"], "CC0": ["cc"], "MIT License": ["mit"], "GNU software by Ann": ["unknown"]}
+    prose = ["DIE STADT MIT DEM FLUSS.", "MIT IHM GING ER.", "SIE WAR MIT DER ARBEIT FERTIG UND GING.", "DIE!! MIT!! UND!! DEM!! ENUNG!!"]
+    docs = spark.createDataFrame(list(enumerate([*named, *prose])), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licenses.scan_documents(docs).collect()}
+    assert got == dict(enumerate([*named.values(), *[[]] * len(prose)]))
