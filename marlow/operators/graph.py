@@ -1,51 +1,88 @@
-"""Graph operators over edge tables (child, parent): recursion by iterated joins.
+"""Graph operators over edge tables (child, parent): recursion by doubling.
 
-Levels are joined in a loop on the driver, each a distributed join on the frontier only; every few
-levels the frontier is cut with checkpoint() in the session's shared folder, where one is set.
+Edges are written once, so their columns are plain ones, and each round's pairs are written too; a
+round joins pairs with pairs, which doubles the length that they span, so a chain of n nodes takes
+log2(n) rounds. Every loop runs to its fixpoint. Where ways are counted by length, a cycle would make
+them endless: that raises ``CycleError``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import discard, materialise
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            return df.cache()
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
 
+class CycleError(ValueError):
+    """The edges have a cycle, so lengths have no bound."""
 
-def walk_up(edges: DataFrame, starts: DataFrame, limit: int = 100) -> DataFrame:
-    """(start, node, depth) for every way up from each start; the start itself has depth 0.
 
-    ``edges``: child, parent; ``starts``: start. Ways that meet again are kept apart, so ``limit``
-    bounds the levels where the edges have a cycle.
-    """
-    front = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    out = front
-    for level in range(1, limit + 1):
-        front = _cut(front.join(edges, front["node"] == edges["child"]).select("start", F.col("parent").alias("node"), F.lit(level).alias("depth")).filter("node is not null"))
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out
+def _edges(edges: DataFrame) -> DataFrame:
+    return materialise(edges.select("child", "parent").filter("child is not null and parent is not null").distinct(), "graph-edges")
 
 
-def depths(edges: DataFrame, limit: int = 100) -> DataFrame:
-    """(node, depth): the longest way down to each node from a root, a row whose parent is null."""
-    front = edges.filter("parent is null").select(F.col("child").alias("node"), F.lit(0).alias("depth")).distinct()
-    out = front
-    for level in range(1, limit + 1):
-        front = _cut(edges.join(front, edges["parent"] == front["node"]).select(F.col("child").alias("node"), F.lit(level).alias("depth")).distinct())
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out.groupBy("node").agg(F.max("depth").alias("depth"))
+def _longest_way(edges: DataFrame) -> int:
+    """More edges than any way without a cycle has: the number of distinct nodes."""
+    return edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct().count()
+
+
+def walk_up(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node, depth): every node above each start, once for each length of a way to it; the start has depth 0.
+
+    ``edges``: child, parent; ``starts``: start.
+    """
+    edges = _edges(edges)
+    bound, span = _longest_way(edges), 1
+    reach = materialise(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "ways")
+    hop = edges  # the pairs exactly ``span`` edges apart
+    while not hop.isEmpty():
+        if span > bound:
+            raise CycleError("a way up never ends")
+        on = reach.join(hop, reach["node"] == hop["child"]).select("start", F.col("parent").alias("node"), (F.col("depth") + span).alias("depth"))
+        longer, old = materialise(reach.unionByName(on).distinct(), "ways"), reach
+        twice = hop.select("child", F.col("parent").alias("middle")).join(hop.select(F.col("child").alias("middle"), "parent"), "middle")
+        further, passed = materialise(twice.select("child", "parent").distinct(), "hops"), hop
+        discard(old)
+        discard(passed)
+        reach, hop, span = longer, further, span * 2
+    return reach
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """(node, depth): the longest way down to each node from a root, a row whose parent is null.
+
+    Where every node has one parent, pointers to the parent jump twice as far each round. Else each
+    level is a join of the nodes on it, once each, with the edges, and there are as many as levels.
+    Nodes that no root leads to have no row.
+    """
+    own = materialise(edges.select("child", "parent").filter("child is not null").distinct(), "graph-edges")
+    if own.groupBy("child").count().filter("count > 1").isEmpty():
+        return _forest_depths(own)
+    down = own.filter("parent is not null")
+    bound, level = _longest_way(down), 0
+    fronts = [materialise(own.filter("parent is null").select(F.col("child").alias("node"), F.lit(0).alias("depth")), "level")]
+    while not fronts[-1].isEmpty():
+        if level > bound:
+            raise CycleError("a root leads to a cycle")
+        level += 1
+        fronts.append(materialise(down.join(fronts[-1], down["parent"] == fronts[-1]["node"]).select(F.col("child").alias("node"), F.lit(level).alias("depth")).distinct(), "level"))
+    return reduce(DataFrame.unionByName, fronts).groupBy("node").agg(F.max("depth").alias("depth"))
+
+
+def _forest_depths(own: DataFrame) -> DataFrame:
+    jump = materialise(own.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth")), "jumps")
+    before, going = -1, jump.filter("up is not null").count()
+    while going and going != before:  # nodes on a cycle, and those below it, go on without an end
+        above = jump.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        jumped = jump.filter("up is not null").join(above, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        further, old = materialise(jump.filter("up is null").unionByName(jumped), "jumps"), jump
+        discard(old)
+        jump = further
+        before, going = going, jump.filter("up is not null").count()
+    return jump.filter("up is null").select("node", "depth")
 
 
 def child_counts(edges: DataFrame) -> DataFrame:
@@ -53,35 +90,59 @@ def child_counts(edges: DataFrame) -> DataFrame:
     return edges.filter("parent is not null").groupBy(F.col("parent")).agg(F.countDistinct("child").cast("int").alias("child_count"))
 
 
-def closure_counts(edges: DataFrame, limit: int = 100) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
+    """(child, parent): every node with every node above it, once each; cycles end too, with a node above itself."""
+    reach = _edges(edges)
+    hop, n, now = reach, -1, reach.count()
+    while now != n:
+        on = reach.join(hop.select(F.col("child").alias("middle"), F.col("parent").alias("next")), F.col("parent") == F.col("middle")).select("child", F.col("next").alias("parent"))
+        twice = hop.select("child", F.col("parent").alias("middle")).join(hop.select(F.col("child").alias("middle"), "parent"), "middle").select("child", "parent")
+        reach, hop = materialise(reach.unionByName(on).distinct(), "closure"), materialise(twice.distinct(), "hops")
+        n, now = now, reach.count()
+    return reach
+
+
+def closure_counts(edges: DataFrame) -> DataFrame:
     """(parent, child_count): distinct descendants of every parent, at any depth."""
-    ups = walk_up(edges.filter("parent is not null"), edges.select(F.col("child").alias("start")).distinct(), limit).filter("depth > 0")
-    return ups.groupBy(F.col("node").alias("parent")).agg(F.countDistinct("start").cast("int").alias("child_count"))
+    return closure(edges).groupBy("parent").agg(F.count(F.lit(1)).cast("int").alias("child_count"))
 
 
-def cyclic_edges(edges: DataFrame, limit: int = 100) -> DataFrame:
-    """The edges that lie on a cycle: what is left when nodes without a way in or out are peeled off."""
-    left = edges.filter("parent is not null").select("child", "parent").distinct()
-    size = left.count()
-    for _ in range(limit):
+def _rings(edges: DataFrame) -> DataFrame:
+    """(child, parent, ring): the edges on a cycle, with the least node that they are on a cycle with."""
+    left = _edges(edges)
+    size, now = -1, left.count()
+    while now and now != size:  # peel nodes without a way in or out for as long as that halves the edges
         parents, children = left.select(F.col("parent").alias("child")).distinct(), left.select(F.col("child").alias("parent")).distinct()
-        left = _cut(left.join(parents, "child", "left_semi").join(children, "parent", "left_semi").select("child", "parent"))
-        now = left.count()
-        if now == size:
-            return left
-        size = now
-    return left
-
-
-def break_cycles(edges: DataFrame, age: str, limit: int = 100) -> DataFrame:
-    """Edges without cycles: of the cyclic ones, the one with the least ``age`` goes, again and again."""
-    for _ in range(limit):
-        bad = cyclic_edges(edges)
-        worst = edges.join(bad, ["child", "parent"], "left_semi").orderBy(F.asc_nulls_last(age), "child", "parent").limit(1)
-        if worst.isEmpty():
+        left = materialise(left.join(parents, "child", "left_semi").join(children, "parent", "left_semi").select("child", "parent"), "peeled")
+        size, now = now, left.count()
+        if 2 * now > size:
+            break
+    above = closure(left)
+    mutual = above.join(above.select(F.col("child").alias("parent"), F.col("parent").alias("child")), ["child", "parent"], "left_semi")
+    ring = mutual.groupBy("child").agg(F.min("parent").alias("ring"))
+    return left.join(mutual, ["child", "parent"], "left_semi").join(ring, "child").select("child", "parent", "ring")
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """The edges that lie on a cycle."""
+    return _rings(edges).select("child", "parent")
+
+
+def break_cycles(edges: DataFrame, age: str) -> DataFrame:
+    """Edges without cycles: of the cyclic ones, the one with the least ``age`` goes, again and again.
+
+    Cycles that share no node don't touch each other's order, so each set of nodes that reach one
+    another loses an edge a round.
+    """
+    edges = materialise(edges, "dated-edges")
+    while True:
+        bad = materialise(_rings(edges), "rings")
+        if bad.isEmpty():
             return edges
-        edges = _cut(edges.join(worst.select("child", "parent"), ["child", "parent"], "left_anti"))
-    return edges
+        dated = edges.join(bad, ["child", "parent"])
+        first = F.struct(F.col(age).isNull(), F.col(age), "child", "parent")
+        worst = dated.groupBy("ring").agg(F.min(first).alias("x")).select("x.child", "x.parent")
+        edges = materialise(edges.join(worst, ["child", "parent"], "left_anti"), "dated-edges")
 
 
 def neighbours(edges: DataFrame, node: int) -> DataFrame:

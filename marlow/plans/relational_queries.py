@@ -145,10 +145,9 @@ def descendant_count(spark: SparkSession, d: str) -> DataFrame:
 def conversation_chain(spark: SparkSession, d: str) -> DataFrame:
     """For each turn, how many turns of its conversation lead up to it without a gap."""
     turns = t(spark, d, "conversations").select("conv_id", "turn").distinct()
-    edges = turns.select(F.concat_ws("-", "conv_id", "turn").alias("child"), F.concat_ws("-", F.col("conv_id"), F.col("turn") - 1).alias("parent"))
-    real = edges.join(edges.select(F.col("child").alias("parent")), "parent", "left_semi").select("child", "parent")
-    ups = graph.walk_up(real, edges.select(F.col("child").alias("start")))
-    return ups.groupBy("start").agg(F.max("depth").cast("long").alias("n_before"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.concat_ws("-", "conv_id", "turn").alias("parent"))
+    edges = turns.join(before, ["conv_id", "turn"], "left").select(F.concat_ws("-", "conv_id", "turn").alias("child"), "parent")
+    return graph.depths(edges).select(F.col("node").alias("start"), F.col("depth").cast("long").alias("n_before"))
 
 
 def _ring(spark: SparkSession, d: str) -> DataFrame:
@@ -276,6 +275,10 @@ LEFT JOIN (SELECT DISTINCT p_brand, true AS done FROM part WHERE p_size = 50) e
   SELECT conv_id, turn, turn, 0 FROM e UNION ALL SELECT w.conv_id, w.start, e.turn, w.depth + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.turn = w.turn - 1)
 SELECT concat(conv_id, '-', start) AS start, CAST(max(depth) AS BIGINT) AS n_before FROM w GROUP BY conv_id, w.start""",
     "cycle_edges": f"WITH RECURSIVE e AS {RING}, w(a, b) AS (SELECT child, parent FROM e UNION SELECT w.a, e.parent FROM w JOIN e ON e.child = w.b) SELECT child, parent FROM e WHERE EXISTS (SELECT 1 FROM w WHERE w.a = e.parent AND w.b = e.child)",
+    "acyclic_edges": """WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS child, CAST((n_nationkey * 2) % 25 AS BIGINT) AS parent, CAST(n_regionkey AS BIGINT) AS year FROM nation),
+w(a, b) AS (SELECT child, parent FROM e UNION SELECT w.a, e.parent FROM w JOIN e ON e.child = w.b),
+c AS (SELECT e.*, (SELECT min(w.b) FROM w WHERE w.a = e.child AND EXISTS (SELECT 1 FROM w v WHERE v.a = w.b AND v.b = e.child)) AS ring FROM e WHERE EXISTS (SELECT 1 FROM w WHERE w.a = e.parent AND w.b = e.child))
+SELECT child, parent, year FROM e WHERE child NOT IN (SELECT child FROM (SELECT child, row_number() OVER (PARTITION BY ring ORDER BY year, child, parent) AS r FROM c) WHERE r = 1)""",
     "connected": "SELECT DISTINCT node FROM (SELECT CAST(5 AS BIGINT) AS node UNION ALL SELECT l_suppkey FROM lineitem WHERE l_partkey = 5 UNION ALL SELECT l_partkey FROM lineitem WHERE l_suppkey = 5)",
     "link_weights": """WITH l AS (SELECT l_partkey AS s, l_suppkey AS g, count(*) AS w FROM lineitem WHERE l_partkey IN (SELECT s_suppkey FROM supplier) AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2)
 SELECT s_suppkey AS node, (SELECT count(*) FROM l WHERE s = s_suppkey) AS n_targets, CAST((SELECT coalesce(sum(w), 0) FROM l WHERE s = s_suppkey) AS BIGINT) AS weight_out, CAST((SELECT coalesce(sum(w), 0) FROM l WHERE g = s_suppkey) AS BIGINT) AS weight_in FROM supplier""",
