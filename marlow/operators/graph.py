@@ -43,8 +43,7 @@ def walk_up(edges: DataFrame, starts: DataFrame) -> DataFrame:
             raise CycleError("a way up never ends")
         on = reach.join(hop, reach["node"] == hop["child"]).select("start", F.col("parent").alias("node"), (F.col("depth") + span).alias("depth"))
         longer, old = materialise(reach.unionByName(on).distinct(), "ways"), reach
-        twice = hop.select("child", F.col("parent").alias("middle")).join(hop.select(F.col("child").alias("middle"), "parent"), "middle")
-        further, passed = materialise(twice.select("child", "parent").distinct(), "hops"), hop
+        further, passed = materialise(_chained(hop, hop).distinct(), "hops"), hop
         discard(old)
         discard(passed)
         reach, hop, span = longer, further, span * 2
@@ -76,15 +75,20 @@ def _forest_depths(own: DataFrame) -> DataFrame:
     jump = materialise(own.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth")), "jumps")
     before, going = -1, jump.filter("up is not null").count()
     while going and going != before:  # nodes on a cycle, and those below it, go on without an end
-        above = jump.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        jumped = jump.filter("up is not null").join(above, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
-        further, old = materialise(jump.filter("up is null").unionByName(jumped), "jumps"), jump
+        further, old = materialise(_jumped(_jumped(jump)), "jumps"), jump
         discard(old)
         jump = further
         before, going = going, jump.filter("up is not null").count()
     return jump.filter("up is null").select("node", "depth")
 
 
+def _jumped(jump: DataFrame) -> DataFrame:
+    """Each pointer on to where its target points."""
+    above = jump.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+    on = jump.filter("up is not null").join(above, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+    return jump.filter("up is null").unionByName(on)
+
+
 def child_counts(edges: DataFrame) -> DataFrame:
     """(parent, child_count): distinct direct children of every parent."""
     return edges.filter("parent is not null").groupBy(F.col("parent")).agg(F.countDistinct("child").cast("int").alias("child_count"))
@@ -95,13 +99,18 @@ def closure(edges: DataFrame) -> DataFrame:
     reach = _edges(edges)
     hop, n, now = reach, -1, reach.count()
     while now != n:
-        on = reach.join(hop.select(F.col("child").alias("middle"), F.col("parent").alias("next")), F.col("parent") == F.col("middle")).select("child", F.col("next").alias("parent"))
-        twice = hop.select("child", F.col("parent").alias("middle")).join(hop.select(F.col("child").alias("middle"), "parent"), "middle").select("child", "parent")
-        reach, hop = materialise(reach.unionByName(on).distinct(), "closure"), materialise(twice.distinct(), "hops")
+        twice = _chained(hop, hop).distinct()
+        near = reach.unionByName(_chained(reach, hop)).distinct()
+        reach, hop = materialise(near.unionByName(_chained(near, twice)).distinct(), "closure"), materialise(_chained(twice, twice).distinct(), "hops")
         n, now = now, reach.count()
     return reach
 
 
+def _chained(low: DataFrame, high: DataFrame) -> DataFrame:
+    """Pairs over a node in between."""
+    return low.select("child", F.col("parent").alias("middle")).join(high.select(F.col("child").alias("middle"), "parent"), "middle").select("child", "parent")
+
+
 def closure_counts(edges: DataFrame) -> DataFrame:
     """(parent, child_count): distinct descendants of every parent, at any depth."""
     return closure(edges).groupBy("parent").agg(F.count(F.lit(1)).cast("int").alias("child_count"))

@@ -34,6 +34,12 @@ def test_word_forms():
 
 def test_merge_locations():
     assert citation.merge_locations(["s 1", "s 1(2)", "s 1(2)(a)", "cl 3"]) == ["s 1(2)(a)", "cl 3"]
+    assert citation.merge_locations(["s 1", "s 10", "cl 3", "cl 3"]) == ["s 1", "s 10", "cl 3"]
+
+
+def test_merged_locations(spark):
+    rows = spark.createDataFrame([(["s 1", "s 1(2)", "cl 3"],), (["s 1", "s 10"],), ([],)], "p array<string>")
+    assert [r.m for r in rows.select(citation.merged_locations(F.col("p")).alias("m")).collect()] == [["s 1(2)", "cl 3"], ["s 1", "s 10"], []]
 
 
 def test_scalars(spark):
