@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,17 +39,57 @@ def walk(lines: DataFrame, key: str, place: str, start: Column, going: Column) -
     return marked.withColumn("__ok", ok).filter("__ok = 1").drop("__ok", "__start")
 
 
-def parties(lines: DataFrame, key: str, place: str, text: str) -> DataFrame:
-    """(key, plaintiffs, defendants): what stands under BETWEEN and under AND, or on both sides of ``v``."""
-    role = F.when(F.upper(F.trim(text)) == "BETWEEN", "plaintiffs").when(F.upper(F.trim(text)) == "AND", "defendants")
+#: Headings of the parts of an intituling, and words that qualify a party.
+ROLES = {"BETWEEN": "plaintiffs", "AND": "defendants", "AND BETWEEN": "plaintiffs", "THIRD PARTY": "thirdparties", "INTERVENERS?": "thirdparties"}
+DESCRIPTOR = r"(?i)^\s*(?:first |second |third |fourth )?(plaintiffs?|defendants?|appellants?|respondents?|applicants?|intervener|third part(?:y|ies))\s*$"
+QUALIFIER = r"(?i)^\s*(UNDER|IN THE MATTER(?: OF)?|IN RE|EX PARTE)\b\s*(.*)$"
+
+
+def _closes(text: str) -> Column:
+    """Whether a line is the first after the parties: a field, a heading of the body, a qualifier or a numbered line."""
+    field = F.lit(False)
+    for pattern in FIELDS.values():
+        field = field | F.col(text).rlike(pattern)
+    return field | F.col(text).rlike(QUALIFIER) | F.col(text).rlike(r"^\s*(?:\[\d+\]|\d+\.|_{3,}|-{3,})")
+
+
+def party_lines(lines: DataFrame, key: str, place: str, text: str) -> DataFrame:
+    """(key, place, role, name, descriptor): the lines under a party heading up to the next field or heading.
+
+    A line that only says what the party is, such as *First defendant*, is the descriptor of the line before.
+    """
+    head = F.upper(F.trim(text))
+    role = reduce(lambda out, kv: out.when(head.rlike(f"^(?:{kv[0]})$"), kv[1]), ROLES.items(), F.when(_closes(text), "none"))
     w = W.partitionBy(key).orderBy(place)
-    named = lines.withColumn("role", F.last(role, ignorenulls=True).over(w)).withColumn("__head", role.isNotNull()).filter("role is not null and not __head and trim(%s) <> ''" % text)
-    ordered = lambda r: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct(place, F.trim(text).alias("name"))))), lambda s: s["name"]), "; ")
-    under = named.groupBy(key).agg(ordered("plaintiffs").alias("plaintiffs"), ordered("defendants").alias("defendants"))
-    versus = lines.withColumn("m", F.regexp_extract(text, r"^(.*?)\s+v\.?\s+(.*)$", 1)).filter("m <> ''")
-    versus = versus.groupBy(key).agg(F.min_by(F.trim("m"), place).alias("a"), F.min_by(F.trim(F.regexp_extract(text, r"^(.*?)\s+v\.?\s+(.*)$", 2)), place).alias("b"))
+    named = lines.withColumn("__head", role).withColumn("role", F.last("__head", ignorenulls=True).over(w)).filter(F.col("__head").isNull() & (F.col("role") != "none") & (F.trim(text) != ""))
+    named = named.withColumn("__says", F.nullif(F.regexp_extract(text, DESCRIPTOR, 1), F.lit("")))
+    named = named.withColumn("descriptor", F.lead("__says").over(W.partitionBy(key, "role").orderBy(place)))
+    return named.filter("__says is null").select(key, place, "role", F.trim(text).alias("name"), F.lower("descriptor").alias("descriptor"))
+
+
+def parties(lines: DataFrame, key: str, place: str, text: str) -> DataFrame:
+    """(key, plaintiffs, defendants, thirdparties): what stands under BETWEEN and AND, or on both sides of ``v``."""
+    named = party_lines(lines, key, place, text)
+    ordered = lambda r: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct(place, "name")))), lambda s: s["name"]), "; ")
+    under = named.groupBy(key).agg(*(F.nullif(ordered(r), F.lit("")).alias(r) for r in ("plaintiffs", "defendants", "thirdparties")))
+    versus = lines.select(key, place, F.regexp_extract(text, r"^(.*?)\s+v\.?\s+(.*)$", 1).alias("m"), F.regexp_extract(text, r"^(.*?)\s+v\.?\s+(.*)$", 2).alias("n")).filter("m <> ''")
+    versus = versus.groupBy(key).agg(F.min_by(F.trim("m"), place).alias("a"), F.min_by(F.trim("n"), place).alias("b"))
     out = lines.select(key).distinct().join(under, key, "left").join(versus, key, "left")
-    return out.select(key, F.coalesce(F.nullif("plaintiffs", F.lit("")), "a").alias("plaintiffs"), F.coalesce(F.nullif("defendants", F.lit("")), "b").alias("defendants"))
+    return out.select(key, F.coalesce("plaintiffs", "a").alias("plaintiffs"), F.coalesce("defendants", "b").alias("defendants"), "thirdparties")
+
+
+def matters(lines: DataFrame, key: str, place: str, text: str) -> DataFrame:
+    """(key, place, qualifier, value): lines under *UNDER*, *IN THE MATTER OF* and the like, with those that go on to the next."""
+    w = W.partitionBy(key).orderBy(place)
+    head = F.nullif(F.upper(F.regexp_extract(text, QUALIFIER, 1)), F.lit(""))
+    stop = F.upper(F.trim(text)).rlike("^(?:" + "|".join(ROLES) + ")$") | F.trim(text).rlike(r"^$")
+    for pattern in FIELDS.values():
+        stop = stop | F.col(text).rlike(pattern)
+    marked = lines.withColumn("__head", head).withColumn("matter", F.sum(F.when(head.isNotNull() | stop, 1).otherwise(0)).over(w))
+    own = marked.withColumn("qualifier", F.first("__head").over(W.partitionBy(key, "matter").orderBy(place))).filter("qualifier is not null")
+    said = F.when(F.col("__head").isNotNull(), F.regexp_extract(text, QUALIFIER, 2)).otherwise(F.trim(text))
+    value = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, said.alias("v")))), lambda s: s["v"]), " ")
+    return own.groupBy(key, "matter").agg(F.min(place).alias(place), F.first("qualifier").alias("qualifier"), F.trim(value).alias("value")).drop("matter")
 
 
 def body_kinds(lines: DataFrame, text: str) -> DataFrame:
@@ -70,19 +113,18 @@ def validate(fields: DataFrame, parties_table: DataFrame, key: str, least_citati
 
 
 def paragraph_anchors(lines: DataFrame, key: str, place: str, text: str) -> DataFrame:
-    """(key, place, number): the ``[n]`` that continue the count, each the first after the one before.
+    """(key, number, place): the ``[n]`` that continue the count, each the first after the one before.
 
-    A number counts when as many smaller ones have counted before it, which for labels 1, 2, 3 … is the
-    first line of each number that lies after the first line of the number before.
+    Whether a line counts hangs on all that counted before it, which no window function says; one pass
+    over a document's numbered lines does.
     """
-    found = lines.withColumn("number", F.regexp_extract(text, r"^\s*\[(\d+)\]", 1).try_cast("int")).filter("number is not null")
-    firsts = found.groupBy(key, "number").agg(F.array_sort(F.collect_list(place)).alias("places"))
-    rows = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "places"))).alias("all"))
-    zero = F.expr("named_struct('next', 1, 'at', cast(-1 as bigint), 'out', cast(array() as array<struct<number:int,place:bigint>>))")
+    found = lines.withColumn("number", F.regexp_extract(text, r"^\s*\[(\d+)\]", 1).try_cast("int")).filter("number is not null").select(key, "number", F.col(place).cast("long").alias("place"))
 
-    def step(acc: Column, x: Column) -> Column:
-        later = F.element_at(F.concat(F.filter(x["places"], lambda p: p > acc["at"]), F.array(F.lit(None).cast("bigint"))), 1)
-        good = (x["number"] == acc["next"]) & later.isNotNull()
-        return F.struct(F.when(good, acc["next"] + 1).otherwise(acc["next"]).alias("next"), F.when(good, later).otherwise(acc["at"]).alias("at"), F.when(good, F.array_append(acc["out"], F.struct(x["number"].alias("number"), later.alias("place")))).otherwise(acc["out"]).alias("out"))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, good, due = rows.sort_values("place"), [], 1
+        for n in rows["number"]:
+            good.append(n == due)
+            due += n == due
+        return rows[good]
 
-    return rows.select(key, F.explode(F.aggregate("all", zero, step)["out"]).alias("a")).select(key, "a.number", "a.place")
+    return found.groupBy(key).applyInPandas(run, found.schema)
