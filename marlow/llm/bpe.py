@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bounded import frequent
 from .store import materialise
-from .textnum import chunks, span_hashes
+from .textnum import chunks, differ, span_hashes
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 HELD_WORDS = 1 << 20  # of chunks, before a task passes its distinct words on
@@ -198,12 +198,13 @@ class Table:
     """Frequent words by hash, with their ids; small enough to broadcast because it has a bound."""
 
     def __init__(self, words: pa.ChunkedArray, ids: pa.ChunkedArray) -> None:
-        lists = [x for x in ids.to_pylist()]
-        raw = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
-        ends = np.cumsum([len(w) for w in words.to_pylist()]).astype(np.int64)
-        key = span_hashes(raw, np.append(0, ends)[: len(ends)], ends) if len(ends) else np.zeros(0, np.uint64)
+        lists, own = ids.to_pylist(), words.to_pylist()
+        self.raw = np.frombuffer(b"".join(own), np.uint8)
+        ends = np.cumsum([len(w) for w in own]).astype(np.int64)
+        starts = np.append(0, ends)[: len(ends)].astype(np.int64)
+        key = span_hashes(self.raw, starts, ends)
         order = np.argsort(key)
-        self.key = key[order]
+        self.key, self.starts, self.ends = key[order], starts[order], ends[order]
         self.at = np.append(0, np.cumsum([len(lists[i]) for i in order])).astype(np.int64)
         self.ids = np.array([x for i in order for x in lists[i]], np.int32)
 
@@ -215,8 +216,14 @@ def encode_chunk(own: Vocabulary, table: Table, raw: np.ndarray, at: np.ndarray)
     key, place, word = np.unique(span_hashes(raw, first, ends), return_index=True, return_inverse=True)
     found = np.searchsorted(table.key, key)
     found[found == len(table.key)] = 0
-    known = table.key[found] == key if len(table.key) else np.zeros(len(key), bool)
-    rest = np.flatnonzero(~known)
+    known = np.flatnonzero(table.key[found] == key) if len(table.key) else np.zeros(0, np.int64)
+    known = known[~differ(raw, first[place[known]], ends[place[known]], table.raw, table.starts[found[known]], table.ends[found[known]])]
+    # Words of one hash are one word only where their bytes say so; any other stands for itself.
+    odd = np.flatnonzero(differ(raw, first, ends, raw, first[place[word]], ends[place[word]]))
+    if len(odd):
+        word[odd] = len(place) + np.arange(len(odd))
+        place, found = np.append(place, odd), np.append(found, np.zeros(len(odd), found.dtype))
+    rest = np.setdiff1d(np.arange(len(place)), known, assume_unique=True)
     blob = raw.tobytes()
     extra = [[own.special_ids[which[place[i]]]] if which[place[i]] >= 0 else None for i in rest.tolist()]
     todo = [j for j, x in enumerate(extra) if x is None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,9 @@ import pyarrow as pa
 #: A chunk holds whole documents of about so many bytes; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 21
 
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Spans of more bytes are hashed one by one.
+LONG = 512
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -85,15 +87,54 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[raw] * powers(len(raw)), out=sums[1:])
-    back = powers(len(raw) + 1, inverse=True)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64), salt)
+    """A 64-bit hash of each byte span, mixed eight bytes at a time, so that no algebra of the bytes survives.
+
+    Spans of one length up to eight bytes never share a hash; spans above ``LONG`` bytes go through BLAKE2b.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64), salt + 1)
+    if not len(size):
+        return out
+    padded = np.zeros((len(raw) + 15) // 8 * 8, np.uint8)
+    padded[: len(raw)] = raw
+    eights = np.lib.stride_tricks.as_strided(padded.view(np.uint64)[:1], (len(raw) + 1,), (1,))
+    long = np.flatnonzero(size > LONG)
+    todo, at = slice(None), starts
+    left = size
+    if len(long):
+        todo = np.flatnonzero(size <= LONG)
+        at, left = starts[todo], size[todo]
+    while len(left):
+        out[todo] = mix(out[todo] ^ (eights[at] & _FIRST[np.minimum(left, 8)]), salt + 2)
+        more = np.flatnonzero(left > 8)
+        todo = more if isinstance(todo, slice) else todo[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in long.tolist():
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=salt.to_bytes(8, "little")).digest()
+        out[i] = np.frombuffer(digest, "<u8")[0]
+    return out
+
+
+def differ(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """Which spans are not, byte for byte, their counterparts in ``other``."""
+    size = ends - starts
+    out = size != until - at
+    same = np.flatnonzero(~out & (size > 0))
+    n = size[same]
+    stops = np.cumsum(n)
+    step = np.arange(stops[-1] if len(stops) else 0)
+    unequal = raw[np.repeat(starts[same] - (stops - n), n) + step] != other[np.repeat(at[same] - (stops - n), n) + step]
+    if unequal.any():
+        out[same] = np.add.reduceat(unequal, stops - n) > 0
+    return out
 
 
 def rolling(codes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of every ``width`` consecutive codes."""
+    """A 64-bit hash of every ``width`` consecutive codes.
+
+    The codes are mixed hashes themselves and ``width`` is small: a sum of powers only cancels for
+    certain over spans of more than a thousand codes.
+    """
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
