@@ -22,6 +22,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .expressions import let, sums_before
 from .store import materialise
 
 # The patterns below match what the plain ones in BASE_PLAIN match; possessive quantifiers and
@@ -51,18 +52,20 @@ CONTEXT_CHARS = 24
 
 def _spans(text: Column, kind: str, pattern: str, order: int) -> Column:
     """array<struct(start, ord, end, kind, hit, before)> of the leftmost non-overlapping matches."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string,hit:string,before:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("before"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
-
-    found = F.aggregate(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")), zero, step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(zero["out"])
+    def spans(found: Column) -> Column:
+        n = F.size(found["hits"])
+        sizes = F.zip_with(found["hits"], found["gaps"], lambda hit, gap: F.coalesce(F.length(hit), F.lit(0)) + F.length(gap))
+        placed = F.arrays_zip(F.slice(sums_before(sizes), F.lit(1), n).alias("before"), found["hits"].alias("hit"), F.slice(found["gaps"], F.lit(1), n).alias("gap"))
+        return F.transform(placed, lambda x: _span(x, kind, order))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string,hit:string,before:string>>)")
+    return F.when(text.rlike(pattern), let(found, spans)).otherwise(none)
+
+
+def _span(x: Column, kind: str, order: int) -> Column:
+    start = x["before"] + F.length(x["gap"])
+    return F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("before"))
 
 
 def _luhn(digits: Column) -> Column:
