@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE`` words, all of them. Every passage
 and repetition measures and hashed word counts, through one tanh layer; gated attention (a tanh branch
 times a sigmoid branch) weighs the passages; the weighted sum is the document, and a logistic unit
 scores it. Only document labels are used. The model is fitted by Adam on at most ``train_docs``
-labelled documents, the first by a hash of their identifier, with at most ``train_passages`` evenly
-spread passages each; scoring reads every passage of every document, a chunk of text at a time.
+labelled documents, the first by a hash of their identifier, with all their passages (128 bytes of
+measures for 64 words, on the driver); scoring reads every passage, a chunk of text at a time.
 
 Edge cases: a null, empty or blank text is a bag without passages and gets the score of the zero
 representation; labels that are null or of no known document are ignored, the smallest counts where a
@@ -150,26 +150,22 @@ def fit(bags: list[np.ndarray], y: np.ndarray, steps: int = 400, batch: int = 25
     return Attention(w, mean, spread)
 
 
-def _bags(limit: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, _, raw, at in chunks(batch.column(0)):
-                x, rows = passages(raw, at)
-                for i in range(len(at) - 1):
-                    own = x[rows[i] : rows[i + 1]]
-                    own = own[np.unique(np.linspace(0, len(own) - 1, min(limit, len(own))).astype(int))] if len(own) else own
-                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(first + i, 1), batch.column(2).slice(first + i, 1), pa.array([own.astype("<f4").tobytes()])], ["at", "label", "bag"])
-
-    return run
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, _, raw, at in chunks(batch.column(0)):
+            x, rows = passages(raw, at)
+            for i in range(len(at) - 1):
+                bag = x[rows[i] : rows[i + 1]].astype("<f4").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first + i, 1), batch.column(2).slice(first + i, 1), pa.array([bag])], ["at", "label", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 4000, train_passages: int = 64) -> Attention:
-    """Fit on a bounded sample of the labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 4000) -> Attention:
+    """Fit on a bounded sample of the labelled documents that are not held out; of rows with one identifier, the least text."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     own = own.filter(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     own = own.withColumn("at", F.xxhash64(F.col("id").cast("string"))).orderBy("at", "id").limit(train_docs)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id").select("text", "at", "label")
-    rows = sorted(found.mapInArrow(_bags(train_passages), "at long, label int, bag binary").collect(), key=lambda r: (r["at"], r["bag"]))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id").groupBy("id", "at", "label").agg(F.min("text").alias("text"))
+    rows = sorted(found.select("text", "at", "label").mapInArrow(_bags, "at long, label int, bag binary").collect(), key=lambda r: (r["at"], r["bag"]))
     bags = [np.frombuffer(r["bag"], "<f4").reshape(-1, SHAPES + BUCKETS).astype(float) for r in rows]
     return fit(bags, np.array([r["label"] for r in rows], float))
 
