@@ -9,23 +9,27 @@ and only bands that reach the bound are aligned, by dynamic programming over the
 The benchmark is the bounded side: its items go out in blocks of at most ``block_chars`` characters
 (or one item), each block against all documents; documents are never shuffled.
 
-Edge cases: a null or empty text is clean; items of fewer than ``least`` plain characters, null ones
-included, are too short to name a leak and are ignored; without items every document is clean;
-repeated rows answer separately; an empty table gives an empty result; further columns are ignored.
+Edge cases: a null or empty text is clean; items of fewer than ``least`` plain characters (30, a
+parameter), null ones included, are too short to name a leak and are ignored; without items every
+document is clean; every row answers for itself, whatever its identifier, in any number of blocks; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import ROW, rows
 from .textnum import chunks, rolling, utf8
 
 Q, BUDGET, LEAST = 10, 0.08, 30
+POSTINGS = 1 << 21  # looked at together
 _BITS = 22
 _CODE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64)
 _PLAIN = np.array([c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
@@ -101,12 +105,21 @@ class Items:
         good = hit + self.q <= rows[row + 1]
         hit, slot, row = hit[good], slot[good], row[good]
         n = self.at[slot + 1] - self.at[slot]
-        k = np.repeat(np.arange(len(hit)), n)
-        posting = np.repeat(self.at[slot] - (np.cumsum(n) - n), n) + np.arange(len(k))
-        item = self.item[posting]
-        diagonal = hit[k] - rows[row[k]] - self.place[posting] + self.longest
-        band = diagonal // (self.edits[item] + 1)
-        key, count = np.unique(row[k] << 44 | item << 26 | band, return_counts=True)
+        total = np.append(0, np.cumsum(n))
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lo = 0
+        while lo < len(hit):  # a slice of the postings at a time, whatever the items share
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + POSTINGS, "right")) - 1)
+            m = n[lo:hi]
+            k = np.repeat(np.arange(lo, hi), m)
+            posting = np.repeat(self.at[slot[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(len(k))
+            item = self.item[posting]
+            diagonal = hit[k] - rows[row[k]] - self.place[posting] + self.longest
+            band = diagonal // (self.edits[item] + 1)
+            bands, times = np.unique(row[k] << 44 | item << 26 | band, return_counts=True)
+            key, owner = np.unique(np.concatenate([key, bands]), return_inverse=True)
+            count = np.bincount(owner, np.concatenate([count, times]), minlength=len(key)).astype(np.int64)
+            lo = hi
         both = count + np.where(np.append(key[1:] == key[:-1] + 1, False), np.append(count[1:], 0), 0)
         out: dict[tuple[int, int], int] = {}
         for x in key[both >= self.need[(key >> 26) & ((1 << 18) - 1)]].tolist():
@@ -125,55 +138,60 @@ class Items:
         return sorted((r, i, e) for (r, i), e in out.items())
 
 
-def _search(items) -> Callable:
+def _search(items, names: list[str]) -> Callable:
+    """Rows (names, text) to rows (names, hits)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
         for batch in batches:
-            for first, end, raw, at in chunks(batch.column(1), 1 << 20):
+            for first, end, raw, at in chunks(batch.column(len(names)), 1 << 20):
                 found = own.find(raw, at)
-                rows = np.array([r for r, _, _ in found], np.int64)
-                offsets = pa.array(np.searchsorted(rows, np.arange(end - first + 1)).astype(np.int32))
+                of = np.array([r for r, _, _ in found], np.int64)
+                offsets = pa.array(np.searchsorted(of, np.arange(end - first + 1)).astype(np.int32))
                 hits = pa.StructArray.from_arrays([pa.array([own.ids[i] for _, i, _ in found], items_type(own)), pa.array([e for _, _, e in found], pa.int32())], ["item_id", "edits"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(offsets, hits)], ["doc_id", "hits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, end - first) for k in range(len(names))), pa.ListArray.from_arrays(offsets, hits)], [*names, "hits"])
 
     return run
 
 
 def items_type(own: Items) -> pa.DataType:
-    return pa.string() if own.ids and isinstance(own.ids[0], str) else pa.int64()
+    return pa.string() if any(isinstance(i, str) for i in own.ids) else pa.int64()
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int, least: int = LEAST) -> Iterator[Items]:
     """The benchmark in blocks of a bounded size."""
-    rows = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows_of = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text"))
+    chars = rows_of.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-chars // block_chars))
     for part in range(parts):
-        own = rows.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toLocalIterator()
+        own = rows_of.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).toLocalIterator()
         ids, texts, size = [], [], 0
         for r in own:
             if ids and size + len(r["text"] or "") > 2 * block_chars:
-                yield Items(ids, texts)
+                yield Items(ids, texts, least=least)
                 ids, texts, size = [], [], 0
             ids.append(r["id"])
             texts.append(r["text"])
             size += len(r["text"] or "")
         if ids:
-            yield Items(ids, texts)
+            yield Items(ids, texts, least=least)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1 << 22) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1 << 22, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, hits (array of item_id and edits)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     item_type = "string" if benchmark.schema[item_col].dataType.simpleString() == "string" else "bigint"
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, hits array<struct<item_id:{item_type},edits:int>>"
-    found = [rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(own)), schema) for own in blocks(benchmark, item_col, item_text_col, block_chars)]
-    if not found:
-        return rows.select("doc_id", F.expr(f"cast(array() as array<struct<item_id:{item_type},edits:int>>)").alias("hits"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out if len(found) == 1 else out.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    hits_type = f"array<struct<item_id:{item_type},edits:int>>"
+    shared = [docs.sparkSession.sparkContext.broadcast(own) for own in blocks(benchmark, item_col, item_text_col, block_chars, least)]
+    if not shared:
+        return docs.select("doc_id", F.expr(f"cast(array() as {hits_type})").alias("hits"))
+    if len(shared) == 1:
+        return docs.mapInArrow(_search(shared[0], ["doc_id"]), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hits {hits_type}")
+    docs = rows(docs)
+    own = docs.select(*ROW, "text")
+    found = reduce(DataFrame.unionByName, [own.mapInArrow(_search(b, ROW), f"{ROW[0]} long, {ROW[1]} long, hits {hits_type}").filter(F.size("hits") > 0) for b in shared])
+    each = found.groupBy(*ROW).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return docs.select(*ROW, "doc_id").join(each, ROW, "left").select("doc_id", F.coalesce("hits", F.expr(f"cast(array() as {hits_type})")).alias("hits"))
 
 
 def _keep(items, text_at: int) -> Callable:
@@ -188,8 +206,8 @@ def _keep(items, text_at: int) -> Callable:
     return run
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1 << 22) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1 << 22, least: int = LEAST) -> DataFrame:
     """The documents that hold no item, with all columns; one pass for each block of items."""
-    for own in blocks(benchmark, item_col, item_text_col, block_chars):
+    for own in blocks(benchmark, item_col, item_text_col, block_chars, least):
         docs = docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(own), docs.columns.index(text_col)), docs.schema)
     return docs

@@ -1,7 +1,7 @@
 """Exact dedup: tree-merge of sorted digest runs, in DataFrame operations only.
 
 Every document gets the SHA-256 of its normalised text. A document's run is a hash of its
-identifier, so a run holds about ``run_rows`` documents whatever the corpus looks like. Each run is
+row's place, so a run holds about ``run_rows`` documents whatever the corpus looks like. Each run is
 aggregated to one row per digest; then runs meet in rounds, ``fan_in`` neighbours at a time, and each
 round keeps, per digest, the best row so far and how many rows it stands for. A round's group holds
 at most ``fan_in`` rows, so a text that fills a third of the corpus costs no task more than a rare
@@ -12,7 +12,7 @@ A digest is only ever merged with one that also has the same second hash and the
 length, at every level, so the smallest identifiers are verified ones.
 
 Edge cases: a null text counts as empty; empty texts are equal to one another; rows that repeat the
-same identifier and text are counted as often as they occur and share one answer; a null identifier
+same identifier and text are counted as often as they occur, and one of them stays; a null identifier
 is a row like any other and, sorting last, stays only where no other does; an empty table gives an
 empty result; further columns are ignored.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import ROW, materialise, rows
 
 WHITESPACE = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 KEY = ["digest", "proof", "n_norm"]
@@ -38,20 +38,25 @@ def normalised(text: Column) -> Column:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_rows: int = 4096, fan_in: int = 16) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    text = F.col(text_col)
-    leaf = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"), normalised(text).alias("norm"))
-    leaf = leaf.select("doc_id", "n_chars", F.sha2("norm", 256).alias("digest"), F.xxhash64("norm").alias("proof"), F.length("norm").alias("n_norm"))
+    docs = rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return _dedup(docs, run_rows, fan_in).drop(*ROW)
+
+
+def _dedup(docs: DataFrame, run_rows: int = 4096, fan_in: int = 16) -> DataFrame:
+    """``docs``: ROW, doc_id, text; the answer keeps ROW."""
+    text = F.col("text")
+    leaf = docs.select(*ROW, "doc_id", F.coalesce(F.length(text), F.lit(0)).alias("n_chars"), normalised(text).alias("norm"))
+    leaf = leaf.select(*ROW, "doc_id", "n_chars", F.sha2("norm", 256).alias("digest"), F.xxhash64("norm").alias("proof"), F.length("norm").alias("n_norm"))
     leaf = materialise(leaf, "digests")
     runs, n = 1, leaf.count()
     while runs * run_rows < n:
         runs *= fan_in
-    leaf = leaf.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
+    leaf = leaf.withColumn("run", F.pmod(F.xxhash64(*ROW), F.lit(runs)))
 
     def best(first: Column) -> Column:
         return F.min(first).alias("best")
 
-    mine = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"))
+    mine = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), *ROW)
     levels = [materialise(leaf.groupBy("run", *KEY).agg(best(mine), F.count(F.lit(1)).alias("rows")), "run-0")]
     while runs > 1:
         runs //= fan_in
@@ -63,11 +68,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         above = answer.withColumnRenamed("run", "up")
         answer = below.join(above, ["up", *KEY]).drop("up")
     out = leaf.join(answer, ["run", *KEY])
-    keep = F.col("best.id")
-    return out.select("doc_id", keep.alias("keep_id"), F.col("rows").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
+    mine = F.lit(True)
+    for c in ROW:
+        mine = mine & (F.col(c) == F.col(f"best.{c}"))
+    return out.select(*ROW, "doc_id", F.col("best.id").alias("keep_id"), F.col("rows").cast("long").alias("group_size"), mine.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows that stay, one of each text, with all their columns."""
+    docs = rows(docs)
+    kept = _dedup(docs.select(*ROW, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).filter("kept").select(*ROW)
+    return docs.join(kept, ROW, "left_semi").drop(*ROW)

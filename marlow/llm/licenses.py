@@ -17,9 +17,9 @@ apart by the words beside them, for *none* has templates of capitalised prose.
 The feature weights are a table of a bounded size, the n-grams of the templates, so joining it never
 moves the candidates. Words of texts without a cue are never shuffled.
 
-Edge cases: a null or empty text has no notice; equal notices of one document count separately;
-rows that repeat an identifier are told apart by their text; an empty table gives an empty result;
-further columns are ignored.
+Edge cases: a null or empty text has no notice; equal notices of one document count separately; every
+row is told apart by its place, so repeated rows have the same notices each and null identifiers are
+like any other; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .expressions import let
+from .store import ROW, materialise, rows
 
 #: Opening phrases and notices of the licence families, and lines that only look like one.
 TEMPLATES = {
@@ -124,8 +125,13 @@ def _words(text: Column) -> Column:
 def _grams(words: Column) -> Column:
     """Distinct words and word pairs, without final stops."""
     plain = F.transform(words, lambda w: F.regexp_replace(w, r"\.+$", ""))
-    pairs = F.when(F.size(plain) > 1, F.transform(F.sequence(F.lit(1), F.size(plain) - 1), lambda i: F.concat_ws(" ", F.element_at(plain, i), F.element_at(plain, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(plain, pairs))
+    return let(plain, lambda own: F.array_distinct(F.concat(own, _pairs(own))))
+
+
+def _pairs(words: Column) -> Column:
+    """Every two neighbours, a blank between; ``words`` is walked once."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def _samples(spark: SparkSession) -> DataFrame:
@@ -216,8 +222,7 @@ def _best(spans: str) -> Column:
 def _spans(texts: DataFrame, alike: float) -> DataFrame:
     """(row, spans): where a text holds enough of a template's pairs within twice its length, by place of words."""
     known = _known(texts.sparkSession, set(TEMPLATES) - {"none"}).select("family", "number", F.size("pairs").alias("size"), F.explode("pairs").alias("gram"))
-    at = F.sequence(F.lit(0), F.size("words") - 2)
-    pairs = texts.filter(F.size("words") > 1).select("row", F.posexplode(F.transform(at, lambda i: F.concat_ws(" ", F.get("words", i)["word"], F.get("words", i + 1)["word"]))).alias("at", "gram"))
+    pairs = texts.filter(F.size("words") > 1).select("row", F.posexplode(let(F.transform("words", lambda w: w["word"]), _pairs)).alias("at", "gram"))
     hits = pairs.join(F.broadcast(known), "gram").withColumn("scaled", (F.col("at") * 1000 / (2 * F.col("size") + 8)).cast("long"))
     near = Window.partitionBy("row", "family", "number").orderBy("scaled").rangeBetween(0, 1000)
     hits = hits.select("row", "family", "number", "size", "at", F.array_sort(F.collect_list(F.struct("at", "gram")).over(near)).alias("near"))
@@ -231,20 +236,20 @@ def _spans(texts: DataFrame, alike: float) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, alike: float) -> DataFrame:
-    """(doc_id, copy, row, paragraph, part, run, whole, grams): spans of templates, runs of lines and lines.
+    """(ROW, doc_id, row, paragraph, part, run, whole, grams): spans of templates, runs of lines and lines.
 
     ``run`` is null for spans of templates, ``whole`` says that a run is meant and not a line of it.
     """
-    rows = docs.filter(F.col("text").rlike(CUES)).withColumn("copy", F.xxhash64("text")).groupBy("doc_id", "copy").agg(F.first("text").alias("text"))
+    cued = docs.filter(F.col("text").rlike(CUES))
     clean = lambda line: F.regexp_replace(line, r"^\s*(?i:rem|dnl|--+)(?=\s)", "")
     lines = F.transform(F.split("text", "\n"), lambda s: F.struct(F.transform(_words(clean(s)), lambda w: F.regexp_replace(w, r"\.+$", "")).alias("ws"), s.rlike(CUES).alias("cue"), s.rlike(r"[.:!?][^\p{L}\p{N}]*$").alias("ends")))
-    rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "copy", lines.alias("lines")), "licence-lines")
-    texts = rows.select("row", "doc_id", "copy", "lines", F.flatten(F.transform("lines", lambda s, i: F.transform(s["ws"], lambda w: F.struct(i.alias("line"), w.alias("word"))))).alias("words"))
+    cued = materialise(cued.select(F.monotonically_increasing_id().alias("row"), *ROW, "doc_id", lines.alias("lines")), "licence-lines")
+    texts = cued.select("row", *ROW, "doc_id", "lines", F.flatten(F.transform("lines", lambda s, i: F.transform(s["ws"], lambda w: F.struct(i.alias("line"), w.alias("word"))))).alias("words"))
     texts = texts.join(_spans(texts, alike), "row", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))
     at = lambda i: F.get("words", i)["line"]
     ranges = F.transform("spans", lambda s, k: F.struct(at(s["start"]).alias("first"), at(s["stop"] + 1).alias("last"), F.coalesce(F.get("spans", k - 1)["stop"] + 1, F.lit(-1)).alias("after"), F.coalesce(F.get("spans", k + 1)["start"], F.size("words")).alias("before")))
     texts = materialise(texts.withColumn("ranges", ranges), "licence-texts")
-    key = ["doc_id", "copy", "row"]
+    key = [*ROW, "doc_id", "row"]
 
     found = texts.select(*key, "words", F.posexplode("ranges").alias("part", "r"))
     inside = F.filter("words", lambda w, i: (w["line"] >= F.col("r.first")) & (w["line"] <= F.col("r.last")) & (i > F.col("r.after")) & (i < F.col("r.before")))
@@ -265,10 +270,16 @@ def _candidates(docs: DataFrame, alike: float) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.5, alike: float = 0.6) -> DataFrame:
-    """A row for each licence notice: doc_id, copy, paragraph (its first line), family, probability, confirmed."""
+    """A row for each licence notice: doc_id, paragraph (its first line), family, probability, confirmed."""
+    docs = rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return _scan(docs, sure, alike).drop(*ROW)
+
+
+def _scan(docs: DataFrame, sure: float = 0.5, alike: float = 0.6) -> DataFrame:
+    """``docs``: ROW, doc_id, text; the notices keep ROW."""
+    weights, temperature = train(docs.sparkSession)
     spark = docs.sparkSession
-    weights, temperature = train(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     lines = materialise(_candidates(docs, alike).withColumn("place", F.monotonically_increasing_id()), "licence-candidates")
     top = _softmax(_scores(_features(lines, ["place"]), weights, ["place"]), ["place"], temperature).select("place", F.element_at("ps", 1).alias("s"))
 
@@ -281,12 +292,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure:
     judged = judged.withColumn("confirmed", F.coalesce(share >= alike, F.lit(False)) | named)
     judged = judged.withColumn("run_counts", F.coalesce(F.max("whole").over(Window.partitionBy("row", "run")) & F.col("run").isNotNull(), F.lit(False))).filter("whole or not run_counts")
     confirmed = F.col("confirmed")
-    return judged.select("doc_id", "copy", "paragraph", F.when(confirmed, F.col("family")).otherwise("unknown").alias("family"), F.col("probability"), confirmed)
+    return judged.select(*ROW, "doc_id", "paragraph", F.when(confirmed, F.col("family")).otherwise("unknown").alias("family"), F.col("probability"), confirmed)
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, families (sorted), n_notices, n_unknown."""
-    found = scan(docs, id_col, text_col).groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set("family")).alias("families"), F.count(F.lit(1)).alias("n_notices"), F.count_if(~F.col("confirmed")).alias("n_unknown"))
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy"))
-    out = ids.join(found, ["doc_id", "copy"], "left")
+    docs = rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    found = _scan(docs).groupBy(*ROW).agg(F.array_sort(F.collect_set("family")).alias("families"), F.count(F.lit(1)).alias("n_notices"), F.count_if(~F.col("confirmed")).alias("n_unknown"))
+    out = docs.select(*ROW, "doc_id").join(found, ROW, "left")
     return out.select("doc_id", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"))

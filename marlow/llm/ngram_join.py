@@ -14,11 +14,13 @@ the sets of the smaller visit the larger. A task holds one block's index and str
 it, counts every intersection exactly, and returns a spanning forest of the links and their number.
 Components then come from the forests, in Spark.
 
-A set is named by a 64-bit hash of its content; shingles are 64-bit hashes of words.
+A set is named by a 64-bit hash of its content; shingles are 64-bit hashes of mixed word hashes.
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing; fewer words than a
-shingle make one shingle of all of them; rows with the same identifier are nodes with equal sets; an
-empty table gives an empty result; further columns are ignored.
+shingle make one shingle of all of them; every row is a document of its own, told apart by its place
+and not by its identifier, so rows that repeat are copies and rows of one identifier may hold
+different texts; a null identifier links like any other and is never the smallest, so only a component
+of such rows has a null one; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import discard, materialise
+from .store import ROW, discard, materialise, rows
 from .textnum import chunks, lower_ascii, mix, rolling, span_hashes, words
 
 TINY = 8  # up to so many shingles, and from LEAST on, one-deletion neighbourhoods find all links
@@ -114,7 +116,7 @@ def _index(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for first, end, raw, at in chunks(batch.column(1)):
+            for first, end, raw, at in chunks(batch.column(3)):
                 tokens, sets = shingle_sets(raw, at, width)
                 size, name = np.diff(sets), names(tokens, sets).view(np.int64)
                 row, key = signatures(tokens, sets)
@@ -123,7 +125,7 @@ def _index(width: int) -> Callable:
                 row, key = row[keep], key[keep]
                 offsets = np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(size), pa.array(name), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))], ["doc_id", "n_shingles", "name", "keys"]
+                    [*(batch.column(k).slice(first, end - first) for k in range(3)), pa.array(size), pa.array(name), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))], [*ROW, "doc_id", "n_shingles", "name", "keys"]
                 )
 
     return run
@@ -261,17 +263,14 @@ def _verify(width: int, percent: int) -> Callable:
     return run
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links.
-
-    ``percent`` may be raised above 80, which the index is built for, not lowered.
-    """
+def _linked(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """``docs``: ROW, doc_id, text. (nodes: ROW, doc_id, n_shingles, name; sets: name, least row of the component, n_links)."""
     if percent < 80:
         raise ValueError("the index finds links of 80 percent or more")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    indexed = materialise(docs.mapInArrow(_index(width), f"doc_id {id_type}, n_shingles long, name long, keys array<long>"), "shingle-index")
-    nodes = materialise(indexed.select("doc_id", "n_shingles", "name"), "shingle-sets")
+    own = f"{ROW[0]} long, {ROW[1]} long, doc_id {id_type}, n_shingles long, name long"
+    indexed = materialise(docs.mapInArrow(_index(width), f"{own}, keys array<long>"), "shingle-index")
+    nodes = materialise(indexed.drop("keys"), "shingle-sets")
     keyed = indexed.select(F.explode("keys").alias("key"), "name").repartition("key").sortWithinPartitions("key", "name")
     met = materialise(keyed.mapInArrow(_meetings, "key long, name long, leader long"), "meetings")
     discard(indexed)
@@ -279,7 +278,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = met.groupBy("name").agg(F.min("leader").alias("cluster"))
     sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     home = near.join(sizes, "cluster").select("name", F.xxhash64("cluster", F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / block))).alias("block"))
-    copies = nodes.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *ROW)).alias("first")
+    copies = nodes.filter("n_shingles > 0").groupBy("name").agg(first, F.count(F.lit(1)).alias("copies"))
     home = materialise(home.join(copies, "name"), "blocks")
 
     # Two blocks that meet under any key are neighbours; the sets of the smaller one visit the larger.
@@ -288,7 +288,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = there.join(there.withColumnRenamed("place", "larger"), "key").filter("place < larger").select("place.block", F.col("larger.block").alias("there")).distinct()
     visits = home.select("name", "block").join(pairs, "block").select("name", F.col("there").alias("block"), F.lit(1).alias("visiting"))
     stays = home.select("name", "block", F.lit(0).alias("visiting"))
-    texts = docs.join(home.select(F.col("first_id").alias("doc_id"), "name", "copies").hint("merge"), "doc_id").select("name", "copies", "text")
+    texts = docs.join(home.select(*[F.col(f"first.{c}").alias(c) for c in ROW], "name", "copies").hint("merge"), ROW).select("name", "copies", "text")
     work = stays.unionByName(visits).join(texts.hint("merge"), "name").select("block", "visiting", "name", "copies", "text")
     work = work.repartition("block").sortWithinPartitions("block", "visiting", "name")
     found = materialise(work.mapInArrow(_verify(width, percent), "a long, b long, links long"), "links")
@@ -296,16 +296,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = connected_components(found.filter("a <> b").select("a", "b"))
     degree = found.filter("a = b").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
     rooted = roots.withColumnRenamed("node", "name").join(copies, "name")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("name", "component_id")
-    named = copies.join(named, "name", "left").join(degree, "name", "left")
-    named = named.select("name", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = nodes.filter("n_shingles > 0").join(named, "name").select("doc_id", "n_shingles", "component_id", "n_links")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    named = copies.join(rooted.join(least, "root").select("name", "root", "least"), "name", "left").join(degree, "name", "left")
+    return nodes, named.select("name", F.coalesce("least", "first").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links.
+
+    ``percent`` may be raised above 80, which the index is built for, not lowered.
+    """
+    docs = rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    nodes, named = _linked(docs, width, percent, block)
+    full = nodes.filter("n_shingles > 0").join(named, "name").select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "n_links")
     blank = nodes.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(blank)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The smallest document of every component, with all columns."""
-    kept = ngram_join(docs, id_col, text_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    """The first row of every component, with all columns: of the smallest identifier, one row where it repeats.
+
+    Rows without a shingle link with nothing and stay.
+    """
+    docs = rows(docs)
+    nodes, named = _linked(docs.select(*ROW, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), **options)
+    kept = named.select(*(F.col(f"least.{c}").alias(c) for c in ROW)).unionByName(nodes.filter("n_shingles = 0").select(*ROW))
+    return docs.join(kept, ROW, "left_semi").drop(*ROW)

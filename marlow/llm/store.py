@@ -1,59 +1,35 @@
-"""Tables that cut lineage, in the folder that driver and executors share.
-
-The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset (tests, a laptop) a
-temporary folder is made once per session.
-"""
+"""Written tables of the operators, and a name of its own for every row of a table."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-_WRITTEN: dict[str, list[str]] = {}
-
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="marlow-")
-    return _OWN[app]
+from .. import store
+from ..store import discard, new_path, purge, shared_dir
 
+__all__ = ["ROW", "discard", "materialise", "new_path", "purge", "rows", "shared_dir"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    path = f"{shared_dir(spark)}/marlow/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+#: The columns that name a row: of a Parquet table its file and place, else the places of a copy.
+ROW = ["__row_file", "__row_at"]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back with the same schema."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written can go now
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def purge(spark: SparkSession) -> None:
-    """Delete every table this session wrote; call once results that read them are stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a materialised DataFrame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+    """Write ``df`` once and read it back; the shuffle files of what has been written are let go."""
+    out = store.materialise(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def rows(df: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``ROW`` before its own, which tell rows apart whatever they hold.
+
+    Rows of a Parquet scan have the name of their place. Other plans may come out in another order
+    when they are computed again, so they are written once, with a number for each row.
+    """
+    try:
+        return df.select(F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]), "*")
+    except AnalysisException:
+        numbered = df.select(F.lit(0).cast("long").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1]), "*")
+        return materialise(numbered, "rows")

@@ -13,13 +13,15 @@ one *path* (about 14 windows on average), and equal windows always lie in paths
    than once are repeated whole.
 4. The repeated coordinates are joined to their documents, which drop the covered words.
 
-A window's identity is the pair of two independent 64-bit hashes (seed and words) with its offset.
+A window's identity is the pair of two independent 64-bit hashes (seed and words) with its offset; both
+are of mixed hashes of whole words.
 Hot passages meet in aggregates with map-side combination and in joins that Spark may split; no group
 is gathered.
 
 Edge cases: a null or empty text has no words and keeps the empty text; a document shorter than a
-window loses nothing; rows with the same identifier must hold the same text and count as separate
-copies; an empty table gives an empty result; further columns are ignored.
+window loses nothing; every row is a document of its own, told apart by its place and not by its
+identifier, which may repeat or be null; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import ROW, discard, materialise, rows
 from .textnum import chunks, mix, powers, rolling, span_hashes, words
 
 _AT = 28  # low bits that hold a position; the rest of a packed value orders by hash
-_PATHS = "doc_id long, seed long, body long, lo int, hi int"
+_AT_ROW = f"{ROW[0]} long, {ROW[1]} long"
+_PATHS = f"{_AT_ROW}, seed long, body long, lo int, hi int"
 
 
 def _sums(codes: np.ndarray) -> np.ndarray:
@@ -78,25 +81,29 @@ def paths(raw: np.ndarray, at: np.ndarray, window: int, seed: int) -> tuple[np.n
     return row, seeds[anchor].view(np.int64), mix(body + shape, 3).view(np.int64), lo - rows[row], hi - rows[row]
 
 
+def _of(batch: pa.RecordBatch, first: int, end: int, pick: np.ndarray) -> list[pa.Array]:
+    """The names of picked rows of a chunk."""
+    return [batch.column(k).slice(first, end - first).take(pa.array(pick)) for k in range(2)]
+
+
 def _to_paths(window: int, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, end, raw, at in chunks(batch.column(1)):
+            for first, end, raw, at in chunks(batch.column(2)):
                 row, key, body, lo, hi = paths(raw, at, window, seed)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([ids.slice(first, end - first).take(pa.array(row)), pa.array(key), pa.array(body), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc_id", "seed", "body", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([*_of(batch, first, end, row), pa.array(key), pa.array(body), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], [*ROW, "seed", "body", "lo", "hi"])
 
     return run
 
 
 def _spell(window: int) -> Callable:
-    """Rows (doc_id, text, paths) to a row for each window of each path."""
+    """Rows (ROW, text, paths) to a row for each window of each path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0), batch.column(2)
-            for first, end, raw, at in chunks(batch.column(1)):
+            lists = batch.column(3)
+            for first, end, raw, at in chunks(batch.column(2)):
                 starts, ends, rows = words(raw, at)
                 sums = _sums(mix(span_hashes(raw, starts, ends), 4))
                 part = lists.slice(first, end - first)
@@ -110,7 +117,7 @@ def _spell(window: int) -> Callable:
                 g = rows[row[k]] + s
                 h = (sums[g + window] - sums[g]) * powers(len(sums), inverse=True)[g]
                 if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(mix(h, 5).view(np.int64)), pa.array(many[k]), ids.slice(first, end - first).take(pa.array(row[k])), pa.array(s.astype(np.int32))], ["seed", "body", "many", "doc_id", "lo"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(mix(h, 5).view(np.int64)), pa.array(many[k]), *_of(batch, first, end, row[k]), pa.array(s.astype(np.int32))], ["seed", "body", "many", *ROW, "lo"])
 
     return run
 
@@ -141,23 +148,25 @@ def _drop(window: int) -> Callable:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, seed: int = 8) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = _PATHS.replace("doc_id long", f"doc_id {id_type}")
-    rows = materialise(docs.mapInArrow(_to_paths(window, seed), schema), "paths")
-    seeds = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("a"), F.max("body").alias("b")).filter("n > 1").select("seed", (F.col("a") != F.col("b")).alias("branching"))
-    shared = materialise(rows.join(seeds, "seed"), "shared-paths")
+    edges = materialise(docs.select(*ROW, "text").mapInArrow(_to_paths(window, seed), _PATHS), "paths")
+    seeds = edges.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("a"), F.max("body").alias("b")).filter("n > 1").select("seed", (F.col("a") != F.col("b")).alias("branching"))
+    shared = materialise(edges.join(seeds, "seed"), "shared-paths")
+    discard(edges)
 
-    straight = shared.filter("not branching").select("doc_id", "lo", "hi")
+    straight = shared.filter("not branching").select(*ROW, "lo", "hi")
     branching = shared.filter("branching")
-    bodies = materialise(branching.groupBy("seed", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("at")), "distinct-paths")
-    whole = branching.join(bodies.filter("n > 1").select("seed", "body"), ["seed", "body"]).select("doc_id", "lo", "hi")
+    bodies = materialise(branching.groupBy("seed", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "lo", "hi")).alias("at")), "distinct-paths")
+    whole = branching.join(bodies.filter("n > 1").select("seed", "body"), ["seed", "body"]).select(*ROW, "lo", "hi")
 
-    spelt = bodies.select("at.doc_id", F.struct("at.lo", "at.hi", "seed", (F.col("n") > 1).alias("many")).alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias("paths"))
-    single = materialise(docs.join(spelt, "doc_id").select("doc_id", "text", "paths").mapInArrow(_spell(window), f"seed long, body long, many boolean, doc_id {id_type}, lo int"), "windows")
+    spelt = bodies.select("at.*", F.struct("at.lo", "at.hi", "seed", (F.col("n") > 1).alias("many")).alias("p")).groupBy(*ROW).agg(F.collect_list("p").alias("paths"))
+    single = materialise(docs.join(spelt, ROW).select(*ROW, "text", "paths").mapInArrow(_spell(window), f"seed long, body long, many boolean, {_AT_ROW}, lo int"), "windows")
     common = single.groupBy("seed", "body").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", "body")
-    parted = single.filter("not many").join(common, ["seed", "body"]).select("doc_id", "lo", F.col("lo").alias("hi"))
+    parted = single.filter("not many").join(common, ["seed", "body"]).select(*ROW, "lo", F.col("lo").alias("hi"))
 
-    spans = straight.unionByName(whole).unionByName(parted).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = straight.unionByName(whole).unionByName(parted).groupBy(*ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = materialise(spans, "repeated-spans")
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_drop(window), f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
+    for used in (shared, bodies, single):
+        discard(used)
+    return docs.join(spans, ROW, "left").select("doc_id", "text", "spans").mapInArrow(_drop(window), f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
