@@ -9,10 +9,11 @@ shingles, which few sets share, come first, empty ones last, and a set indexes o
 one-deletion neighbourhood instead.
 
 Equal sets are one node throughout. Sets that meet in a segment are not paired: they are dealt to
-blocks of about ``block`` sets that share their least neighbour, and of two blocks that met anywhere
-the sets of the smaller visit the larger. A task holds one block's index and streams the visitors past
-it, counts every intersection exactly, and returns a spanning forest of the links and their number.
-Components then come from the forests, in Spark.
+blocks of about ``block`` sets that share their least neighbour. A task holds one block's index, counts
+every intersection exactly, and returns a spanning forest of the links. One set of each component then
+meets those of others in blocks of their own, round by round, and where sets of different components
+still share a segment, the smaller block's visit the larger one. So every link between components is
+found, and none is looked for within one. Components come from the forests, in Spark.
 
 A set is named by a 64-bit hash of its content; shingles are 64-bit hashes of mixed word hashes.
 
@@ -263,7 +264,39 @@ def _verify(width: int, percent: int) -> Callable:
     return run
 
 
-def _linked(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256) -> tuple[DataFrame, DataFrame]:
+def _verified(work: DataFrame, width: int, percent: int) -> DataFrame:
+    """``work``: block, visiting, name, copies, text. Rows (a, b, links) of every block."""
+    dealt = work.select("block", "visiting", "name", "copies", "text").repartition("block").sortWithinPartitions("block", "visiting", "name")
+    return materialise(dealt.mapInArrow(_verify(width, percent), "a long, b long, links long"), "links")
+
+
+def _blocks(names: DataFrame, block: int) -> DataFrame:
+    """(name, block): the names of a cluster dealt to blocks of about ``block``. ``names``: name, cluster."""
+    sizes = names.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return names.join(sizes, "cluster").select("name", F.xxhash64("cluster", F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / block))).alias("block"))
+
+
+def _visits(places: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(name, block) of the visits: of two blocks that meet under a key, the names of the smaller go to the larger.
+
+    ``places``: name, block; ``keyed``: key, name, and ``root`` where names of one root need not meet.
+    """
+    weighed = places.join(places.groupBy("block").agg(F.count(F.lit(1)).alias("weight")), "block")
+    at = keyed.join(weighed, "name").groupBy("key", F.struct("weight", "block").alias("place")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    at = materialise(at, "met-blocks")
+    apart = (F.col("low") != F.col("other_low")) | (F.col("low") != F.col("high")) | (F.col("other_low") != F.col("other_high"))
+    other = at.withColumnsRenamed({"place": "larger", "low": "other_low", "high": "other_high"})
+    pairs = at.join(other, "key").filter("place < larger").filter(apart).select("place.block", F.col("larger.block").alias("there")).distinct()
+    return places.join(pairs, "block").select("name", F.col("there").alias("block"))
+
+
+def _rooted(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, root): every name with the least name that the edges lead to, its own where there is none."""
+    roots = connected_components(edges).withColumnRenamed("node", "name")
+    return materialise(names.select("name").join(roots, "name", "left").select("name", F.coalesce("root", "name").alias("root")), "roots")
+
+
+def _linked(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256, count_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """``docs``: ROW, doc_id, text. (nodes: ROW, doc_id, n_shingles, name; sets: name, least row of the component, n_links)."""
     if percent < 80:
         raise ValueError("the index finds links of 80 percent or more")
@@ -275,41 +308,82 @@ def _linked(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256
     met = materialise(keyed.mapInArrow(_meetings, "key long, name long, leader long"), "meetings")
     discard(indexed)
 
-    near = met.groupBy("name").agg(F.min("leader").alias("cluster"))
-    sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    home = near.join(sizes, "cluster").select("name", F.xxhash64("cluster", F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / block))).alias("block"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *ROW)).alias("first")
     copies = nodes.filter("n_shingles > 0").groupBy("name").agg(first, F.count(F.lit(1)).alias("copies"))
-    home = materialise(home.join(copies, "name"), "blocks")
-
-    # Two blocks that meet under any key are neighbours; the sets of the smaller one visit the larger.
-    weighed = home.select("name", "block").join(home.groupBy("block").agg(F.count(F.lit(1)).alias("weight")), "block")
-    there = materialise(met.select("key", "name").join(weighed, "name").select("key", F.struct("weight", "block").alias("place")).distinct(), "met-blocks")
-    pairs = there.join(there.withColumnRenamed("place", "larger"), "key").filter("place < larger").select("place.block", F.col("larger.block").alias("there")).distinct()
-    visits = home.select("name", "block").join(pairs, "block").select("name", F.col("there").alias("block"), F.lit(1).alias("visiting"))
-    stays = home.select("name", "block", F.lit(0).alias("visiting"))
-    texts = docs.join(home.select(*[F.col(f"first.{c}").alias(c) for c in ROW], "name", "copies").hint("merge"), ROW).select("name", "copies", "text")
-    work = stays.unionByName(visits).join(texts.hint("merge"), "name").select("block", "visiting", "name", "copies", "text")
-    work = work.repartition("block").sortWithinPartitions("block", "visiting", "name")
-    found = materialise(work.mapInArrow(_verify(width, percent), "a long, b long, links long"), "links")
-
-    roots = connected_components(found.filter("a <> b").select("a", "b"))
-    degree = found.filter("a = b").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
-    rooted = roots.withColumnRenamed("node", "name").join(copies, "name")
+    home = materialise(_blocks(met.groupBy("name").agg(F.min("leader").alias("cluster")), block).join(copies, "name"), "blocks")
+    texts = docs.join(home.select(*[F.col(f"first.{c}").alias(c) for c in ROW], "name", "block", "copies").hint("merge"), ROW)
+    texts = materialise(texts.select("name", "block", "copies", "text"), "met-texts")
+    stays = texts.withColumn("visiting", F.lit(0))
+    names, met_names = texts.select("name"), met.select("key", "name")
+    if count_links:
+        visits = _visits(home.select("name", "block"), met_names.withColumn("root", F.col("name")))
+        found = _verified(stays.unionByName(visits.join(texts.drop("block").hint("merge"), "name").withColumn("visiting", F.lit(1))), width, percent)
+        edges = [found.filter("a <> b").select("a", "b")]
+        roots = _rooted(names, edges[0])
+        degree = found.filter("a = b").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
+    else:
+        roots, degree = _connected(home, texts, met_names, block, width, percent), None
+
+    rooted = roots.join(copies, "name")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    named = copies.join(rooted.join(least, "root").select("name", "root", "least"), "name", "left").join(degree, "name", "left")
-    return nodes, named.select("name", F.coalesce("least", "first").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = copies.join(rooted.join(least, "root").select("name", "least"), "name", "left").select("name", "copies", F.coalesce("least", "first").alias("least"))
+    if degree is not None:
+        named = named.join(degree, "name", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    return nodes, named
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links.
+def _connected(home: DataFrame, texts: DataFrame, met: DataFrame, block: int, width: int, percent: int) -> DataFrame:
+    """(name, root) of all names, without comparing what is linked already.
 
-    ``percent`` may be raised above 80, which the index is built for, not lowered.
+    First every block on its own. Then, for as long as it joins more than a few, one set of each
+    component meets the others under its keys in new blocks, so a large group of near copies closes in a
+    few rounds of shrinking size. Last, under keys that still hold sets of several components, the sets
+    of a block visit each block whose components are not its own; that finds every link left.
+    """
+    edges = _verified(texts.withColumn("visiting", F.lit(0)), width, percent).filter("a <> b").select("a", "b")
+    names = texts.select("name")
+    roots = _rooted(names, edges)
+    while True:
+        several = met.join(roots, "name").select("key", "root").distinct()
+        several = several.join(several.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("cluster")).filter("n > 1"), "key")
+        heads = materialise(several.groupBy(F.col("root").alias("name")).agg(F.min("cluster").alias("cluster")), "heads")
+        n = heads.count()
+        if not n:
+            return roots
+        work = _blocks(heads, block).join(texts.drop("block").hint("merge"), "name").withColumn("visiting", F.lit(0))
+        more = _verified(work, width, percent).filter("a <> b").select("a", "b")
+        joined = more.count()
+        if joined:
+            edges = materialise(roots.select(F.col("root").alias("a"), F.col("name").alias("b")).filter("a <> b").unionByName(more), "joined")
+            roots = _rooted(names, edges)
+        if joined * 8 < n:
+            break
+    still = met.join(roots, "name")
+    still = still.join(still.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "key", "left_semi")
+    still = materialise(still.select("key", "name", "root"), "open-keys")
+    places = home.select("name", "block").join(still.select("name").distinct(), "name", "left_semi")
+    visits = _visits(places, still).withColumn("visiting", F.lit(1))
+    stays = places.join(visits.select("block").distinct(), "block", "left_semi").withColumn("visiting", F.lit(0))
+    work = stays.select("name", "block", "visiting").unionByName(visits.select("name", "block", "visiting")).join(texts.drop("block").hint("merge"), "name")
+    more = _verified(work, width, percent).filter("a <> b").select("a", "b")
+    if more.isEmpty():
+        return roots
+    return _rooted(names, roots.select(F.col("root").alias("a"), F.col("name").alias("b")).filter("a <> b").unionByName(more))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 256, count_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and, if ``count_links``, n_links.
+
+    ``percent`` may be raised above 80, which the index is built for, not lowered. Counting links compares
+    every two sets that meet, also those whose component is known, which a large group of near copies
+    makes dear.
     """
     docs = rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    nodes, named = _linked(docs, width, percent, block)
-    full = nodes.filter("n_shingles > 0").join(named, "name").select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "n_links")
-    blank = nodes.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    nodes, named = _linked(docs, width, percent, block, count_links)
+    counted = [F.col("n_links")] if count_links else []
+    full = nodes.filter("n_shingles > 0").join(named, "name").select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), *counted)
+    none = [F.lit(0).cast("long").alias("n_links")] if count_links else []
+    blank = nodes.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *none)
     return full.unionByName(blank)
 
 

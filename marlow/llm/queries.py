@@ -96,9 +96,8 @@ WITH RECURSIVE w AS (
 ), links AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
 ), reach(doc_id, r) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r
-), least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1
-), degree AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY 1)
-SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id, coalesce(d.n, 0) AS n_links FROM sets s JOIN least l USING (doc_id) LEFT JOIN degree d USING (doc_id)
+), least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id FROM sets s JOIN least l USING (doc_id)
 """,
     "op4_substring_dedup": r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents

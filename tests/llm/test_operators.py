@@ -103,8 +103,8 @@ def linked(texts):
 
 
 def test_ngram_join(spark, docs, texts, none):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(docs).collect()}
-    assert got == dict(enumerate(linked(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {i: x[:2] for i, x in enumerate(linked(texts))}
     assert ngram_join.ngram_join(none).count() == 0
     assert ngram_join.keep_one(docs).columns == docs.columns
 
@@ -122,8 +122,12 @@ def test_ngram_join_of_a_large_near_group(spark):
     for n in range(4, 14):  # short sets that differ by one shingle
         texts += [" ".join(f"s{n}-{k}" for k in range(n + 4)), " ".join(f"s{n}-{k}" for k in range(n + 5))]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(rows, block=8).collect()}
-    assert got == dict(enumerate(linked(texts)))
+    want = linked(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(rows, block=8, count_links=True).collect()}
+    assert got == dict(enumerate(want))
+    for block in (4, 32):  # most links between blocks, or within
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(rows, block=block).collect()}
+        assert got == {i: x[:2] for i, x in enumerate(want)}
 
 
 def test_substring_dedup(spark, docs, texts, none):

@@ -62,7 +62,7 @@ def test_ngram_join(docs, table):
     for (i, _), (_, root, _) in zip(table, found, strict=True):
         groups[root].append(i)
     want = bag((i, n, least(groups[root]), links) for (i, _), (n, root, links) in zip(table, found, strict=True))
-    assert bag(tuple(r) for r in ngram_join.ngram_join(docs).collect()) == want
+    assert bag(tuple(r) for r in ngram_join.ngram_join(docs, count_links=True).collect()) == want
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     assert bag(r.doc_id for r in kept.collect()) == bag(least(v) for v in groups.values())
