@@ -108,7 +108,7 @@ class Engine:
         """Nodes of a path, ancestors included; a path that fails is tried once more in canonical form."""
         row = self.documents.filter(F.col("id") == doc).select("id", "document")
         paths = F.array(F.lit(location), F.lit(canonical_link(location)))
-        tried = row.select("id", "document", F.posexplode(paths).alias("attempt", "path")).select("id", "attempt", tree.lookup_udf()("document", "path").alias("at")).filter("size(at) > 0")
+        tried = row.select("id", F.posexplode(tree.lookup_udf()("document", paths)).alias("attempt", "at")).filter("size(at) > 0")
         best = tried.groupBy("id").agg(F.min_by("at", "attempt").alias("at"))
         targets = best.select(F.col("id").alias("doc_id"), F.explode("at").alias("target"))
         return tree.cull(self.nodes.filter(F.col("doc_id") == doc), targets)

@@ -110,3 +110,34 @@ def signed_gap(low1: Column, high1: Column, low2: Column, high2: Column) -> Colu
 def column_share(width: Column, total: Column) -> Column:
     """A column's width as whole percents of the table's."""
     return F.floor(100 / total) * width
+
+
+def leading_points(leading: Column, factor: float = 1.0) -> Column:
+    """A line's leading as whole points."""
+    return F.round(leading * factor).cast("int")
+
+
+def pixels(style: Column, names: list[str]) -> Column:
+    """A style map in which bare numbers of the named properties get a ``px``."""
+    return F.transform_values(style, lambda k, v: F.when(k.isin(*names) & v.rlike(r"^-?\d+(\.\d+)?$"), F.concat(v, F.lit("px"))).otherwise(v))
+
+
+def normalise_space(s: Column) -> Column:
+    """Blanks at the ends off, runs of white space one blank."""
+    return F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " "))
+
+
+def before(s: Column, mark: str) -> Column:
+    """What stands before the first mark; empty where there is none."""
+    return F.when(F.contains(s, F.lit(mark)), F.substring_index(s, mark, 1)).otherwise(F.lit(""))
+
+
+def after(s: Column, mark: str) -> Column:
+    """What stands after the first mark; empty where there is none."""
+    at = F.locate(mark, s)
+    return F.when(at > 0, F.substring(s, at + len(mark), F.length(s))).otherwise(F.lit(""))
+
+
+def id_list(s: Column, mark: str = ";") -> Column:
+    """A list of ids in a string as an array, without empty entries."""
+    return F.filter(F.transform(F.split(s, rf"\{mark}"), F.trim), lambda x: x != "")

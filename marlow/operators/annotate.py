@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.citation import word_forms_udf
 
@@ -28,14 +31,16 @@ def scope_of(opening: Column) -> Column:
 
 
 def extract(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, term, forms, exclusive, priority, lo, hi): every defined term and where it holds.
+    """(doc_id, id, pre, term, forms, exclusive, priority, lo, hi): every defined term and where it holds.
 
-    Terms in notes, tables and amendments, of one letter, or in square brackets are no definitions.
+    Terms in notes, tables and amendments, in a lettered paragraph of another definition, of one letter,
+    or in square brackets are no definitions.
     """
     from .tree import ancestors, without
 
     clean = without(nodes, NOT_TERMS)
-    terms = clean.filter("tag = 'def-term'").filter((F.length("string_value") > 1) & ~F.col("string_value").startswith("["))
+    tags = F.array_join("above.tag", " ")
+    terms = clean.filter("tag = 'def-term'").filter(~tags.rlike(r"\bdef-para\b.* label-para\b")).filter((F.length("string_value") > 1) & ~F.col("string_value").startswith("["))
     terms = terms.select("doc_id", F.col("pre").alias("target"), F.col("string_value").alias("term"))
     ups = ancestors(nodes, terms)
     para = ups.filter("tag in ('para', 'def-para')").groupBy("doc_id", "target", "term").agg(F.min_by("pre", "depth").alias("outer"), F.max_by("string_value", "depth").alias("whole"))
@@ -45,35 +50,135 @@ def extract(nodes: DataFrame) -> DataFrame:
     holder = ups.select("doc_id", "target", "tag", "pre", "last", "depth").join(scoped.select("doc_id", "target", "scope"), ["doc_id", "target"]).filter("tag = scope").groupBy("doc_id", "target").agg(F.max_by("pre", "depth").alias("lo"), F.max_by("last", "depth").alias("hi"))
     ends = nodes.groupBy("doc_id").agg(F.max("last").alias("end"))
     out = scoped.join(holder, ["doc_id", "target"], "left").join(ends, "doc_id")
-    return out.select("doc_id", F.col("target").alias("pre"), "term", word_forms_udf("term").alias("forms"), F.col("whole").rlike(r"(?i)\bmeans\b").alias("exclusive"), "priority", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.col("end")).alias("hi"))
+    named = nodes.select("doc_id", F.col("pre").alias("target"), F.col("node_id").alias("id"))
+    return out.join(named, ["doc_id", "target"]).select("doc_id", "id", F.col("target").alias("pre"), "term", word_forms_udf("term").alias("forms"), F.col("whole").rlike(r"(?i)\bmeans\b").alias("exclusive"), "priority", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.col("end")).alias("hi"))
 
 
-def occurrences(texts: DataFrame, dictionary: DataFrame, key: list[str], text_col: str, term_col: str, longest: int = 4) -> DataFrame:
-    """(key, start, term): leftmost longest whole-word hits of a dictionary of any size.
+#: A dictionary's first words are broadcast up to so many rows, counted before; more of them meet the texts in a salted join.
+FIRST_WORDS, SALTS = 1 << 17, 16
 
-    Every run of 1 to ``longest`` words is a candidate that meets the dictionary in an equi join, so the
-    dictionary is never broadcast; of hits that overlap, the leftmost stays, then the longest.
-    """
-    words = F.filter(F.split(text_col, r"[^\p{L}\p{N}_'-]+"), lambda w: w != "")
-    rows = texts.select(*key, words.alias("ws"))
-    rows = rows.select(*key, "ws", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).filter(F.size("ws") >= F.col("n"))
-    grams = rows.select(*key, "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1), lambda i: F.array_join(F.slice("ws", i, F.col("n")), " "))).alias("start", "gram"))
-    hits = grams.join(dictionary.select(F.col(term_col).alias("gram")).distinct(), "gram")
-    zero = F.expr("named_struct('end', -1, 'out', cast(array() as array<struct<start:int,n:int,gram:string>>))")
-    ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("less"), "n", "gram")))
 
-    def take(acc: Column, h: Column) -> Column:
-        free = h["start"] >= acc["end"]
-        return F.struct(F.when(free, h["start"] + h["n"]).otherwise(acc["end"]).alias("end"), F.when(free, F.array_append(acc["out"], F.struct(h["start"].alias("start"), h["n"].alias("n"), h["gram"].alias("gram")))).otherwise(acc["out"]).alias("out"))
+def text_words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[^\p{L}\p{N}_'’-]+"), lambda w: w != "")
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _leftmost_longest(starts: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Of spans in order of start, longest first, those that overlap none taken before."""
+    def one(at: np.ndarray, n: np.ndarray) -> list[bool]:
+        out, end = [], -1
+        for a, k in zip(at.tolist(), n.tolist(), strict=True):
+            out.append(a >= end)
+            end = a + k if a >= end else end
+        return out
+
+    return pd.Series([one(a, n) for a, n in zip(starts, sizes, strict=True)])
 
-    picked = hits.groupBy(*key).agg(ordered.alias("hits")).select(*key, F.explode(F.aggregate("hits", zero, take)["out"]).alias("h"))
-    return picked.select(*key, "h.start", F.col("h.gram").alias("term"))
+
+def occurrences(texts: DataFrame, dictionary: DataFrame, key: list[str], text_col: str, term_col: str, ignore_case: bool = False) -> DataFrame:
+    """(key, start, n, term, said): leftmost longest whole-word hits of a dictionary of any size and of terms of any length.
+
+    A word that opens a term is a candidate, with the lengths of the terms it opens; the words that
+    follow it then meet the dictionary. So a text's words are looked at once, and only runs that can be
+    terms are built. ``term`` is the dictionary's, ``said`` the text's; they differ in case at most.
+    """
+    plain = lambda w: F.regexp_replace(F.lower(w), r"['’]s?$", "")
+    fold = (lambda ws: F.transform(ws, plain)) if ignore_case else (lambda ws: ws)
+    terms = dictionary.select(F.col(term_col).alias("term"), text_words(F.col(term_col)).alias("ts")).filter("size(ts) > 0").distinct()
+    terms = terms.select("term", F.size("ts").alias("n"), F.get(fold(F.col("ts")), F.lit(0)).alias("first"), F.array_join(fold(F.col("ts")), " ").alias("gram"))
+    firsts = terms.groupBy("first").agg(F.collect_set("n").alias("ns"))
+    rows = texts.select(*key, text_words(F.col(text_col)).alias("ws")).withColumn("fs", fold(F.col("ws")))
+    words = rows.select(*key, F.posexplode("fs").alias("start", "first"))
+    if firsts.count() <= FIRST_WORDS:
+        met = words.join(F.broadcast(firsts), "first")
+    else:
+        met = words.withColumn("salt", (F.rand(7) * SALTS).cast("int")).join(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["first", "salt"])
+    found = met.groupBy(*key).agg(F.collect_list(F.struct("start", "ns")).alias("at"))
+    runs = rows.join(found, key).select(*key, "ws", "fs", F.explode(F.flatten(F.transform("at", lambda x: F.transform(x["ns"], lambda n: F.struct(x["start"].alias("start"), n.alias("n")))))).alias("x"))
+    runs = runs.filter(F.col("x.start") + F.col("x.n") <= F.size("ws")).select(*key, "x.*", *(F.array_join(F.slice(c, F.col("x.start") + 1, F.col("x.n")), " ").alias(n) for c, n in (("ws", "said"), ("fs", "gram"))))
+    hits = runs.join(terms.select("gram", "term"), "gram")
+    ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("less"), "term", "said")))
+    taken = hits.groupBy(*key).agg(ordered.alias("hits")).withColumn("ok", _leftmost_longest(F.col("hits.start"), F.transform("hits", lambda h: -h["less"])))
+    each = taken.select(*key, F.explode(F.arrays_zip("hits", "ok")).alias("x")).filter("x.ok")
+    return each.select(*key, F.col("x.hits.start").alias("start"), (-F.col("x.hits.less")).alias("n"), F.col("x.hits.term").alias("term"), F.col("x.hits.said").alias("said"))
 
 
 def lookup_keys(word: Column) -> Column:
-    """Forms under which a word is looked up, in order: as it is, lower case, first letter lower where there are several words, without a possessive."""
-    lower_first = F.concat(F.lower(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
-    return F.array_distinct(F.array(word, F.lower(word), F.when(F.contains(word, F.lit(" ")), lower_first).otherwise(word), F.regexp_replace(word, r"['’]s?$", "")))
+    """Forms under which a word is looked up, in order: as it is, lower case, first letter lower where there are several words, and the same without a possessive."""
+    def forms(w: Column) -> list[Column]:
+        lower_first = F.concat(F.lower(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))
+        return [w, F.lower(w), F.when(F.contains(w, F.lit(" ")), lower_first).otherwise(w)]
+
+    return F.array_distinct(F.array(*forms(word), *forms(F.regexp_replace(word, r"['’]s?$", ""))))
+
+
+#: Elements whose text is not annotated.
+NOT_ANNOTATED = {"def-term", "heading", "label", "link", "history-note", "skeleton", "amend", "schedule.amendments"}
+
+
+def annotate(nodes: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(doc_id, pre, start, said, ids, other_ids): defined terms in the texts where they hold, with the definitions meant.
+
+    ``definitions``: doc_id, id, pre (of the term, 0 where another document defines it), forms, exclusive,
+    priority, lo, hi. A definition holds in the texts of its document within lo and hi, its own
+    paragraph left out by the caller if need be. Of the forms that a word is looked up under the first
+    one that any definition has counts; its definitions go most binding first, then newest, and those
+    behind the first exclusive one are the other ids.
+    """
+    from .tree import within
+
+    texts = nodes.filter((F.col("text") != "") & ~within(NOT_ANNOTATED)).select("doc_id", "pre", "text")
+    forms = definitions.select("doc_id", "id", F.col("pre").alias("of"), F.explode("forms").alias("form"), "exclusive", "priority", "lo", "hi")
+    hits = occurrences(texts, forms.select("form").distinct(), ["doc_id", "pre"], "text", "form", ignore_case=True)
+    said = hits.select("doc_id", "pre", "start", "said").distinct().select("*", F.posexplode(lookup_keys(F.col("said"))).alias("rank", "form"))
+    held = said.join(forms, ["doc_id", "form"]).filter("lo <= pre and pre <= hi")
+    first = held.groupBy("doc_id", "pre", "start", "said").agg(F.min("rank").alias("rank"))
+    meant = held.join(first, ["doc_id", "pre", "start", "said", "rank"]).groupBy("doc_id", "pre", "start", "said").agg(F.array_sort(F.collect_set(F.struct((-F.col("priority")).alias("p"), (-F.col("of")).alias("o"), "id", "exclusive"))).alias("ds"))
+    split = split_exclusive(F.transform("ds", lambda x: x["id"]), F.transform("ds", lambda x: x["exclusive"]))
+    return meant.select("doc_id", "pre", "start", "said", split.alias("s")).select("doc_id", "pre", "start", "said", F.col("s.primary").alias("ids"), F.col("s.other").alias("other_ids"))
+
+
+def rendered(nodes: DataFrame, definitions: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, id, full_word, html, priority): each definition's paragraph as html, with where it comes from. ``titles``: doc_id, title."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    paras = nodes.filter("tag = 'def-para'").select("doc_id", F.col("pre").alias("para"), F.col("string_value").alias("said"), F.col("last").alias("until"))
+    own = definitions.join(nodes.select("doc_id", "pre", F.explode(F.filter("above", lambda x: x["tag"] == "def-para")).alias("x")).select("doc_id", "pre", F.col("x.pre").alias("para")), ["doc_id", "pre"])
+    own = own.groupBy(*[c for c in definitions.columns if c != "forms"]).agg(F.max("para").alias("para"))
+    html = F.concat(F.lit('<div class="def-para">'), safe(F.col("said")), F.lit('</div><div class="source">'), safe(F.col("title")), F.lit("</div>"))
+    return own.join(paras, ["doc_id", "para"]).join(titles, "doc_id").select("doc_id", "id", F.col("term").alias("full_word"), html.alias("html"), "priority")
+
+
+def combined(definitions: DataFrame, key: list[str]) -> DataFrame:
+    """Equal definitions as one: their ids in order as a ``;`` list, the greatest priority, the texts most binding first."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "id", "html")))
+    merged = definitions.groupBy(*key).agg(rows.alias("r"))
+    return merged.select(*key, F.array_join(F.array_sort(F.array_distinct(F.transform("r", lambda x: x["id"]))), ";").alias("ids"), (-F.get("r", F.lit(0))["p"]).alias("priority"), F.array_join(F.transform("r", lambda x: x["html"]), "").alias("html"))
+
+
+def inherited(definitions: DataFrame, edges: DataFrame, dates: DataFrame) -> DataFrame:
+    """Definitions of each document and of all documents above it, with ``holder``, the document where they hold.
+
+    ``edges``: child, parent; ``dates``: doc_id, assent. A definition with a ``maxdate`` holds only in
+    documents assented before it; in others it falls back to holding everywhere, without a date.
+    """
+    from .graph import closure
+
+    above = closure(edges).select(F.col("child").alias("holder"), F.col("parent").alias("doc_id"))
+    own = definitions.select("*", F.col("doc_id").alias("holder"), F.lit(False).alias("from_above"))
+    more = definitions.join(above, "doc_id").select(*definitions.columns, "holder", F.lit(True).alias("from_above"))
+    out = own.unionByName(more)
+    return expired(out, dates.withColumnRenamed("doc_id", "holder"), "holder") if "maxdate" in definitions.columns else out
+
+
+def expired(definitions: DataFrame, dates: DataFrame, on: str) -> DataFrame:
+    """``maxdate`` stays where the document was assented before it and is null elsewhere. ``dates``: on, assent."""
+    known = definitions.join(dates, on, "left")
+    return known.withColumn("maxdate", F.when(F.col("assent") < F.col("maxdate"), F.col("maxdate"))).drop("assent")
+
+
+def once_per_title(found: DataFrame, pool: DataFrame, title: str = "title") -> DataFrame:
+    """Definitions of titles that the pool doesn't have yet."""
+    return found.join(pool.select(title).distinct(), title, "left_anti")
 
 
 def split_exclusive(ids: Column, exclusive: Column) -> Column:

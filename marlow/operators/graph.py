@@ -50,6 +50,20 @@ def walk_up(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return reach
 
 
+def paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, path, cyclic): every way up from each start as an array of nodes, and whether it comes back to a node of its own, where it ends."""
+    edges = _edges(edges)
+    open_ways = starts.select("start", F.array("start").alias("path"), F.lit(False).alias("cyclic")).distinct()
+    rounds = []
+    while True:
+        rounds.append(materialise(open_ways, "paths"))
+        going = rounds[-1].filter("not cyclic")
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        on = going.join(edges, F.element_at("path", -1) == F.col("child"))
+        open_ways = on.select("start", F.array_append("path", F.col("parent")).alias("path"), F.array_contains("path", F.col("parent")).alias("cyclic"))
+
+
 def depths(edges: DataFrame) -> DataFrame:
     """(node, depth): the longest way down to each node from a root, a row whose parent is null.
 

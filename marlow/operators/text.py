@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import materialise
+
 #: The English stop list of the standard search analyzer.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 MARK = ('<span class="search_match">', "</span>")
@@ -189,12 +191,31 @@ def fragments(text: Column, word: str, number: int = 5, size: int = 100) -> Colu
     return F.when(F.size(around) > 0, F.slice(around, 1, number)).otherwise(F.array(F.substring(text, 1, size)))
 
 
+#: Names of the character entities that texts of pages use, and their characters.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…", "copy": "©", "reg": "®", "sect": "§", "para": "¶", "middot": "·", "eacute": "é", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß"}
+
+
+def entities(text: Column) -> Column:
+    """Character entities, by name, decimal and hexadecimal number, as their characters; ``&amp;`` last."""
+    def one(piece: Column, i: Column) -> Column:
+        body = F.substring_index(piece, ";", 1)
+        rest = F.substring(piece, F.length(body) + 2, F.length(piece))
+        code = F.when(body.rlike("^#[0-9]{1,7}$"), F.substring(body, F.lit(2), F.length(body)).cast("int")).when(body.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("int"))
+        code = F.when(code == 160, 32).otherwise(code)
+        utf16 = F.when(code < 0x10000, F.unhex(F.lpad(F.hex(code), 4, "0"))).otherwise(F.unhex(F.concat(F.hex(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), F.hex(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))))))
+        char = F.decode(F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), utf16), "UTF-16BE")
+        named = reduce(lambda out, kv: out.when(body == kv[0], kv[1]), ENTITIES.items(), F.when(F.lit(False), ""))
+        found = F.coalesce(named, char)
+        return F.when((i > 0) & F.contains(piece, F.lit(";")) & found.isNotNull(), F.concat(found, rest)).when(i > 0, F.concat(F.lit("&"), piece)).otherwise(piece)
+
+    joined = F.array_join(F.transform(F.split(text, "&"), one), "")
+    return F.replace(F.when(F.contains(text, F.lit("&")), joined).otherwise(text), F.lit("&amp;"), F.lit("&"))
+
+
 def html_text(html: Column) -> Column:
-    """The text of a page: no comments, scripts, styles or tags, entities of markup resolved, blanks squeezed."""
+    """The text of a page: no comments, scripts, styles or tags, character entities resolved, blanks squeezed."""
     out = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
-    out = F.regexp_replace(out, r"<[^>]+>", " ")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(plain))
+    out = entities(F.regexp_replace(out, r"<[^>]+>", " "))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
@@ -221,15 +242,17 @@ def ranked(df: DataFrame, id_col: str, fields: dict[str, float], query: str, siz
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
     total = df.count()
     stems = df.sparkSession.range(1).select(*(stem(F.lit(w)).alias(f"s{i}") for i, w in enumerate(words))).first()
-    own = df.select(id_col, *(terms(F.col(f)).alias(f"t_{f}") for f in fields))
-    counts = own.select(id_col, *((F.size(f"t_{f}") - F.size(F.array_remove(f"t_{f}", s))).alias(f"n_{f}_{i}") for f in fields for i, s in enumerate(stems)))
-    sums = counts.agg(*(F.count_if(F.col(f"n_{f}_{i}") > 0).alias(f"d_{f}_{i}") for f in fields for i in range(len(words)))).first()
-    best = []
+    each = F.array(*(F.struct(F.lit(f).alias("field"), terms(F.coalesce(F.col(f), F.lit(""))).alias("ts")) for f in fields))
+    asked = df.select(id_col, F.explode(each).alias("x")).select(id_col, "x.field", F.explode("x.ts").alias("term")).filter(F.col("term").isin(*stems))
+    counts = materialise(asked.groupBy(id_col, "field").agg(*(F.count_if(F.col("term") == s).alias(f"n_{i}") for i, s in enumerate(stems))), "term-counts")
+    sums = {r["field"]: r for r in counts.groupBy("field").agg(*(F.count_if(F.col(f"n_{i}") > 0).alias(f"d_{i}") for i in range(len(words)))).collect()}
+    best = F.lit(None).cast("double")
     for f, boost in fields.items():
-        score = reduce(lambda a, b: a + b, [F.col(f"n_{f}_{i}") * float(_idf(total, sums[f"d_{f}_{i}"])) for i in range(len(words))])
-        full = reduce(lambda a, b: a & b, [F.col(f"n_{f}_{i}") > 0 for i in range(len(words))])
-        best.append(F.when(full, score * boost))
-    out = counts.select(id_col, (F.greatest(*best) if len(best) > 1 else best[0]).alias("score")).filter("score is not null")
+        if f in sums:
+            score = reduce(lambda a, b: a + b, [F.col(f"n_{i}") * float(_idf(total, sums[f][f"d_{i}"])) for i in range(len(words))])
+            full = reduce(lambda a, b: a & b, [F.col(f"n_{i}") > 0 for i in range(len(words))])
+            best = F.when((F.col("field") == f) & full, score * boost).otherwise(best)
+    out = counts.withColumn("score", best).filter("score is not null").groupBy(id_col).agg(F.max("score").alias("score"))
     return out.orderBy(F.desc("score"), id_col).limit(size)
 
 

@@ -1,9 +1,11 @@
 """Document trees as node tables.
 
 A document becomes one row per element: ``pre`` (place in document order), ``last`` (place of its last
-descendant), parent, depth, tag, id, label, own text and whole text, its pieces set apart by blanks. Descent is then an interval test, the nearest
-of several nodes the least depth, a range an interval of ``pre``, and pruning a semi join, all of which
-Catalyst plans; only parsing and the path grammar are Python, in Arrow batches.
+descendant), parent, depth, tag, id, label, own text and whole text, its pieces set apart by blanks, and
+``above``, the places and names of its ancestors from the root to itself. Ancestors are then an explode,
+what lies within an element of some name a test of one row, the nearest of several nodes the least
+depth, a range an interval of ``pre``, and pruning a semi join, all of which Catalyst plans; only
+parsing and the path grammar are Python, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,7 @@ UNSEARCHED = {"amend", "end", "def-para"}
 UNLINKED = {"history-note", "end", "skeleton", "amend", "schedule.amendments", "insertwords", "amend.in", "empowering-prov"}
 KEPT_BESIDE = {"label", "heading", "cover", "text"}
 
-NODE_SCHEMA = "pre int, last int, parent int, depth int, tag string, node_id string, label string, text string, string_value string, href string"
+NODE_SCHEMA = "pre int, last int, parent int, depth int, tag string, node_id string, label string, text string, string_value string, href string, above array<struct<pre:int,tag:string>>"
 
 
 def norm_label(text: str | None) -> str:
@@ -49,7 +51,8 @@ def parse(xml: str | None) -> list[dict]:
         element, parent, depth = top
         pre = len(out)
         child = next((c for c in element if isinstance(c.tag, str) and _tag(c) == "label"), None)
-        out.append({"pre": pre, "last": pre, "parent": parent, "depth": depth, "tag": _tag(element), "node_id": element.get("id"), "label": norm_label("".join(child.itertext())) if child is not None else None, "text": (element.text or "").strip(), "string_value": re.sub(r"\s+", " ", " ".join(element.itertext())).strip(), "href": element.get("href")})
+        over = out[parent]["above"] if parent >= 0 else []
+        out.append({"above": [*over, {"pre": pre, "tag": _tag(element)}], "pre": pre, "last": pre, "parent": parent, "depth": depth, "tag": _tag(element), "node_id": element.get("id"), "label": norm_label("".join(child.itertext())) if child is not None else None, "text": (element.text or "").strip(), "string_value": re.sub(r"\s+", " ", " ".join(element.itertext())).strip(), "href": element.get("href")})
         stack.append(pre)
         stack.extend((c, pre, depth + 1) for c in reversed(element) if isinstance(c.tag, str))
     return out
@@ -159,24 +162,44 @@ def _descend(nodes: list[dict], scope: int, keys: list[str]) -> list[int]:
 
 
 def lookup_udf() -> Callable:
-    """(xml, path) to the places found; an empty array where the path names nothing."""
+    """(xml, paths) to the places that each path names, none where it names nothing; a document is parsed once."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(xml: pd.Series, path: pd.Series) -> pd.Series:
-        def one(x: str | None, p: str | None) -> list[int]:
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def run(xml: pd.Series, paths: pd.Series) -> pd.Series:
+        def one(nodes: list[dict], p: str | None) -> list[int]:
             try:
-                return lookup(parse(x), p or "")
+                return lookup(nodes, p or "")
             except PathError:
                 return []
 
-        return pd.Series([one(x, p) for x, p in zip(xml, path, strict=True)])
+        def every(x: str | None, ps: list | None) -> list[list[int]]:
+            nodes = parse(x)
+            return [one(nodes, p) for p in ([] if ps is None else ps)]
+
+        return pd.Series([every(x, ps) for x, ps in zip(xml, paths, strict=True)])
 
     return run
 
 
+def lookup_paths(docs: DataFrame, asked: DataFrame, id_col: str, xml_col: str) -> DataFrame:
+    """(doc_id, path, target): the nodes that paths name; a path that names none has a null target. ``asked``: doc_id, path."""
+    wanted = asked.groupBy("doc_id").agg(F.collect_set("path").alias("paths"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(xml_col).alias("xml")).join(wanted, "doc_id")
+    found = rows.select("doc_id", "paths", lookup_udf()("xml", "paths").alias("at"))
+    each = found.select("doc_id", F.explode(F.arrays_zip(F.col("paths").alias("path"), F.col("at").alias("at"))).alias("x"))
+    return each.select("doc_id", "x.path", F.explode_outer("x.at").alias("target"))
+
+
 def ancestors(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, target, and the ancestor's columns) by interval; ``targets``: doc_id, target."""
-    return nodes.join(targets, "doc_id").filter((F.col("pre") <= F.col("target")) & (F.col("target") <= F.col("last")))
+    """(doc_id, target, and the columns of each ancestor, itself included); ``targets``: doc_id, target."""
+    up = nodes.select("doc_id", F.col("pre").alias("target"), "above").join(targets, ["doc_id", "target"]).withColumn("pre", F.explode("above.pre")).drop("above")
+    return up.join(nodes, ["doc_id", "pre"])
+
+
+def within(tags: set[str], own: bool = True) -> Column:
+    """Whether a node lies within an element of one of these names, itself counted or not."""
+    over = F.col("above.tag") if own else F.slice("above.tag", F.lit(1), F.size("above") - 1)
+    return F.arrays_overlap(over, F.array(*map(F.lit, sorted(tags))))
 
 
 def node_paths(nodes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -196,11 +219,14 @@ def node_paths(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def cull(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets with their subtrees, all ancestors, and the ancestors' labels, headings, covers and texts."""
+    """Targets with their subtrees, all ancestors, the ancestors' labels, headings, covers and texts, and the nearest crosshead before each target."""
     up = ancestors(nodes, targets).select("doc_id", "pre").distinct()
-    down = nodes.join(targets, "doc_id").filter((F.col("pre") >= F.col("target"))).join(nodes.select("doc_id", F.col("pre").alias("target"), F.col("last").alias("end")), ["doc_id", "target"]).filter("pre <= end").select("doc_id", "pre")
+    below = nodes.withColumn("target", F.explode("above.pre")).join(targets, ["doc_id", "target"], "left_semi").select("doc_id", "pre")
     beside = nodes.filter(F.col("tag").isin(*KEPT_BESIDE)).join(up.withColumnRenamed("pre", "parent"), ["doc_id", "parent"], "left_semi").select("doc_id", "pre")
-    keep = up.unionByName(down).unionByName(beside).distinct()
+    own = nodes.select("doc_id", F.col("pre").alias("target"), "parent").join(targets, ["doc_id", "target"])
+    heads = nodes.filter("tag = 'crosshead'").select("doc_id", "parent", "pre")
+    heads = own.join(heads, ["doc_id", "parent"]).filter("pre < target").groupBy("doc_id", "target").agg(F.max("pre").alias("pre")).select("doc_id", "pre")
+    keep = up.unionByName(below).unionByName(beside).unionByName(heads).distinct()
     return nodes.join(keep, ["doc_id", "pre"], "left_semi").join(targets.select("doc_id", F.col("target").alias("pre"), F.lit(True).alias("current")), ["doc_id", "pre"], "left")
 
 
@@ -218,9 +244,7 @@ def outline(nodes: DataFrame) -> DataFrame:
 
 def without(nodes: DataFrame, tags: set[str]) -> DataFrame:
     """The nodes outside all elements of the given tags."""
-    gone = nodes.filter(F.col("tag").isin(*tags)).select(F.col("doc_id").alias("of"), F.col("pre").alias("lo"), F.col("last").alias("hi"))
-    hit = (F.col("doc_id") == F.col("of")) & (F.col("pre") >= F.col("lo")) & (F.col("pre") <= F.col("hi"))
-    return nodes.join(gone, hit, "left_anti")
+    return nodes.filter(~within(tags))
 
 
 def holding(nodes: DataFrame, text: str) -> DataFrame:
@@ -241,16 +265,70 @@ def best_definition(nodes: DataFrame, text: str) -> DataFrame:
 
 
 def parts(nodes: DataFrame) -> DataFrame:
-    """(doc_id, num, pre, title): the outermost provisions and schedules, numbered in order."""
-    top = nodes.filter(F.col("tag").isin("prov", "schedule"))
-    over = top.select(F.col("doc_id").alias("of"), F.col("pre").alias("lo"), F.col("last").alias("hi"))
-    inner = (F.col("doc_id") == F.col("of")) & (F.col("pre") > F.col("lo")) & (F.col("pre") <= F.col("hi"))
-    outer = top.join(over, inner, "left_anti")
+    """(doc_id, num, pre, title): the outermost provisions and schedules outside amendments, numbered in order."""
+    outer = nodes.filter(F.col("tag").isin("prov", "schedule") & ~within({"prov", "schedule", "amend"}, own=False))
     heads = nodes.filter("tag = 'heading'").select("doc_id", F.col("parent").alias("pre"), F.col("string_value").alias("title"))
     numbered = outer.withColumn("num", F.row_number().over(W.partitionBy("doc_id").orderBy("pre")) - 1)
     return numbered.join(heads, ["doc_id", "pre"], "left").select("doc_id", "num", "pre", "title")
 
 
+def fragments(nodes: DataFrame) -> DataFrame:
+    """(doc_id, num, pre, title, text, ids, locations): the parts with what is in them, ids and paths as ``;`` lists."""
+    own = parts(nodes)
+    inside = nodes.withColumn("__part", F.explode("above.pre")).join(own.select("doc_id", F.col("pre").alias("__part"), "num", "title"), ["doc_id", "__part"])
+    placed = node_paths(nodes, inside.filter("node_id is not null").select("doc_id", F.col("pre").alias("target"))).select("doc_id", F.col("target").alias("pre"), "path")
+    inside = inside.join(placed, ["doc_id", "pre"], "left")
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("node_id").isNotNull(), F.struct("pre", F.coalesce(c, F.lit("")).alias("x"))))), lambda s: s["x"]), ";")
+    grouped = inside.groupBy("doc_id", "num", F.col("__part").alias("pre"), "title")
+    return grouped.agg(F.max(F.when(F.col("pre") == F.col("__part"), F.col("string_value"))).alias("text"), listed(F.col("node_id")).alias("ids"), listed(F.col("path")).alias("locations"))
+
+
+def skeleton(nodes: DataFrame) -> DataFrame:
+    """The nodes of each document with its parts emptied: the parts' own rows stay, with their number, and all outside them."""
+    own = parts(nodes).select("doc_id", "pre", "num")
+    inner = nodes.filter(~within({"prov", "schedule"}, own=False) | within({"amend"}, own=False))
+    return inner.join(own, ["doc_id", "pre"], "left")
+
+
+def nested_outline(nodes: DataFrame, depth: int = 12) -> DataFrame:
+    """(doc_id, outline): the outline as nested JSON, each entry a label and its children.
+
+    Entries join their parents from the deepest level up, ``depth`` levels of them; deeper ones raise.
+    """
+    roles = F.filter("above", lambda x: x["tag"].isin(*ROLES))
+    flat = nodes.select("doc_id", "pre", roles.alias("roles")).join(outline(nodes), ["doc_id", "pre"])
+    flat = flat.select("doc_id", "pre", "entry", F.size("roles").alias("level"), F.get("roles", F.size("roles") - 2)["pre"].alias("over"))
+    flat = flat.withColumn("level", F.when(F.col("level") > depth, F.raise_error(F.lit("an outline is deeper than its bound"))).otherwise(F.col("level")))
+
+    def said(children: Column) -> Column:
+        return F.concat(F.lit('{"label":'), F.to_json(F.array("entry")).substr(F.lit(2), F.length(F.to_json(F.array("entry"))) - 2), F.lit(',"children":['), F.coalesce(children, F.lit("")), F.lit("]}"))
+
+    below = None
+    for level in range(depth, 0, -1):
+        own = flat.filter(F.col("level") == level)
+        if below is not None:
+            own = own.join(below, ["doc_id", "pre"], "left")
+        own = own.select("doc_id", "over", "pre", said(F.col("children") if below is not None else F.lit("")).alias("json"))
+        ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "json"))), lambda x: x["json"]), ",")
+        below = own.groupBy("doc_id", F.col("over").alias("pre")).agg(ordered.alias("children"))
+    return below.select("doc_id", F.concat(F.lit("["), "children", F.lit("]")).alias("outline"))
+
+
+def citations(nodes: DataFrame, targets: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, target, citation, url, path): how a node is cited, where it is found, and its path. ``titles``: doc_id, title."""
+    placed = node_paths(nodes, targets).join(nodes.select("doc_id", F.col("pre").alias("target"), "node_id"), ["doc_id", "target"]).join(titles, "doc_id")
+    query = F.concat(F.lit("query?"), F.concat_ws("&", F.concat(F.lit("doc_type=instrument&find=location&id="), "doc_id"), F.concat(F.lit("location="), F.url_encode("path"))))
+    return placed.select("doc_id", "target", F.concat_ws(" ", "title", "path").alias("citation"), query.alias("url"), "path")
+
+
+def root_dates(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
+    """(doc_id, assent, reprint): dates of the root's attributes in words, null where they are none."""
+    from ..functions.scalars import long_date, safe_date
+
+    attr = lambda n: F.nullif(F.regexp_extract(F.regexp_extract(xml_col, r"(?s)^\s*(?:<\?.*?\?>\s*)?(<[^!?][^>]*>)", 1), rf'{n}="([^"]*)"', 1), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), long_date(safe_date(attr(r"date\.assent"))).alias("assent"), long_date(safe_date(attr(r"date\.as\.at"))).alias("reprint"))
+
+
 def id_registry(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id), once each."""
     return nodes.filter("node_id is not null").select("doc_id", "node_id").distinct()

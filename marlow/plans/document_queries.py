@@ -6,28 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citation
-from ..operators import annotate, cases, tree
+from ..operators import annotate, cases
 from ..streaming import incremental
+from .acts import SECTIONS, judgment_lines
 from .relational_queries import t
 
-ACT = """<act id="A1" year="1993"><cover><title>Sample Act</title></cover><body id="B1">
-<part id="P1"><label>1</label><heading>First part</heading>
-<prov id="S1"><label>1</label><heading>Interpretation</heading><prov.body><subprov id="S1-1"><label>1</label><para><text>In this Act, unless the context otherwise requires,</text>
-<def-para id="D1"><para><text><def-term id="T1">vessel</def-term> means a ship</text></para></def-para><def-para id="D2"><para><text><def-term id="T2">harbour dues</def-term> includes tolls</text></para></def-para></para></subprov></prov.body></prov>
-<prov id="S2"><label>2</label><heading>Levels</heading><prov.body><subprov id="S2-1"><label>1</label><para><text>A person</text><label-para id="L1"><label>a</label><para><text>first</text><label-para id="L2"><label>i</label><para><text>deep</text></para></label-para></para></label-para>
-<label-para id="L3"><label>b</label><para><text>second</text></para></label-para><label-para id="L4"><label>ba</label><para><text>between</text></para></label-para><label-para id="L5"><label>c</label><para><text>third <link href="S1">section 1</link></text></para></label-para></para></subprov></prov.body></prov></part>
-<part id="P2"><label>2</label><heading>Second part</heading><prov id="S3"><label>3</label><heading>More</heading><prov.body><subprov id="S3-1"><label>1</label><para><text>text</text></para></subprov></prov.body></prov></part></body>
-<schedule id="C1"><label>1</label><heading>Forms</heading><prov id="S4"><label>1</label><heading>Form</heading><prov.body><subprov id="S4-1"><label>1</label><para><text>see <link href="S2">section 2</link></text></para></subprov></prov.body></prov></schedule></act>"""
-
-PATHS = [("s 2", "S2"), ("s 2(1)", "S2-1"), ("s 2(1)(a)", "L1"), ("s 2(1)(a)(i)", "L2"), ("s 2(1)(a)-(c)", "L2 L3 L4 L5"), ("s 2(1)(a)+(c)", "L1 L5"), ("part 2 s 3", "S3"), ("part 1-2", "P1 P2"), ("sch 1", "C1"), ("sch 1 cl 1(1)", "S4-1"), ("s 99", "")]
-LINKS = [
-    ("section RP 17B(4)(c)", "s RP 17B(4)(c)"), ("section 113 of the Tax Administration Act 1994", "s 113"), ("section 120KE(5) to (7) of the Tax Administration Act 1994", "s 120KE(5)-(7)"), ("FC 8H(6),", "s FC 8H(6)"),
-    ("ME 5(1)(ka), (2)(ja)", "s ME 5(1)(ka)+(2)(ja)"), ("sections HA 14 to HA 18", "s HA 14-HA 18"), ("section EM 1(1)(a) and (b)", "s EM 1(1)(a)+(b)"), ("subpart HE", "subpart HE"), ("subsection (2) of section 5", "s 5(2)"), ("EK 16, or", "s EK 16"),
-]
+#: Phrases of number words and what they stand for.
 NUMBERS = [("one", 1), ("twelve", 12), ("seventy two", 72), ("three hundred", 300), ("twelve hundred", 1200), ("twelve thousand three hundred and four", 12304), ("six million four hundred thousand five", 6400005), ("four decillion", 4 * 10**33), ("no number", None)]
+#: Words and the forms they are looked up under.
 FORMS = [("Capital letters", "Capital letter|Capital letters"), ("classes", "class|classes"), ("class", "class|classes"), ("fish", "fish|fishes"), ("sheep", "sheep|sheeps"), ("child", "child|children|childrens|childs")]
-LINES = ["[2014] NZHC 123", "BETWEEN", "Ann Example", "AND", "The Borough of Elsewhere", "Hearing: 3 March 2014", "Counsel: B Advocate for the plaintiff", "Judgment: 4 March 2014", "THE FACTS", "[1] It began.", "(a) first of a list", "[2] It went on.", "[4] Not counted.", "[3] It ended."]
-
 
 def _literal(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     def cell(v: object) -> str:
@@ -36,73 +23,18 @@ def _literal(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} AS t({names})")
 
 
-def _act(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, ACT)], "doc_id long, xml string")
-
-
-def _nodes(spark: SparkSession) -> DataFrame:
-    return tree.node_table(_act(spark), "doc_id", "xml")
-
-
-def node_table(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark).filter("node_id is not null").select("node_id", "tag", "label", "depth")
-
-
-def path_lookup(spark: SparkSession, d: str) -> DataFrame:
-    asked = _literal(spark, [(p,) for p, _ in PATHS], "path").crossJoin(F.broadcast(_act(spark)))
-    found = asked.select("path", F.explode_outer(tree.lookup_udf()("xml", "path")).alias("pre"))
-    named = found.join(_nodes(spark).select("pre", "node_id"), "pre", "left")
-    return named.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "node_id"))), lambda x: x["node_id"]), " ").alias("ids"))
-
-
-def node_paths(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark)
-    wanted = nodes.filter("node_id in ('L2', 'L1', 'S2-1', 'S4-1', 'S3')").select("doc_id", F.col("pre").alias("target"), "node_id")
-    return tree.node_paths(nodes, wanted.select("doc_id", "target")).join(wanted, ["doc_id", "target"]).select("node_id", "path")
-
-
-def culled_tree(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark)
-    return tree.cull(nodes, nodes.filter("node_id = 'L3'").select("doc_id", F.col("pre").alias("target"))).filter("node_id is not null").select("node_id", F.coalesce("current", F.lit(False)).alias("current"))
-
-
-def tree_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return tree.first_nodes(_nodes(spark), 8).select("pre", "tag")
-
-
-def document_outline(spark: SparkSession, d: str) -> DataFrame:
-    return tree.outline(_nodes(spark)).select("pre", "depth", "entry")
-
-
-def document_parts(spark: SparkSession, d: str) -> DataFrame:
-    return tree.parts(_nodes(spark)).select("num", "title")
-
-
-def node_references(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark)
-    return tree.references(nodes, tree.id_registry(nodes)).select("source", "node_id", "target", "link_text")
-
-
-def best_definition(spark: SparkSession, d: str) -> DataFrame:
-    return tree.best_definition(_nodes(spark), "harbour").select("term", "distance")
-
-
-def scoped_definitions(spark: SparkSession, d: str) -> DataFrame:
-    return annotate.extract(_nodes(spark)).select("term", F.array_join("forms", "|").alias("forms"), "exclusive", "priority")
-
-
 def dictionary_annotation(spark: SparkSession, d: str) -> DataFrame:
     """Which frequent two-word names of parts occur in part names, leftmost and longest first."""
     p = t(spark, d, "part").select("p_partkey", "p_name")
     words = p.select(F.explode(F.split("p_name", " ")).alias("term")).distinct().unionByName(p.select(F.col("p_name").alias("term")).filter(F.col("term").like("red %")).distinct())
-    return annotate.occurrences(p, words, ["p_partkey"], "p_name", "term")
+    return annotate.occurrences(p, words, ["p_partkey"], "p_name", "term").select("p_partkey", "start", "term")
 
 
 def title_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose text holds the opening words of a benchmark item, case kept."""
-    heads = t(spark, d, "benchmark").select(F.array_join(F.slice(F.filter(F.split("text", r"[^\p{L}\p{N}_'-]+"), lambda w: w != ""), 1, 4), " ").alias("term")).filter("size(split(term, ' ')) = 4")
+    """How often the whole words of a benchmark item occur in a document, case kept."""
+    items = t(spark, d, "benchmark").select("item_id", F.array_join(annotate.text_words(F.col("text")), " ").alias("term"))
     docs = t(spark, d, "documents").select("doc_id", "text")
-    return annotate.occurrences(docs, heads, ["doc_id"], "text", "term", 4).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return annotate.occurrences(docs, items, ["doc_id"], "text", "term").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def exclusive_split(spark: SparkSession, d: str) -> DataFrame:
@@ -112,10 +44,30 @@ def exclusive_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_links(spark: SparkSession, d: str) -> DataFrame:
-    return _literal(spark, [(a,) for a, _ in LINKS], "raw").select("raw", citation.canonical_link_udf("raw").alias("canonical"))
+    """Link texts made of orders' numbers, in five turns of phrase."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey") % 7 + 1
+    says = [
+        F.concat(F.lit("section "), k, F.lit("("), n, F.lit(")")), F.concat(F.lit("sections "), k, F.lit(" to "), k + n, F.lit(" of the Tax Act 1994")), F.concat(F.lit("clause "), n, F.lit(" of Part 2 of Schedule "), k),
+        F.concat(F.lit("subsection ("), n, F.lit(") of section "), k), F.concat(F.lit("LC "), k, F.lit("("), n, F.lit("), ("), n + 1, F.lit("),")),
+    ]
+    raw = F.get(F.array(*says), (k % 5).cast("int"))
+    return t(spark, d, "orders").select(raw.alias("raw")).select("raw", citation.canonical_link_udf("raw").alias("canonical"))
 
 
 def text_to_num(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of parts in words, and back."""
+    small = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    k = F.col("p_partkey") % 1000
+    low, word = k % 100, lambda words, i: F.get(F.array(*map(F.lit, words)), i.cast("int"))
+    rest = F.when(low == 0, F.lit("")).when(low < 20, word(small, low - 1)).otherwise(F.concat_ws(" ", word(tens, F.floor(low / 10) - 2), F.when(low % 10 > 0, word(small, low % 10 - 1))))
+    hundreds = F.when(k >= 100, F.concat(word(small, F.floor(k / 100) - 1), F.lit(" hundred"), F.when(low > 0, " and ").otherwise("")))
+    words = F.concat(F.lit("six million "), F.coalesce(hundreds, F.lit("")), rest)
+    return t(spark, d, "part").select("p_partkey", citation.words_to_number_udf(F.trim(words)).cast("string").alias("number"))
+
+
+def number_words(spark: SparkSession, d: str) -> DataFrame:
+    """The largest scales, and words that are no number."""
     return _literal(spark, [(a,) for a, _ in NUMBERS], "words").select("words", citation.words_to_number_udf("words").cast("string").alias("number"))
 
 
@@ -123,24 +75,28 @@ def plural_keys(spark: SparkSession, d: str) -> DataFrame:
     return _literal(spark, [(a,) for a, _ in FORMS], "word").select("word", F.array_join(citation.word_forms_udf("word"), "|").alias("forms"))
 
 
-def _lines(spark: SparkSession) -> DataFrame:
-    return _literal(spark, [(1, i, s) for i, s in enumerate(LINES)], "doc_id, line_no, text").withColumn("line_no", F.col("line_no").cast("long"))
-
-
 def field_extraction(spark: SparkSession, d: str) -> DataFrame:
-    return cases.find_fields(_lines(spark), "doc_id", "line_no", "text").select("neutral_citation", "hearing", "judgment", "counsel")
+    return cases.find_fields(judgment_lines(spark, d), "doc_id", "line_no", "text").select("doc_id", "neutral_citation", "hearing", "counsel")
 
 
 def party_split(spark: SparkSession, d: str) -> DataFrame:
-    return cases.parties(_lines(spark), "doc_id", "line_no", "text").select("plaintiffs", "defendants")
+    return cases.parties(judgment_lines(spark, d), "doc_id", "line_no", "text").select("doc_id", "plaintiffs", "defendants")
+
+
+def party_roles(spark: SparkSession, d: str) -> DataFrame:
+    return cases.party_lines(judgment_lines(spark, d), "doc_id", "line_no", "text").select("doc_id", "role", "name", "descriptor")
+
+
+def case_matters(spark: SparkSession, d: str) -> DataFrame:
+    return cases.matters(judgment_lines(spark, d), "doc_id", "line_no", "text").select("doc_id", "qualifier", "value")
 
 
 def case_body(spark: SparkSession, d: str) -> DataFrame:
-    return cases.body_kinds(_lines(spark), "text").filter("line_no >= 8").select("line_no", "kind", "label")
+    return cases.body_kinds(judgment_lines(spark, d), "text").filter("line_no >= 10").select("doc_id", "line_no", "kind", "label")
 
 
 def paragraph_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return cases.paragraph_anchors(_lines(spark), "doc_id", "line_no", "text").select("number", "place")
+    return cases.paragraph_anchors(judgment_lines(spark, d), "doc_id", "line_no", "text").select("doc_id", "number", "place")
 
 
 def validation_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -170,8 +126,8 @@ def merged_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    node_table, path_lookup, node_paths, culled_tree, tree_prefix, document_outline, document_parts, node_references, best_definition, scoped_definitions, dictionary_annotation, title_mentions, exclusive_split,
-    canonical_links, text_to_num, plural_keys, field_extraction, party_split, case_body, paragraph_anchors, validation_rules, sibling_walk, stale_merge, merged_state,
+    dictionary_annotation, title_mentions, exclusive_split, canonical_links, text_to_num, number_words, plural_keys, field_extraction, party_split, party_roles, case_matters, case_body, paragraph_anchors, validation_rules,
+    sibling_walk, stale_merge, merged_state,
 )}
 
 
@@ -183,28 +139,28 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 ORACLES = {
-    "path_lookup": _values(PATHS, "path, ids"),
-    "node_paths": _values([("L2", "s 2(1)(a)(i)"), ("L1", "s 2(1)(a)"), ("S2-1", "s 2(1)"), ("S4-1", "sch 1 cl 1(1)"), ("S3", "s 3")], "node_id, path"),
-    "culled_tree": _values([("A1", False), ("B1", False), ("P1", False), ("S2", False), ("S2-1", False), ("L3", True)], "node_id, current"),
-    "document_parts": "SELECT CAST(num AS INT) AS num, title FROM (VALUES (0, 'Interpretation'), (1, 'Levels'), (2, 'More'), (3, 'Forms')) AS t(num, title)",
-    "node_references": "SELECT CAST(source AS BIGINT) AS source, node_id, CAST(target AS BIGINT) AS target, link_text FROM (VALUES (1, 'S1', 1, 'section 1'), (1, 'S2', 1, 'section 2')) AS t(source, node_id, target, link_text)",
-    "best_definition": _values([("harbour dues", 5)], "term, distance"),
-    "scoped_definitions": _values([("vessel", "vessel|vessels", True, 50), ("harbour dues", "harbour due|harbour dues", False, 50)], "term, forms, exclusive, priority"),
-    "title_mentions": r"""WITH b AS (SELECT array_to_string(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_''-]+'), lambda w: w <> '')[1:4], ' ') AS term FROM benchmark),
-d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_''-]+'), lambda w: w <> ''), ' ') || ' ' AS text FROM documents)
-SELECT doc_id, CAST(sum((length(text) - length(replace(text, ' ' || term || ' ', ' '))) / (length(term) + 1)) AS BIGINT) AS n FROM d JOIN (SELECT DISTINCT term FROM b WHERE length(term) - length(replace(term, ' ', '')) = 3) ON contains(text, ' ' || term || ' ') GROUP BY 1""",
+    "title_mentions": r"""WITH b AS (SELECT DISTINCT array_to_string(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_''’-]+'), lambda w: w <> ''), ' ') AS term FROM benchmark),
+d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_''’-]+'), lambda w: w <> ''), ' ') || ' ' AS text FROM documents)
+SELECT doc_id, CAST(sum((length(text) - length(replace(text, ' ' || term || ' ', ' '))) / (length(term) + 1)) AS BIGINT) AS n FROM d JOIN b ON term <> '' AND contains(text, ' ' || term || ' ') GROUP BY 1""",
     "exclusive_split": """WITH c AS (SELECT *, min(CASE WHEN l_quantity > 30 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS cut FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2))
 SELECT l_orderkey, coalesce(string_agg(l_linenumber, ';' ORDER BY l_linenumber) FILTER (WHERE cut IS NULL OR l_linenumber <= cut), '') AS "primary", coalesce(string_agg(l_linenumber, ';' ORDER BY l_linenumber) FILTER (WHERE l_linenumber > cut), '') AS other FROM c GROUP BY 1""",
     "dictionary_annotation": r"""WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS ws FROM part)
 SELECT p_partkey, CAST(0 AS INT) AS start, p_name AS term FROM w WHERE p_name LIKE 'red %' UNION ALL
 SELECT p_partkey, CAST(generate_subscripts(ws, 1) - 1 AS INT), unnest(ws) FROM w WHERE p_name NOT LIKE 'red %'""",
-    "canonical_links": _values(LINKS, "raw, canonical"),
-    "text_to_num": _values([(a, None if b is None else str(b)) for a, b in NUMBERS], "words, number"),
+    "canonical_links": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 + 1 AS n FROM orders)
+SELECT CASE k % 5 WHEN 0 THEN 'section ' || k || '(' || n || ')' WHEN 1 THEN 'sections ' || k || ' to ' || (k + n) || ' of the Tax Act 1994' WHEN 2 THEN 'clause ' || n || ' of Part 2 of Schedule ' || k
+  WHEN 3 THEN 'subsection (' || n || ') of section ' || k ELSE 'LC ' || k || '(' || n || '), (' || (n + 1) || '),' END AS raw,
+CASE k % 5 WHEN 0 THEN 's ' || k || '(' || n || ')' WHEN 1 THEN 's ' || k || '-' || (k + n) WHEN 2 THEN 'sch ' || k || ' part 2 cl ' || n WHEN 3 THEN 's ' || k || '(' || n || ')' ELSE 's LC ' || k || '(' || n || ')+(' || (n + 1) || ')' END AS canonical FROM o""",
+    "text_to_num": "SELECT p_partkey, CAST(6000000 + p_partkey % 1000 AS VARCHAR) AS number FROM part",
+    "number_words": _values([(a, None if b is None else str(b)) for a, b in NUMBERS], "words, number"),
     "plural_keys": _values(FORMS, "word, forms"),
-    "field_extraction": _values([("[2014] NZHC 123", "3 March 2014", "4 March 2014", "B Advocate for the plaintiff")], "neutral_citation, hearing, judgment, counsel"),
-    "party_split": _values([("Ann Example", "The Borough of Elsewhere; Hearing: 3 March 2014; Counsel: B Advocate for the plaintiff; Judgment: 4 March 2014; THE FACTS; [1] It began.; (a) first of a list; [2] It went on.; [4] Not counted.; [3] It ended.")], "plaintiffs, defendants"),
-    "case_body": "SELECT CAST(line_no AS BIGINT) AS line_no, kind, label FROM (VALUES (8, 'title', NULL), (9, 'paragraph', '1'), (10, 'list', 'a'), (11, 'paragraph', '2'), (12, 'paragraph', '4'), (13, 'paragraph', '3')) AS t(line_no, kind, label)",
-    "paragraph_anchors": "SELECT number, CAST(place AS BIGINT) AS place FROM (VALUES (1, 9), (2, 11), (3, 13)) AS t(number, place)",
+    "field_extraction": f"SELECT c AS doc_id, '[2014] NZHC ' || c AS neutral_citation, strftime(day, '%-d %B %Y') AS hearing, 'B ' || segment || ' for the plaintiff' AS counsel FROM {SECTIONS} WHERE r = 1",
+    "party_split": f"SELECT c AS doc_id, name AS plaintiffs, n_name AS defendants FROM {SECTIONS} JOIN nation ON n_nationkey = nation WHERE r = 1",
+    "party_roles": f"SELECT c AS doc_id, unnest(['plaintiffs', 'defendants']) AS role, unnest([name, n_name]) AS name, unnest(['plaintiff', 'defendant']) AS descriptor FROM {SECTIONS} JOIN nation ON n_nationkey = nation WHERE r = 1",
+    "case_matters": f"SELECT c AS doc_id, 'UNDER' AS qualifier, 'the ' || segment || ' Act' AS value FROM {SECTIONS} WHERE r = 1",
+    "case_body": f"""SELECT c AS doc_id, CAST(10 AS BIGINT) AS line_no, 'title' AS kind, CAST(NULL AS VARCHAR) AS label FROM {SECTIONS} WHERE r = 1
+UNION ALL SELECT c, unnest([9 + 2 * r, 10 + 2 * r]), unnest(['paragraph', 'list']), unnest([CAST(r AS VARCHAR), 'a']) FROM {SECTIONS}""",
+    "paragraph_anchors": f"SELECT c AS doc_id, CAST(r AS INT) AS number, 9 + 2 * r AS place FROM {SECTIONS}",
     "validation_rules": """WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS c, contains(text, 'icense') AS w FROM documents)
 SELECT doc_id, 'parties' AS fault FROM f WHERE doc_id % 2 <> 0 UNION ALL SELECT doc_id, 'citation' FROM f WHERE length(c) < 20 UNION ALL SELECT doc_id, 'waistband' FROM f WHERE NOT w""",
     "sibling_walk": """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, CAST(sum(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS run FROM lineitem)

@@ -5,64 +5,90 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotate, layout
+from ..operators import annotate, layout, links
 from ..sources import documents as src
-from .document_queries import ACT, _literal, _values
+from .acts import boxes
 from .relational_queries import t
 
-BOXES = [
-    (0, 700, 690, 72, 300, 12, "IN THE HIGH COURT"), (0, 699, 689, 310, 523, 12, "CIV-2014"), (0, 680, 670, 247, 348, 12, "JUDGMENT"), (0, 640, 630, 72, 523, 12, "The first paragraph runs over"), (0, 627, 617, 72, 400, 12, "two lines."),
-    (0, 590, 580, 108, 523, 12, "An indented quotation."), (1, 700, 695, 72, 76, 7, "1"), (1, 690, 680, 72, 523, 12, "A note to the text."), (1, 650, 645, 72, 76, 7, "2"), (1, 640, 630, 72, 523, 12, "Another note"), (1, 627, 617, 72, 200, 12, "of two lines."),
-]
-TOC = [("Introduction .... [1]", 72), ("The law on very long", 72), ("titles ........ [12]", 72), ("Minor point [15]", 108)]
-BAND = ["before", "----", "A  The appeal is allowed", "in part.", "B  No order as to costs.", "----", "after"]
-NOTES = [(1, "Section 3: amended, on 1 July 2014, by section 5 of the Sample Amendment Act 2014."), (2, "Section 4: repealed, on nulldate, by section 6 of the Other Act 2013."), (3, None)]
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, n, part: an order's lines, once each."""
+    return t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("part"))
 
 
-def _boxes(spark: SparkSession) -> DataFrame:
-    rows = _literal(spark, [(1, *b) for b in BOXES], "doc_id, page, top, bottom, `left`, `right`, font, text")
-    return layout.reading_order(rows.select("doc_id", "page", "text", *(F.col(c).cast("double").alias(c) for c in ("top", "bottom", "left", "right", "font"))))
+NUMBERED = "(SELECT l_orderkey AS doc_id, l_linenumber AS n, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2)"
 
 
 def line_flags(spark: SparkSession, d: str) -> DataFrame:
-    return layout.flags(_boxes(spark)).select("line_no", "left_al", "right_al", "center", "indent", "full", "superscript")
+    return layout.flags(layout.reading_order(boxes(spark, d))).select("doc_id", "n", "line_no", "left_al", "right_al", "center", "indent", "full")
+
+
+def superscripts(spark: SparkSession, d: str) -> DataFrame:
+    """Small boxes of pages whose usual size is plain: those with four lines or more."""
+    own = boxes(spark, d)
+    long = own.groupBy("doc_id").count().filter("count >= 4").select("doc_id")
+    return layout.flags(own.join(long, "doc_id", "left_semi")).filter("superscript").select("doc_id", "n")
 
 
 def layout_rows(spark: SparkSession, d: str) -> DataFrame:
-    return layout.rows(_boxes(spark)).filter("page = 0").select(F.col("row").cast("int").alias("row"), "text")
+    return layout.rows(boxes(spark, d)).select("doc_id", F.col("row").cast("int").alias("row"), "text", "n_boxes")
 
 
 def layout_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return layout.paragraphs(_boxes(spark).filter("line_no between 3 and 5")).select("text")
+    """Lines in groups of three by number, a wide gap between groups."""
+    n, top = F.col("n"), 700.0 - 13 * F.col("n") - 20 * F.floor(F.col("n") / 3)
+    lines = _numbered(spark, d).select("doc_id", n.alias("line_no"), F.concat(F.lit("part "), "part").alias("text"), top.alias("top"), (top - 10).alias("bottom"), F.lit(72.0).alias("left"))
+    every = lines.select("doc_id").distinct().withColumn("line_no", F.explode(F.sequence(F.lit(1), F.lit(7)))).join(lines.select("doc_id", "line_no", "text"), ["doc_id", "line_no"], "left")
+    top = 700.0 - 13 * F.col("line_no") - 20 * F.floor(F.col("line_no") / 3)
+    every = every.select("doc_id", "line_no", F.coalesce("text", F.lit("-")).alias("text"), top.alias("top"), (top - 10).alias("bottom"), F.lit(72.0).alias("left"))
+    return layout.paragraphs(every).select("doc_id", F.col("para").cast("int").alias("para"), "text")
 
 
 def layout_footnotes(spark: SparkSession, d: str) -> DataFrame:
-    return layout.footnotes(layout.flags(_boxes(spark))).select("key", "text")
+    """A superscript number, then a line of its note, and a second one for even numbers."""
+    note = F.array(F.struct(F.lit(True).alias("superscript"), F.col("n").cast("string").alias("text")), F.struct(F.lit(False).alias("superscript"), F.concat(F.lit(" part "), "part").alias("text")), F.struct(F.lit(False).alias("superscript"), F.lit("and more ").alias("text")))
+    lines = _numbered(spark, d).select("doc_id", "n", F.posexplode(F.slice(note, F.lit(1), F.when(F.col("n") % 2 == 0, 3).otherwise(2))).alias("k", "x"))
+    return layout.footnotes(lines.select("doc_id", (F.col("n") * 3 + F.col("k")).alias("line_no"), "x.*")).select("doc_id", "key", "text")
 
 
 def contents_table(spark: SparkSession, d: str) -> DataFrame:
-    lines = _literal(spark, [(1, i, s, x) for i, (s, x) in enumerate(TOC)], "doc_id, line_no, text, `left`")
-    return layout.contents_rows(lines).select("title", "number", "minor")
+    """Entries with page numbers, every third one wrapped."""
+    entry = F.when(F.col("n") % 3 == 0, F.array(F.concat(F.lit("Part "), "part", F.lit(" begins")), F.concat(F.lit("and on .... ["), "n", F.lit("]")))).otherwise(F.array(F.concat(F.lit("Part "), "part", F.lit(" .... ["), "n", F.lit("]"))))
+    lines = _numbered(spark, d).select("doc_id", "n", F.when(F.col("n") % 2 == 0, 108.0).otherwise(72.0).alias("left"), F.posexplode(entry).alias("k", "text"))
+    return layout.contents_rows(lines.select("doc_id", (F.col("n") * 2 + F.col("k")).alias("line_no"), "text", "left")).select("doc_id", "title", "number", "minor")
 
 
 def waistband(spark: SparkSession, d: str) -> DataFrame:
-    lines = _literal(spark, [(1, i, s) for i, s in enumerate(BAND)], "doc_id, line_no, text")
-    return layout.band_entries(layout.band(lines, F.col("text").rlike("^-{4}"))).select("mark", "text")
+    """Orders of a judgment between two rules, an entry a letter, even ones of two lines."""
+    lines = _numbered(spark, d)
+    rules = lines.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("line_no"), F.lit("before").alias("text")), F.struct(F.lit(1).alias("line_no"), F.lit("----").alias("text")), F.struct(F.lit(98).alias("line_no"), F.lit("----").alias("text")), F.struct(F.lit(99).alias("line_no"), F.lit("Z  after").alias("text")))).alias("x")).select("doc_id", "x.*")
+    entry = F.concat(F.char(F.col("n") + 64), F.lit("  Part "), "part", F.lit(" is allowed"))
+    body = lines.select("doc_id", (F.col("n") * 3).alias("line_no"), entry.alias("text")).unionByName(lines.filter("n % 2 = 0").select("doc_id", (F.col("n") * 3 + 1).alias("line_no"), F.lit("in part.").alias("text")))
+    return layout.band_entries(layout.band(rules.unionByName(body), F.col("text").rlike("^-{4}"))).select("doc_id", "mark", "text")
 
 
 def amendments(spark: SparkSession, d: str) -> DataFrame:
-    return annotate.amendment_rows(_literal(spark, NOTES, "id, note"), "note").select("id", "amendment_date", "amending")
+    """History notes of line items, those on even days without a date."""
+    day = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).otherwise(F.lit("nulldate"))
+    notes = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Section 3: amended, on "), day, F.lit(", by section 5 of the Order "), "o_custkey", F.lit(" Act 2014.")).alias("note"))
+    return annotate.amendment_rows(notes, "note").select("id", "amendment_date", "amending")
 
 
-def parent_instruments(spark: SparkSession, d: str) -> DataFrame:
-    titles = _literal(spark, [(1, "Sample Act 1993"), (2, "Sample Regulations 1995"), (3, "Sample Amendment Act 1999"), (4, "Other Act 2001")], "id, title")
-    texts = _literal(spark, [(2, "These regulations are made under section 5 of the Sample Act 1993."), (3, "This Act amends the Sample Act 1993 and the Sample Amendment Act 1999."), (4, "This amends the Sample Act 1993.")], "id, text")
-    return layout.parents(titles, texts)
+def resolved_amendments(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with the document that their amending title names."""
+    notes = t(spark, d, "orders").select(F.col("o_orderkey").alias("target"), F.lit("n").alias("node_id"), F.concat(F.lit("repealed, on 1 July 2014, by section 6 of the Order "), F.col("o_custkey") % 50, F.lit(" Act 2014.")).alias("note"))
+    titles = t(spark, d, "customer").filter("c_custkey < 40").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Order "), "c_custkey", F.lit(" Act 2014")).alias("title"))
+    return links.amendments(notes, titles).select("target", "amendment_date", "amending", "source")
 
 
-def instrument_rows(spark: SparkSession, d: str) -> DataFrame:
-    files = _literal(spark, [(1, ACT), (2, "<act id='Z' terminated='repealed' date.assent='nulldate'/>"), (3, "no xml")], "doc, xml")
-    return src.instruments(files).select("doc", "govt_id", "type", "title", "year", "repealed", "date_assent")
+def parent_instruments(spark: SparkSession, d: str) -> DataFrame:
+    """Acts and regulations of nations; regulations are made under the act of their nation, amendments under that of their region."""
+    n = t(spark, d, "nation")
+    act, rules, later = F.concat("n_name", F.lit(" Act 1993")), F.concat("n_name", F.lit(" Regulations 1995")), F.concat("n_name", F.lit(" Amendment Act 1999"))
+    titles = n.select(F.explode(F.array(F.struct(F.col("n_nationkey").alias("id"), act.alias("title")), F.struct((F.col("n_nationkey") + 100).alias("id"), rules.alias("title")), F.struct((F.col("n_nationkey") + 200).alias("id"), later.alias("title")))).alias("x")).select("x.*")
+    named = n.alias("a").join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("first")), F.col("n_regionkey") == F.col("k"))
+    made = named.select((F.col("n_nationkey") + 100).alias("id"), F.concat(F.lit("These regulations are made under section 5 of the "), "n_name", F.lit(" Act 1993.")).alias("text"))
+    amends = named.select((F.col("n_nationkey") + 200).alias("id"), F.concat(F.lit("This Act amends the "), "first", F.lit(" Act 1993 and the "), "n_name", F.lit(" Amendment Act 1999.")).alias("text"))
+    return layout.parents(titles, made.unionByName(amends))
 
 
 def best_of_field_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -77,19 +103,21 @@ def iso_dates(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.date_format(F.try_to_timestamp("iso"), "yyyy-MM-dd HH:mm:ss").alias("at"), F.try_to_timestamp("short", F.lit("d MMM yyyy")).cast("date").alias("day"))
 
 
-QUERIES = {f.__name__: f for f in (line_flags, layout_rows, layout_paragraphs, layout_footnotes, contents_table, waistband, amendments, parent_instruments, instrument_rows, best_of_field_scan, iso_dates)}
+QUERIES = {f.__name__: f for f in (
+    line_flags, superscripts, layout_rows, layout_paragraphs, layout_footnotes, contents_table, waistband, amendments, resolved_amendments, parent_instruments, best_of_field_scan, iso_dates,
+)}
 
-F_, T_ = False, True
 ORACLES = {
-    "line_flags": _values([(0, T_, F_, F_, F_, F_, F_), (1, F_, T_, F_, F_, F_, F_), (2, F_, F_, T_, F_, F_, F_), (3, T_, F_, F_, F_, T_, F_), (4, T_, F_, F_, F_, F_, F_), (5, F_, T_, F_, F_, F_, F_), (6, T_, F_, F_, F_, F_, T_), (7, T_, F_, F_, F_, T_, F_), (8, T_, F_, F_, F_, F_, T_), (9, T_, F_, F_, F_, T_, F_), (10, T_, F_, F_, F_, F_, F_)], 'line_no, left_al, right_al, center, indent, "full", superscript'),
-    "layout_rows": _values([(0, "IN THE HIGH COURT CIV-2014"), (1, "JUDGMENT"), (2, "The first paragraph runs over"), (3, "two lines."), (4, "An indented quotation.")], '"row", text'),
-    "layout_paragraphs": _values([("The first paragraph runs over two lines.",), ("An indented quotation.",)], "text"),
-    "layout_footnotes": _values([(1, "A note to the text."), (2, "Another note of two lines.")], "key, text"),
-    "contents_table": _values([("Introduction", 1, F_), ("The law on very long titles", 12, F_), ("Minor point", 15, T_)], "title, number, minor"),
-    "waistband": _values([("A", "The appeal is allowed in part."), ("B", "No order as to costs.")], "mark, text"),
-    "amendments": "SELECT id, CAST(amendment_date AS DATE) AS amendment_date, amending FROM (VALUES (1, '2014-07-01', 'Sample Amendment Act 2014'), (2, NULL, 'Other Act 2013'), (3, NULL, NULL)) AS t(id, amendment_date, amending)",
-    "parent_instruments": _values([(2, 1), (3, 1)], "child, parent"),
-    "instrument_rows": "SELECT doc, govt_id, type, title, CAST(year AS INT) AS year, repealed, CAST(NULL AS DATE) AS date_assent FROM (VALUES (1, 'A1', 'act', 'Sample Act', 1993, false), (2, 'Z', 'act', NULL, NULL, true)) AS t(doc, govt_id, type, title, year, repealed)",
+    "line_flags": f"SELECT doc_id, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS line_no, n % 2 = 0 AS left_al, n % 2 = 1 AS right_al, false AS center, false AS indent, false AS \"full\" FROM {NUMBERED}",
+    "superscripts": f"SELECT doc_id, n FROM {NUMBERED} WHERE n = 5 AND doc_id IN (SELECT doc_id FROM {NUMBERED} GROUP BY 1 HAVING count(*) >= 4)",
+    "layout_rows": f"SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS \"row\", text, n_boxes FROM (SELECT doc_id, n // 2 AS k, string_agg('part ' || part, ' ' ORDER BY n) AS text, count(*) AS n_boxes FROM {NUMBERED} GROUP BY 1, 2)",
+    "layout_paragraphs": f"""SELECT doc_id, CAST(n // 3 AS INT) AS para, string_agg(coalesce('part ' || part, '-'), ' ' ORDER BY n) AS text FROM (SELECT DISTINCT doc_id FROM {NUMBERED}) CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INT) AS n) LEFT JOIN {NUMBERED} AS x USING (doc_id, n) GROUP BY 1, 2""",
+    "layout_footnotes": f"SELECT doc_id, n AS key, 'part ' || part || (CASE WHEN n % 2 = 0 THEN ' and more' ELSE '' END) AS text FROM {NUMBERED}",
+    "contents_table": f"SELECT doc_id, 'Part ' || part || (CASE WHEN n % 3 = 0 THEN ' begins and on' ELSE '' END) AS title, n AS number, n % 2 = 0 AS minor FROM {NUMBERED}",
+    "waistband": f"SELECT doc_id, chr(64 + n) AS mark, 'Part ' || part || ' is allowed' || (CASE WHEN n % 2 = 0 THEN ' in part.' ELSE '' END) AS text FROM {NUMBERED}",
+    "amendments": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS amendment_date, 'Order ' || o_custkey || ' Act 2014' AS amending FROM orders",
+    "resolved_amendments": "SELECT o_orderkey AS target, DATE '2014-07-01' AS amendment_date, 'Order ' || (o_custkey % 50) || ' Act 2014' AS amending, c_custkey AS source FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 40) ON c_custkey = o_custkey % 50",
+    "parent_instruments": "SELECT n_nationkey + 100 AS child, n_nationkey AS parent FROM nation UNION SELECT n_nationkey + 200, n_regionkey FROM nation",
     "best_of_field_scan": "SELECT p_partkey AS key, coalesce(s_name, p_name) AS title FROM part LEFT JOIN supplier ON s_suppkey = p_partkey",
     "iso_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CAST(ts AS DATE) AS day FROM events",
 }

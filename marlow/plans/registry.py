@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_queries, layout_queries, relational_queries, text_queries
+from . import act_queries, document_queries, layout_queries, record_queries, relational_queries, text_queries
 
-_MODULES = (relational_queries, text_queries, document_queries, layout_queries)
+_MODULES = (relational_queries, record_queries, text_queries, act_queries, document_queries, layout_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -184,7 +184,7 @@ def principal_flag(spark: SparkSession, d: str) -> DataFrame:
 
 def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
-    return t(spark, d, "documents").select("doc_id", fn.clean_title(c).alias("title"), fn.label(F.substring(c, 1, 50)).alias("label"), fn.mostly_upper(c).alias("upper"), fn.is_title(F.substring(c, 1, 10)).alias("caps"))
+    return t(spark, d, "documents").select("doc_id", fn.clean_title(c).alias("title"), fn.label(c).alias("label"), fn.mostly_upper(c).alias("upper"), fn.is_title(c).alias("caps"))
 
 
 def interval_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -201,8 +201,8 @@ QUERIES = {f.__name__: f for f in (
 LINKS = "(SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) - 1 AS place FROM pages)"
 PARTS = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS data, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS num FROM documents)"
 FLAGS = "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IN ('en', 'fr') AND n_chars > 100"
-HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
- '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g'))"""
+HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
+ '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g'))"""
 
 ORACLES = {
     "contains_all": f"SELECT doc_id FROM documents WHERE {JOINED} LIKE '% the %' AND {JOINED} LIKE '% of %' AND {JOINED} LIKE '% and %'",
@@ -219,6 +219,13 @@ ORACLES = {
     "has_parent": "SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "snippet_highlight": r"""SELECT p_partkey, regexp_replace(p_name, '\b(ring|red)\b', '<span class="search_match">\1</span>', 'gi') AS marked FROM part""",
     "text_fragments": r"SELECT p_partkey, CASE WHEN regexp_matches(p_name, '\bwidget\b') THEN regexp_extract(p_name, '.{0,2}\bwidget\b.{0,2}') ELSE substr(p_name, 1, 10) END AS fragment FROM part",
+    "ranked_search": r"""WITH w AS (SELECT doc_id, f, unnest(list_filter(regexp_split_to_array(lower(x), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS t FROM (SELECT doc_id, 'text' AS f, text AS x FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents)),
+p AS (SELECT doc_id, f, CASE WHEN length(t) <= 3 THEN t WHEN regexp_matches(t, '[^aeiou]ies$') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, '(?:ss|x|ch|sh)es$') THEN regexp_replace(t, 'es$', '') WHEN regexp_matches(t, '[^su]s$') THEN regexp_replace(t, 's$', '') ELSE t END AS s, t FROM w WHERE t LIKE 'er%' OR t LIKE 'tion%'),
+q AS (SELECT doc_id, f, CASE WHEN length(t) <= 3 THEN t ELSE regexp_replace(s, '([aeiouy].{1,40})(?:ed|ing)$', '\1') END AS s, t FROM p),
+z AS (SELECT doc_id, f, CASE WHEN length(t) > 3 AND right(s, 2) IN ('bb', 'dd', 'ff', 'gg', 'mm', 'nn', 'pp', 'rr', 'tt') THEN left(s, length(s) - 1) ELSE s END AS s FROM q),
+n AS (SELECT doc_id, f, count(*) FILTER (s = 'er') AS a, count(*) FILTER (s = 'tion') AS b FROM z GROUP BY 1, 2), k AS (SELECT count(*) AS total FROM documents),
+d AS (SELECT f, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM n GROUP BY 1)
+SELECT doc_id, max((a * ln(1 + (total - da + 0.5) / (da + 0.5)) + b * ln(1 + (total - db + 0.5) / (db + 0.5))) * CASE f WHEN 'source' THEN 3.0 ELSE 1.0 END) AS score FROM n JOIN d USING (f), k WHERE a > 0 AND b > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25""",
     "term_counts": "SELECT term, count(DISTINCT p_partkey) AS df, count(*) AS cf FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS term FROM part) GROUP BY 1",
     "html_text": f"SELECT page_id, {HTML} AS text FROM pages",
     "html_links": f"SELECT page_id, place, href FROM {LINKS}",
@@ -237,6 +244,6 @@ ORACLES = {
     "json_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, array_to_string(json_keys(props), ',') AS keys FROM events",
     "map_entries": "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events",
     "principal_flag": "SELECT p_partkey, p_name NOT ILIKE '%ring%' AS principal, p_partkey || '-' || p_size AS id, (p_type IS NULL OR p_type = '') AS blank, printf('%.1f', CAST(p_size AS DOUBLE)) AS version FROM part",
-    "text_cleaning": r"SELECT doc_id, regexp_replace(trim(text, ' '), '[\n\r]+', ' ', 'g') AS title, trim(regexp_replace(translate(lower(substr(text, 1, 50)), '()', '  '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS label, length(regexp_replace(text, '[^A-Z]', '', 'g')) * 2 >= length(text) AS upper, (upper(substr(text, 1, 10)) = substr(text, 1, 10) AND regexp_matches(substr(text, 1, 10), '[A-Z]')) AS caps FROM documents",
+    "text_cleaning": r"SELECT doc_id, regexp_replace(trim(text, ' '), '[\n\r]+', ' ', 'g') AS title, trim(regexp_replace(translate(lower(text), '()', '  '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS label, length(regexp_replace(text, '[^A-Z]', '', 'g')) * 2 >= length(text) AS upper, (upper(text) = text AND regexp_matches(text, '[A-Z]')) AS caps FROM documents",
     "interval_gaps": "SELECT l_orderkey, l_linenumber, greatest(0.0, l_discount * 100 - l_quantity - 5, l_quantity - l_discount * 100 - 2) AS gap, CASE WHEN l_discount * 100 > l_quantity + 5 THEN l_discount * 100 - l_quantity - 5 WHEN l_quantity > l_discount * 100 + 2 THEN l_discount * 100 + 2 - l_quantity ELSE 0.0 END AS signed FROM lineitem",
 }
