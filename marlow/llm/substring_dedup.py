@@ -15,8 +15,8 @@ one *path* (about 14 windows on average), and equal windows always lie in paths
 
 A window's identity is the pair of two independent 64-bit hashes (seed and words) with its offset; both
 are of mixed hashes of whole words.
-Hot passages meet in aggregates with map-side combination and in joins that Spark may split; no group
-is gathered.
+Hot passages meet in aggregates with map-side combination; seeds and paths that many edges share are
+broadcast, a bounded number of them, so no group is gathered and none fills a task.
 
 Edge cases: a null or empty text has no words and keeps the empty text; a document shorter than a
 window loses nothing; every row is a document of its own, told apart by its place and not by its
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .store import ROW, discard, materialise, rows
 from .textnum import chunks, mix, powers, rolling, span_hashes, words
 
+HOT = 1 << 12  # keys that are broadcast, at most
 _AT = 28  # low bits that hold a position; the rest of a packed value orders by hash
 _AT_ROW = f"{ROW[0]} long, {ROW[1]} long"
 _PATHS = f"{_AT_ROW}, seed long, body long, lo int, hi int"
@@ -146,19 +147,33 @@ def _drop(window: int) -> Callable:
     return run
 
 
+def _met(edges: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``edges`` joined to their keys; ``keys`` have n, how many edges each has, of ``total``.
+
+    A key of more than one in ``HOT`` of all edges would fill a task. There are at most ``HOT`` of those,
+    so they are broadcast and meet the edges where these lie; the others meet by shuffle.
+    """
+    hot = (F.col("n") * HOT > total).alias("hot")
+    often, seldom = keys.filter(hot), keys.filter(~hot)
+    here = edges.join(F.broadcast(often.drop("n")), on)
+    rest = edges.join(F.broadcast(often.select(*on)), on, "left_anti").join(seldom.drop("n").hint("merge"), on)
+    return here.unionByName(rest)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, seed: int = 8) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text."""
     docs = rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     edges = materialise(docs.select(*ROW, "text").mapInArrow(_to_paths(window, seed), _PATHS), "paths")
-    seeds = edges.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("a"), F.max("body").alias("b")).filter("n > 1").select("seed", (F.col("a") != F.col("b")).alias("branching"))
-    shared = materialise(edges.join(seeds, "seed"), "shared-paths")
+    seeds = edges.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("a"), F.max("body").alias("b")).filter("n > 1").select("seed", "n", (F.col("a") != F.col("b")).alias("branching"))
+    seeds = materialise(seeds, "seeds")
+    shared = materialise(_met(edges, seeds, ["seed"], edges.count()), "shared-paths")
     discard(edges)
 
     straight = shared.filter("not branching").select(*ROW, "lo", "hi")
     branching = shared.filter("branching")
     bodies = materialise(branching.groupBy("seed", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "lo", "hi")).alias("at")), "distinct-paths")
-    whole = branching.join(bodies.filter("n > 1").select("seed", "body"), ["seed", "body"]).select(*ROW, "lo", "hi")
+    whole = _met(branching, bodies.filter("n > 1").select("seed", "body", "n"), ["seed", "body"], shared.count()).select(*ROW, "lo", "hi")
 
     spelt = bodies.select("at.*", F.struct("at.lo", "at.hi", "seed", (F.col("n") > 1).alias("many")).alias("p")).groupBy(*ROW).agg(F.collect_list("p").alias("paths"))
     single = materialise(docs.join(spelt, ROW).select(*ROW, "text", "paths").mapInArrow(_spell(window), f"seed long, body long, many boolean, {_AT_ROW}, lo int"), "windows")
@@ -167,6 +182,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spans = straight.unionByName(whole).unionByName(parted).groupBy(*ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = materialise(spans, "repeated-spans")
-    for used in (shared, bodies, single):
+    for used in (seeds, shared, bodies, single):
         discard(used)
     return docs.join(spans, ROW, "left").select("doc_id", "text", "spans").mapInArrow(_drop(window), f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
