@@ -66,15 +66,16 @@ def titles(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def autocomplete(names: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def autocomplete(names: DataFrame, query: str, limit: int = 50, wildcards: bool = False) -> DataFrame:
     """Names that contain the query, whatever the case, best first: depth, place, length, references, year.
 
-    A wildcard in the query stays one. The last key, the identifier, makes the cut stable.
+    With ``wildcards``, ``%`` and ``_`` in the query stand for any text and any character, as the literal
+    LIKE has it. The last key, the identifier, makes the cut stable.
     """
     low = F.lower("name")
-    found = names.filter(F.col("name").ilike(f"%{query}%"))
+    hit = F.col("name").ilike(f"%{query}%") if wildcards else F.contains(low, F.lit(query.lower()))
     order = [F.asc_nulls_last("base_score"), F.locate(query.lower(), low).asc(), F.char_length("name").asc(), F.desc_nulls_first("refs"), F.desc_nulls_first("year"), F.col("type").asc(), F.col("id").asc()]
-    return found.orderBy(*order).limit(limit)
+    return names.filter(hit).orderBy(*order).limit(limit)
 
 
 def exact_title(names: DataFrame, query: str) -> DataFrame:

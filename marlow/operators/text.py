@@ -242,7 +242,9 @@ def ranked(df: DataFrame, id_col: str, fields: dict[str, float], query: str, siz
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
     total = df.count()
     stems = df.sparkSession.range(1).select(*(stem(F.lit(w)).alias(f"s{i}") for i, w in enumerate(words))).first()
-    each = F.array(*(F.struct(F.lit(f).alias("field"), terms(F.coalesce(F.col(f), F.lit(""))).alias("ts")) for f in fields))
+    # A stem differs from its word in the last letters only, so most words are passed over without one.
+    near_words = lambda text: F.transform(F.filter(tokens(text), lambda w: ~w.isin(STOP_WORDS) & reduce(lambda a, b: a | b, [w.startswith(s[: max(1, len(s) - 1)]) for s in stems])), stem)
+    each = F.array(*(F.struct(F.lit(f).alias("field"), near_words(F.coalesce(F.col(f), F.lit(""))).alias("ts")) for f in fields))
     asked = df.select(id_col, F.explode(each).alias("x")).select(id_col, "x.field", F.explode("x.ts").alias("term")).filter(F.col("term").isin(*stems))
     counts = materialise(asked.groupBy(id_col, "field").agg(*(F.count_if(F.col("term") == s).alias(f"n_{i}") for i, s in enumerate(stems))), "term-counts")
     sums = {r["field"]: r for r in counts.groupBy("field").agg(*(F.count_if(F.col(f"n_{i}") > 0).alias(f"d_{i}") for i in range(len(words)))).collect()}

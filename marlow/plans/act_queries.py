@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..functions import xmljson
+from ..functions import render, xmljson
 from ..operators import annotate, index, links, tree
 from ..sources import documents as src
 from .acts import SECTIONS, acts
@@ -214,8 +214,18 @@ def style_pixels(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", style["width"].alias("width"), style["color"].alias("color"), style["top"].alias("top"), fn.leading_points(F.col("p_retailprice"), 0.01).alias("leading"), fn.column_share(F.col("p_size"), F.lit(7)).alias("share"))
 
 
+def contents_html(spark: SparkSession, d: str) -> DataFrame:
+    return acts(spark, d).select("doc_id", render.contents_udf("xml").alias("html"))
+
+
+def rendered_locations(spark: SparkSession, d: str) -> DataFrame:
+    """The locations that the HTML of each act says, in order."""
+    html = acts(spark, d).select("doc_id", render.render_udf()("xml").alias("html"))
+    return html.select("doc_id", F.array_join(F.regexp_extract_all("html", F.lit('data-location="([^"]*)"'), F.lit(1)), ";").alias("locations"))
+
+
 QUERIES = {f.__name__: f for f in (
-    node_table, path_lookup, node_paths, culled_tree, tree_prefix, document_outline, nested_outline, document_parts, document_fragments, document_skeleton, node_citations, root_dates, node_references, resolved_links,
+    contents_html, rendered_locations, node_table, path_lookup, node_paths, culled_tree, tree_prefix, document_outline, nested_outline, document_parts, document_fragments, document_skeleton, node_citations, root_dates, node_references, resolved_links,
     refreshed_links, batch_analysis, shortcut_titles, best_definition, nodes_holding, scoped_definitions, annotated_terms, rendered_definitions, inherited_definitions, new_title_definitions, instrument_rows, tree_json, same_trees,
     index_terms, index_search, cover_density, refreshed_index, index_projection, string_helpers, style_pixels,
 )}
@@ -225,6 +235,8 @@ DOCS = f"(SELECT DISTINCT c, name, segment FROM {S})"
 LINKED = f"SELECT c AS source, 'S' || prev AS node_id, c AS target, 'section ' || (r - 1) AS link_text FROM {S} WHERE prev IS NOT NULL"
 HTML = "'<div class=\"def-para\">' || segment || ' ship ' || (CASE WHEN c % 2 = 0 THEN 'means' ELSE 'includes' END) || ' a vessel</div><div class=\"source\">' || name || '</div>'"
 ORACLES = {
+    "contents_html": f"""SELECT c AS doc_id, '<ul>' || string_agg('<li data-location="s ' || r || '">' || r || ' ' || p || '</li>', '' ORDER BY r) || '</ul>' AS html FROM {S} GROUP BY 1""",
+    "rendered_locations": f"SELECT c AS doc_id, string_agg('s ' || r || ';s ' || r || '(1);s ' || r || '(1)(a);s ' || r || '(1)(b)', ';' ORDER BY r) AS locations FROM {S} GROUP BY 1",
     "node_table": f"""SELECT 'A' || c AS node_id, 'act' AS tag, CAST(NULL AS VARCHAR) AS label, CAST(0 AS INT) AS depth FROM {DOCS} UNION ALL SELECT 'B' || c, 'body', NULL, 1 FROM {DOCS}
 UNION ALL SELECT 'D' || c, 'def-para', NULL, 6 FROM {DOCS} UNION ALL SELECT 'T' || c, 'def-term', NULL, 9 FROM {DOCS} UNION ALL SELECT 'S' || o, 'prov', CAST(r AS VARCHAR), 2 FROM {S} UNION ALL SELECT 'U' || o, 'subprov', '1', 4 FROM {S}
 UNION ALL SELECT 'L' || o, 'label-para', 'a', 6 FROM {S} UNION ALL SELECT 'M' || o, 'label-para', 'b', 6 FROM {S}""",
