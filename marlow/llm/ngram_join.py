@@ -332,6 +332,14 @@ def _linked(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256
     return nodes, named
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` after edges between names: components of their roots alone, which are few."""
+    at = lambda c: roots.select(F.col("name").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = more.join(at("a"), "a").join(at("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    moved = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return materialise(roots.join(moved, "root", "left").select("name", F.coalesce("to", "root").alias("root")), "roots")
+
+
 def _connected(home: DataFrame, texts: DataFrame, met: DataFrame, block: int, width: int, percent: int) -> DataFrame:
     """(name, root) of all names, without comparing what is linked already.
 
@@ -354,8 +362,7 @@ def _connected(home: DataFrame, texts: DataFrame, met: DataFrame, block: int, wi
         more = _verified(work, width, percent).filter("a <> b").select("a", "b")
         joined = more.count()
         if joined:
-            edges = materialise(roots.select(F.col("root").alias("a"), F.col("name").alias("b")).filter("a <> b").unionByName(more), "joined")
-            roots = _rooted(names, edges)
+            roots = _joined(roots, more)
         if joined * 8 < n:
             break
     still = met.join(roots, "name")
@@ -366,9 +373,7 @@ def _connected(home: DataFrame, texts: DataFrame, met: DataFrame, block: int, wi
     stays = places.join(visits.select("block").distinct(), "block", "left_semi").withColumn("visiting", F.lit(0))
     work = stays.select("name", "block", "visiting").unionByName(visits.select("name", "block", "visiting")).join(texts.drop("block").hint("merge"), "name")
     more = _verified(work, width, percent).filter("a <> b").select("a", "b")
-    if more.isEmpty():
-        return roots
-    return _rooted(names, roots.select(F.col("root").alias("a"), F.col("name").alias("b")).filter("a <> b").unionByName(more))
+    return roots if more.isEmpty() else _joined(roots, more)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 256, count_links: bool = False) -> DataFrame:
