@@ -186,3 +186,44 @@ class Engine:
         if year:
             out = out.filter(tx.year_query(F.col("year"), year))
         return rel.page(out, [F.col("full_citation"), F.col("id")], offset, PAGE)
+
+    def link(self, title: str) -> DataFrame:
+        """What a title leads to: the latest document of that name, with its type."""
+        return self.latest.filter(F.col("title") == title).select("id", "type", "title", "year").orderBy(F.desc_nulls_first("year"), "id")
+
+    def summary(self, doc: int) -> DataFrame:
+        """A document with its versions, references into it, and what is made under it or it is made under."""
+        own = self.instruments.filter(F.col("id") == doc)
+        versions = self.instruments.groupBy("govt_id").agg(F.count(F.lit(1)).alias("n_versions"), F.max("version").alias("newest"))
+        into = self.counts.filter((F.col("target") == doc) & (F.col("source") != doc)).agg(F.count(F.lit(1)).alias("n_referring"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"))
+        out = own.join(versions, "govt_id").crossJoin(into)  # one row on either side
+        if "edges" in self.tables:
+            below = self.edges.filter(F.col("parent") == doc).agg(F.countDistinct("child").alias("n_below"))
+            above = self.edges.filter(F.col("child") == doc).agg(F.array_sort(F.collect_set("parent")).alias("parents"))
+            out = out.crossJoin(below).crossJoin(above)
+        return out
+
+    def published(self, kind: str | None = None) -> DataFrame:
+        """Saved views that are open to all, newest first."""
+        return rel.optional_filter(self.views.filter("published"), kind=kind).orderBy(F.desc_nulls_last("saved"), "id")
+
+
+class PageStore:
+    """Pages of results as a client holds them: one list a query, whatever page of it was asked for."""
+
+    def __init__(self, engine: Engine, size: int = PAGE) -> None:
+        self.engine, self.size = engine, size
+        self.lists: dict[tuple, dict] = {}
+
+    @staticmethod
+    def key(query: dict) -> tuple:
+        return tuple(sorted((k, str(v)) for k, v in query.items() if k != "offset"))
+
+    def more(self, **query: object) -> dict:
+        """The query's list with its next page: ``results`` and whether it is ``finished``; a finished one asks no more."""
+        held = self.lists.setdefault(self.key(query), {"results": [], "finished": False})
+        if not held["finished"]:
+            rows = self.engine.query(**{**query, "offset": len(held["results"])}).collect()  # one page
+            held["results"] += rows
+            held["finished"] = len(rows) < self.size
+        return held

@@ -128,3 +128,112 @@ def paragraph_anchors(lines: DataFrame, key: str, place: str, text: str) -> Data
         return rows[good]
 
     return found.groupBy(key).applyInPandas(run, found.schema)
+
+
+#: The parts of a judgment's head and body: a line that opens each, a line that ends it, and whether it takes more than its first line.
+RULES = [
+    ("court", r"(?i)^\s*in the (?:high court|court of appeal|supreme court|district court)\b", None, False),
+    ("registry", r"(?i)\bregistry\s*$", None, False),
+    ("court_file", FIELDS["court_file"], None, False),
+    ("neutral_citation", FIELDS["neutral_citation"], None, False),
+    ("matter", QUALIFIER, r"^\s*$", True),
+    ("parties", r"(?i)^\s*between\s*$", r"(?i)^\s*(?:hearing|heard|judgment|counsel|appearances?)\b", True),
+    ("hearing", FIELDS["hearing"], None, False),
+    ("counsel", FIELDS["counsel"], r"^\s*$|^\s*[Jj]udgment\b|^[A-Z][A-Z ]+$", True),
+    ("judgment", FIELDS["judgment"], None, False),
+    ("bench", FIELDS["bench"], None, False),
+    ("solicitor", r"(?i)^\s*solicitors?\s*:?", r"^\s*(?:\[\d+\]|$)", True),
+    ("body", r"^\s*\[1\]", None, True),
+]
+
+
+def match(lines: DataFrame, key: str, place: str, text: str, rules: list[tuple[str, str, str | None, bool]] = RULES) -> DataFrame:
+    """(key, place, rule, text): each line with the rule it belongs to, null where none holds.
+
+    A line that opens a rule ends the one before; a rule of one line ends after it; one of several goes
+    on until a line ends it or opens another. The last rule of the table, once open, takes the rest.
+    """
+    import re
+
+    ready = [(name, re.compile(_python(start)), re.compile(_python(stop)) if stop else None, more) for name, start, stop, more in rules]
+    final = rules[-1][0]
+    own = lines.select(key, F.col(place).cast("long").alias("place"), F.col(text).alias("text"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, now, out = rows.sort_values("place"), None, []
+        for line in rows["text"]:
+            said = line or ""
+            opened = next((r for r in ready if r[1].search(said)), None) if now is None or now[0] != final else None
+            if opened is not None:
+                now = opened
+            elif now is not None and (not now[3] or (now[2] is not None and now[2].search(said))):
+                now = None
+            out.append(None if now is None else now[0])
+        return rows.assign(rule=out)
+
+    return own.groupBy(key).applyInPandas(run, f"{own.schema.simpleString()[7:-1]}, rule string").select(key, "place", "rule", "text")
+
+
+def _python(pattern: str) -> str:
+    """A pattern whose ``(?i)`` may come late, for Python: the flag holds for the whole of it."""
+    return ("(?i)" if "(?i)" in pattern else "") + pattern.replace("(?i)", "")
+
+
+def assembled(matched: DataFrame, key: str, rules: list[tuple[str, str, str | None, bool]] = RULES) -> DataFrame:
+    """One row per document, a column per rule in the table's order: the text of its lines, one under the other."""
+    def told(rule: str) -> Column:
+        own = F.array_sort(F.collect_list(F.when(F.col("rule") == rule, F.struct("place", F.coalesce("text", F.lit("")).alias("t")))))
+        return F.nullif(F.array_join(F.transform(own, lambda x: x["t"]), "\n"), F.lit("")).alias(rule)
+
+    return matched.groupBy(key).agg(*(told(name) for name, *_ in rules))
+
+
+def body_flags(lines: DataFrame, text: str, left: str, usual: str, font: str, bold: str) -> DataFrame:
+    """Lines with what their place and face say: quotations are indented and smaller, titles bold or in capitals, and the rest runs on."""
+    title = F.col(bold) | ((F.upper(text) == F.col(text)) & F.col(text).rlike("[A-Z]{2}"))
+    quote = (F.col(left) > F.col(usual) + 18) & (F.col(font) < 12)
+    item = F.col(text).rlike(r"^\s*(?:\([a-z]{1,4}\)|[•*-]\s)")
+    return lines.withColumns({"is_quote": quote & ~item, "is_item": item, "is_title": title & ~quote & ~item, "runs_on": ~F.col(text).rlike(r"[.:;?!]\s*$") & ~title})
+
+
+def clean_markup_udf(inline: tuple[str, ...] = ("b", "i", "em", "strong", "span", "style")):
+    """XML without empty inline elements, and with neighbours of one style as one; null for null and for what is not XML."""
+    import xml.etree.ElementTree as ET
+
+    def tidy(e: ET.Element) -> None:
+        kept: list[ET.Element] = []
+        for c in list(e):
+            tidy(c)
+            before = kept[-1] if kept else None
+            if c.tag in inline and not len(c) and not (c.text or "").strip():
+                gap = (c.text or "") + (c.tail or "")
+                if before is not None:
+                    before.tail = (before.tail or "") + gap
+                else:
+                    e.text = (e.text or "") + gap
+                e.remove(c)
+            elif before is not None and c.tag in inline and c.tag == before.tag and c.attrib == before.attrib and not (before.tail or "").strip():
+                said = (before.tail or "") + (c.text or "")
+                if len(before):
+                    before[-1].tail = (before[-1].tail or "") + said
+                else:
+                    before.text = (before.text or "") + said
+                before.extend(list(c))
+                before.tail = c.tail
+                e.remove(c)
+            else:
+                kept.append(c)
+
+    def one(x: str) -> str | None:
+        try:
+            root = ET.fromstring(x)
+        except ET.ParseError:
+            return None
+        tidy(root)
+        return ET.tostring(root, encoding="unicode")
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action="ignore")
+
+    return run

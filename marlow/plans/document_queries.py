@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citation
 from ..operators import annotate, cases
+from ..sources import pages
 from ..streaming import incremental
 from .acts import SECTIONS, judgment_lines
 from .relational_queries import t
@@ -99,6 +100,29 @@ def paragraph_anchors(spark: SparkSession, d: str) -> DataFrame:
     return cases.paragraph_anchors(judgment_lines(spark, d), "doc_id", "line_no", "text").select("doc_id", "number", "place")
 
 
+def case_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every judgment assembled by the rule table."""
+    made = cases.assembled(cases.match(judgment_lines(spark, d), "doc_id", "line_no", "text"), "doc_id")
+    return made.select("doc_id", "neutral_citation", "matter", "parties", "hearing", "counsel", "body")
+
+
+def _region_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page per region: a table of its nations, a pager and details."""
+    row = F.concat(F.lit('<tr><td><a href="/n/'), "n_nationkey", F.lit('">'), "n_name", F.lit("</a></td><td> "), "n_nationkey", F.lit(" </td></tr>"))
+    own = t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"), F.count(F.lit(1)).alias("n"))
+    pager = F.when(F.col("n_regionkey") < 4, F.concat(F.lit('<a href="/r/'), F.col("n_regionkey") + 1, F.lit('">Next</a>'))).otherwise(F.lit("end"))
+    return own.select("n_regionkey", F.concat(F.lit("<table><tr><th>Name</th></tr>"), "rows", F.lit("</table><dl><dt>Nations</dt><dd>"), "n", F.lit("</dd></dl>"), pager).alias("html"))
+
+
+def scraped_records(spark: SparkSession, d: str) -> DataFrame:
+    return pages.records(_region_pages(spark, d), "n_regionkey", "html", ["name", "number"]).select("n_regionkey", "name", "number", "href")
+
+
+def scraped_details(spark: SparkSession, d: str) -> DataFrame:
+    html = F.col("html")
+    return _region_pages(spark, d).select("n_regionkey", pages.details(html)["Nations"].alias("nations"), pages.next_page(html).alias("following"))
+
+
 def validation_rules(spark: SparkSession, d: str) -> DataFrame:
     lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
     fields = lines.groupBy("doc_id").agg(F.min_by("line", "line_no").alias("full_citation"), F.min_by("line", F.when(F.col("line").contains("icense"), F.col("line_no"))).alias("waistband"))
@@ -126,7 +150,7 @@ def merged_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    dictionary_annotation, title_mentions, exclusive_split, canonical_links, text_to_num, number_words, plural_keys, field_extraction, party_split, party_roles, case_matters, case_body, paragraph_anchors, validation_rules,
+    dictionary_annotation, title_mentions, exclusive_split, canonical_links, text_to_num, number_words, plural_keys, field_extraction, party_split, party_roles, case_matters, case_body, paragraph_anchors, case_rules, scraped_records, scraped_details, validation_rules,
     sibling_walk, stale_merge, merged_state,
 )}
 
@@ -161,6 +185,11 @@ CASE k % 5 WHEN 0 THEN 's ' || k || '(' || n || ')' WHEN 1 THEN 's ' || k || '-'
     "case_body": f"""SELECT c AS doc_id, CAST(10 AS BIGINT) AS line_no, 'title' AS kind, CAST(NULL AS VARCHAR) AS label FROM {SECTIONS} WHERE r = 1
 UNION ALL SELECT c, unnest([9 + 2 * r, 10 + 2 * r]), unnest(['paragraph', 'list']), unnest([CAST(r AS VARCHAR), 'a']) FROM {SECTIONS}""",
     "paragraph_anchors": f"SELECT c AS doc_id, CAST(r AS INT) AS number, 9 + 2 * r AS place FROM {SECTIONS}",
+    "case_rules": f"""SELECT c AS doc_id, '[2014] NZHC ' || c AS neutral_citation, 'UNDER the ' || any_value(segment) || ' Act' AS matter, concat_ws(chr(10), 'BETWEEN', any_value(name), 'Plaintiff', 'AND', any_value(n_name), 'Defendant') AS parties,
+'Hearing: ' || strftime(arg_min(day, r), '%-d %B %Y') AS hearing, 'Counsel: B ' || any_value(segment) || ' for the plaintiff' AS counsel, string_agg('[' || r || '] Order ' || o || ' was made.' || chr(10) || '(a) status ' || s, chr(10) ORDER BY r) AS body
+FROM {SECTIONS} JOIN nation ON n_nationkey = nation GROUP BY c""",
+    "scraped_records": "SELECT n_regionkey, n_name AS name, CAST(n_nationkey AS VARCHAR) AS number, '/n/' || n_nationkey AS href FROM nation",
+    "scraped_details": "SELECT n_regionkey, CAST(count(*) AS VARCHAR) AS nations, CASE WHEN n_regionkey < 4 THEN '/r/' || (n_regionkey + 1) END AS following FROM nation GROUP BY 1",
     "validation_rules": """WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS c, contains(text, 'icense') AS w FROM documents)
 SELECT doc_id, 'parties' AS fault FROM f WHERE doc_id % 2 <> 0 UNION ALL SELECT doc_id, 'citation' FROM f WHERE length(c) < 20 UNION ALL SELECT doc_id, 'waistband' FROM f WHERE NOT w""",
     "sibling_walk": """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, CAST(sum(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS run FROM lineitem)

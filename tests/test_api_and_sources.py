@@ -92,3 +92,35 @@ def test_render_escapes_and_cuts():
     assert render.render("<p>a &lt; b<link href='x'>y</link></p>") == '<div class="p">a &lt; b<a class="link" href="#x">y</a></div>'
     assert render.render("<p><q/><r/></p>", 2) == '<div class="p"><div class="q"></div></div>'
     assert render.render(None) is None
+
+
+def test_page_store_and_summary(spark, engine):
+    from marlow.api import Engine, PageStore
+
+    store = PageStore(engine, size=2)
+    first = store.more(doc_type="instruments", title="act")
+    assert [r.id for r in first["results"]] == [3, 2]
+    assert not first["finished"]
+    assert store.more(doc_type="instruments", title="act")["finished"]
+    assert len(store.lists) == 1
+    assert [r.id for r in engine.link("Sample Act").collect()] == [2]
+    row = engine.summary(2).first()
+    assert (row.n_versions, row.newest, row.n_referring, row.n_links) == (2, 2, 1, 2)
+    edges = spark.createDataFrame([(2, None), (3, 2), (4, 2), (3, 1)], "child int, parent int")
+    views = spark.createDataFrame([(1, "graph", True, 5), (2, "graph", True, 9), (3, "page", True, 7), (4, "graph", False, 8)], "id int, kind string, published boolean, saved int")
+    more = Engine(**engine.tables, edges=edges, views=views)
+    assert more.summary(2).first().n_below == 2
+    assert more.summary(3).first().parents == [1, 2]
+    assert [r.id for r in more.published("graph").collect()] == [2, 1]
+
+
+def test_pages(spark):
+    from marlow.sources import pages
+
+    html = "<table><tr><th>Case</th><th>Date</th></tr><tr><td><a href=\"/c/1\">A &amp; B</a></td><td>2014</td></tr><tr><td>short</td></tr></table><dl><dt>Court</dt><dd>HC</dd><dt>Court</dt><dd>CA</dd></dl><a href=\"/p/2\">Next</a>"
+    rows = spark.createDataFrame([(1, html), (2, None), (3, "")], "id int, html string")
+    got = pages.records(rows, "id", "html", ["name", "date"]).orderBy("row").collect()
+    assert [(r["name"], r.date, r.href) for r in got] == [("Case", "Date", None), ("A & B", "2014", "/c/1")]
+    out = rows.select("id", pages.details(F.col("html")).alias("d"), pages.next_page(F.col("html")).alias("n")).orderBy("id").collect()
+    assert (out[0].d, out[0].n) == ({"Court": "CA"}, "/p/2")
+    assert (out[2].d, out[2].n) == ({}, None)

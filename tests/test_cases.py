@@ -26,3 +26,26 @@ def test_matters(spark):
 def test_anchors(spark):
     got = cases.paragraph_anchors(lines(spark), "doc_id", "line_no", "text").orderBy("place").collect()
     assert [(r.number, r.place) for r in got] == [(1, 13), (2, 16), (3, 17)]
+
+
+def test_rules_and_assembly(spark):
+    matched = cases.match(lines(spark), "doc_id", "line_no", "text")
+    got = {r.doc_id: r for r in cases.assembled(matched, "doc_id").collect()}
+    assert got[1].neutral_citation == "[2014] NZHC 123"
+    assert got[1].matter == "UNDER the Sample Act 1993\nIN THE MATTER OF an appeal\nagainst a decision"
+    assert got[1].parties == "BETWEEN\nAnn Example\nFirst plaintiff\nAND\nThe Borough of Elsewhere\nDefendant"
+    assert got[1].hearing == "Hearing: 3 March 2014"
+    assert got[1].body.startswith("[1] It began.")
+    assert got[3].body is None
+    assert matched.count() == lines(spark).count()
+
+
+def test_markup_is_tidied(spark):
+    rows = spark.createDataFrame([("<p>a<b>x</b><b>y</b> <i> </i>c<b k='1'>z</b></p>",), (None,), ("<p",)], "x string")
+    assert [r.y for r in rows.select(cases.clean_markup_udf()("x").alias("y")).collect()] == ['<p>a<b>xy</b>  c<b k="1">z</b></p>', None, None]
+
+
+def test_body_flags(spark):
+    rows = spark.createDataFrame([("A quoted line", 120.0, 72.0, 10.0, False), ("FACTS", 72.0, 72.0, 12.0, False), ("(a) one;", 90.0, 72.0, 12.0, False), ("runs on to", 72.0, 72.0, 12.0, False)], "t string, l double, u double, f double, b boolean")
+    got = [(r.is_quote, r.is_title, r.is_item, r.runs_on) for r in cases.body_flags(rows, "t", "l", "u", "f", "b").collect()]
+    assert got == [(True, False, False, True), (False, True, False, False), (False, False, True, False), (False, False, False, True)]
