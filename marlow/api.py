@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions.citation import canonical_link
 from .functions.render import render_udf
 from .operators import graph, relational as rel, text as tx, tree
+from .store import materialise
 
 PAGE, PREVIEW, SKELETON = 25, 300, 100_000
 INSTRUMENTS = {"act", "regulation", "sop", "bill", "instrument"}
@@ -42,7 +43,10 @@ class Engine:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return tree.node_table(self.documents, "id", "document")
+        """The stored node table where there is one, else all documents parsed once and written."""
+        if "node_table" in self.tables:
+            return self.tables["node_table"]
+        return materialise(tree.node_table(self.documents, "id", "document"), "nodes")
 
     @cached_property
     def counts(self) -> DataFrame:

@@ -9,12 +9,14 @@ from ..functions import scalars as fn
 from ..functions import render, xmljson
 from ..operators import annotate, index, links, tree
 from ..sources import documents as src
+from ..store import materialise
 from .acts import SECTIONS, acts
 from .relational_queries import t
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return tree.node_table(acts(spark, d), "doc_id", "xml")
+    """The node table of all acts, written once: every document is parsed once, whatever a query joins it with."""
+    return materialise(tree.node_table(acts(spark, d), "doc_id", "xml"), "nodes")
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
@@ -27,10 +29,10 @@ def node_table(spark: SparkSession, d: str) -> DataFrame:
 
 def path_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Every second paragraph of every section by its path, and the range of both; a path of no node gives a null."""
-    made = acts(spark, d)
-    sections = _nodes(spark, d).filter("tag = 'prov'").select("doc_id", F.explode(F.array(F.concat(F.lit("s "), "label", F.lit("(1)(b)")), F.concat(F.lit("section "), "label", F.lit("(1)(a)-(b)")), F.lit("s 99999"))).alias("path")).distinct()
+    made, nodes = acts(spark, d), _nodes(spark, d)
+    sections = nodes.filter("tag = 'prov'").select("doc_id", F.explode(F.array(F.concat(F.lit("s "), "label", F.lit("(1)(b)")), F.concat(F.lit("section "), "label", F.lit("(1)(a)-(b)")), F.lit("s 99999"))).alias("path")).distinct()
     found = tree.lookup_paths(made, sections, "doc_id", "xml")
-    return found.join(_nodes(spark, d).select("doc_id", F.col("pre").alias("target"), "node_id"), ["doc_id", "target"], "left").select("doc_id", "path", "node_id")
+    return found.join(nodes.select("doc_id", F.col("pre").alias("target"), "node_id"), ["doc_id", "target"], "left").select("doc_id", "path", "node_id")
 
 
 def node_paths(spark: SparkSession, d: str) -> DataFrame:
