@@ -369,8 +369,12 @@ def _connected(home: DataFrame, texts: DataFrame, met: DataFrame, block: int, wi
     still = still.join(still.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "key", "left_semi")
     still = materialise(still.select("key", "name", "root"), "open-keys")
     places = home.select("name", "block").join(still.select("name").distinct(), "name", "left_semi")
-    visits = _visits(places, still).withColumn("visiting", F.lit(1))
-    stays = places.join(visits.select("block").distinct(), "block", "left_semi").withColumn("visiting", F.lit(0))
+    visits = materialise(_visits(places, still), "visits")
+    # A block that many visit stands in several places, each for a share of its visitors.
+    sized = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (4 * block)).cast("int").alias("parts"))
+    at = lambda part: F.xxhash64("block", part).alias("block")
+    visits = visits.join(sized, "block").select("name", at(F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")), F.lit(1).alias("visiting"))
+    stays = places.join(sized, "block").select("name", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("name", at(F.col("part")), F.lit(0).alias("visiting"))
     work = stays.select("name", "block", "visiting").unionByName(visits.select("name", "block", "visiting")).join(texts.drop("block").hint("merge"), "name")
     more = _verified(work, width, percent).filter("a <> b").select("a", "b")
     return roots if more.isEmpty() else _joined(roots, more)
