@@ -2,9 +2,10 @@
 
 Words are the tokenizer's own pre-tokens, found for whole columns at once on arrays of code points.
 The distinct words of all texts are counted in Spark; those frequent enough to fit a table of
-``table_words`` entries, whatever the corpus size, are encoded once, and the table of word and ids is
-broadcast. Each position then takes its word's ids from the table. A word beyond the table's bound,
-rare by construction, is encoded where it stands, once per chunk of text. Decoding joins ids with the
+``table_words`` entries of ``TABLE_BYTES`` at most, whatever the corpus size, are encoded once, and the
+table of word and ids is broadcast. Each position then takes its word's ids from the table, where the
+bytes agree and not only their hash. A word beyond the table's bound, rare or long, is encoded where it
+stands, once per chunk of text. Decoding joins ids with the
 vocabulary's pieces, of which there are as many as the vocabulary has.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; the special token's string
@@ -30,6 +31,7 @@ from .textnum import chunks, differ, span_hashes
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 HELD_WORDS = 1 << 20  # of chunks, before a task passes its distinct words on
+TABLE_BYTES = 64  # of a word in the table, so the table has a bound in bytes too
 #: The endings that the byte-level pre-tokenizer splits off after an apostrophe.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
@@ -275,7 +277,7 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", table_words:
     """Count the distinct words of all texts and encode each frequent one once."""
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "distinct-words")
-    found = frequent(counts, table_words).select("word").mapInArrow(_encode_table(path), "word binary, ids array<int>").toArrow()
+    found = frequent(counts.filter(F.octet_length("word") <= TABLE_BYTES), table_words).select("word").mapInArrow(_encode_table(path), "word binary, ids array<int>").toArrow()
     return Table(found.column("word"), found.column("ids"))
 
 

@@ -24,8 +24,6 @@ like any other; an empty table gives an empty result; further columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
