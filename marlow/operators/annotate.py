@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.citation import word_forms_udf
+from ..store import materialise
 
 #: Opening phrases, the scope they give and its priority.
 SCOPES = [("in an enactment", "root", 100), ("in this act", "root", 50), ("in these regulations", "root", 50), ("in this part", "part", 0), ("in this subpart", "subpart", 0), ("in the formula", "prov", 0)]
@@ -86,6 +87,7 @@ def occurrences(texts: DataFrame, dictionary: DataFrame, key: list[str], text_co
     fold = (lambda ws: F.transform(ws, plain)) if ignore_case else (lambda ws: ws)
     terms = dictionary.select(F.col(term_col).alias("term"), text_words(F.col(term_col)).alias("ts")).filter("size(ts) > 0").distinct()
     terms = terms.select("term", F.size("ts").alias("n"), F.get(fold(F.col("ts")), F.lit(0)).alias("first"), F.array_join(fold(F.col("ts")), " ").alias("gram"))
+    terms = materialise(terms, "terms")
     firsts = terms.groupBy("first").agg(F.collect_set("n").alias("ns"))
     rows = texts.select(*key, text_words(F.col(text_col)).alias("ws")).withColumn("fs", fold(F.col("ws")))
     words = rows.select(*key, F.posexplode("fs").alias("start", "first"))
@@ -128,7 +130,7 @@ def annotate(nodes: DataFrame, definitions: DataFrame) -> DataFrame:
     from .tree import within
 
     texts = nodes.filter((F.col("text") != "") & ~within(NOT_ANNOTATED)).select("doc_id", "pre", "text")
-    forms = definitions.select("doc_id", "id", F.col("pre").alias("of"), F.explode("forms").alias("form"), "exclusive", "priority", "lo", "hi")
+    forms = materialise(definitions.select("doc_id", "id", F.col("pre").alias("of"), F.explode("forms").alias("form"), "exclusive", "priority", "lo", "hi"), "forms")
     hits = occurrences(texts, forms.select("form").distinct(), ["doc_id", "pre"], "text", "form", ignore_case=True)
     said = hits.select("doc_id", "pre", "start", "said").distinct().select("*", F.posexplode(lookup_keys(F.col("said"))).alias("rank", "form"))
     held = said.join(forms, ["doc_id", "form"]).filter("lo <= pre and pre <= hi")
