@@ -64,7 +64,7 @@ def mostly_upper(s: Column) -> Column:
 
 def location_tokens(s: Column) -> Column:
     """``s 2(1)(a), cl 3`` as its pieces."""
-    return F.filter(F.transform(F.split(F.regexp_replace(s, r"\(", " ("), r"[,\s]+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(s, r"\(", " ("), r"[,\s]+"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def query_string(**parts: Column) -> Column:
@@ -140,4 +140,4 @@ def after(s: Column, mark: str) -> Column:
 
 def id_list(s: Column, mark: str = ";") -> Column:
     """A list of ids in a string as an array, without empty entries."""
-    return F.filter(F.transform(F.split(s, rf"\{mark}"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, rf"\{mark}"), lambda p: F.trim(p)), lambda x: x != "")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import citation
 from ..functions import scalars as fn
 from ..operators import text as tx
+from ..sources import documents
 from .relational_queries import t
 
 WORD_SPLIT = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')"
@@ -187,6 +189,25 @@ def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", fn.clean_title(c).alias("title"), fn.label(c).alias("label"), fn.mostly_upper(c).alias("upper"), fn.is_title(c).alias("caps"))
 
 
+def text_helpers(spark: SparkSession, d: str) -> DataFrame:
+    """Small text functions on names with what they take away put in."""
+    n = F.col("p_name")
+    return t(spark, d, "part").select(
+        "p_partkey", fn.strip_namespace(F.concat(F.lit("{urn:x}"), "p_brand")).alias("tag"), fn.squeeze(F.concat(n, F.lit("   \x01x"))).alias("squeezed"), fn.trailing_number(F.col("p_brand")).alias("digits"),
+        fn.text_equal(F.concat(F.lit(" "), n), n).alias("same"), fn.remove_nbsp(F.concat(n, F.lit("\u00a0x\u2060"))).alias("blank"), fn.query_string(find=n, id=F.lit(None)).alias("query"),
+        citation.replace_number_udf(F.concat(F.lit("section twelve of "), n)).alias("numbered"), documents.data_uri(n.cast("binary"), F.lit("jpg")).alias("picture"),
+    )
+
+
+def location_helpers(spark: SparkSession, d: str) -> DataFrame:
+    """A location's pieces, locations without those that the next one goes on from, and slices of a list."""
+    k, n = F.col("o_orderkey"), F.col("o_custkey")
+    said = F.concat(F.lit("s "), k, F.lit("("), n, F.lit(")(a), cl "), n)
+    every = F.array(F.concat(F.lit("s "), k), F.concat(F.lit("s "), k, F.lit("("), n, F.lit(")")), F.concat(F.lit("s "), k, F.lit("0")), F.concat(F.lit("s "), k, F.lit("01")))
+    slices = fn.consecutive_slices(F.array(k, n, k, n, k), [1, 4])
+    return t(spark, d, "orders").select("o_orderkey", F.array_join(fn.location_tokens(said), "|").alias("pieces"), F.array_join(citation.merged_locations(every), ";").alias("merged"), F.array_join(F.transform(slices, lambda x: F.array_join(x.cast("array<string>"), ",")), "|").alias("slices"))
+
+
 def interval_gaps(spark: SparkSession, d: str) -> DataFrame:
     q, x = F.col("l_quantity"), F.col("l_discount") * 100
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.gap(q, q + 5, x, x + 2).alias("gap"), fn.signed_gap(q, q + 5, x, x + 2).alias("signed"))
@@ -195,7 +216,7 @@ def interval_gaps(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     contains_all, contains_any, contains_phrase, contains_not, contains_query_string, title_search, year_range, year_list, instrument_filters_reference, instrument_filters_intended, has_child, has_parent,
     snippet_highlight, text_fragments, ranked_search, term_counts, html_text, html_links, link_histogram, fragment_parts, merge_missing_parts, part_search, title_from_html, outline_from_html, edge_grams,
-    best_by_edit_distance, mode_value, minmax_bounds, date_formats, safe_dates, json_props, map_entries, principal_flag, text_cleaning, interval_gaps,
+    best_by_edit_distance, mode_value, minmax_bounds, date_formats, safe_dates, json_props, map_entries, principal_flag, text_cleaning, text_helpers, location_helpers, interval_gaps,
 )}
 
 LINKS = "(SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) - 1 AS place FROM pages)"
@@ -245,5 +266,9 @@ SELECT doc_id, max((a * ln(1 + (total - da + 0.5) / (da + 0.5)) + b * ln(1 + (to
     "map_entries": "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events",
     "principal_flag": "SELECT p_partkey, p_name NOT ILIKE '%ring%' AS principal, p_partkey || '-' || p_size AS id, (p_type IS NULL OR p_type = '') AS blank, printf('%.1f', CAST(p_size AS DOUBLE)) AS version FROM part",
     "text_cleaning": r"SELECT doc_id, regexp_replace(trim(text, ' '), '[\n\r]+', ' ', 'g') AS title, trim(regexp_replace(translate(lower(text), '()', '  '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS label, length(regexp_replace(text, '[^A-Z]', '', 'g')) * 2 >= length(text) AS upper, (upper(text) = text AND regexp_matches(text, '[A-Z]')) AS caps FROM documents",
+    "text_helpers": """SELECT p_partkey, p_brand AS tag, p_name || ' x' AS squeezed, regexp_extract(p_brand, '[0-9]+$') AS digits, true AS same, p_name || ' x' AS blank, 'find=' || replace(p_name, ' ', '+') AS query,
+'section 12 of ' || p_name AS numbered, 'data:image/jpeg;base64,' || base64(encode(p_name)) AS picture FROM part""",
+    "location_helpers": """SELECT o_orderkey, 's|' || o_orderkey || '|(' || o_custkey || ')|(a)|cl|' || o_custkey AS pieces, 's ' || o_orderkey || '(' || o_custkey || ');s ' || o_orderkey || '0;s ' || o_orderkey || '01' AS merged,
+o_orderkey || '|' || o_custkey || ',' || o_orderkey || ',' || o_custkey AS slices FROM orders""",
     "interval_gaps": "SELECT l_orderkey, l_linenumber, greatest(0.0, l_discount * 100 - l_quantity - 5, l_quantity - l_discount * 100 - 2) AS gap, CASE WHEN l_discount * 100 > l_quantity + 5 THEN l_discount * 100 - l_quantity - 5 WHEN l_quantity > l_discount * 100 + 2 THEN l_discount * 100 + 2 - l_quantity ELSE 0.0 END AS signed FROM lineitem",
 }
