@@ -22,14 +22,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _scan_only(df: DataFrame) -> bool:
+    """Whether the rows are those of one file scan, some left out perhaps, none repeated."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith(("LogicalRelation", "Relation"))
+
+
 def rows(df: DataFrame) -> DataFrame:
     """``df`` with the columns of ``ROW`` before its own, which tell rows apart whatever they hold.
 
     Rows of a Parquet scan have the name of their place. Other plans may come out in another order
     when they are computed again, so they are written once, with a number for each row.
     """
-    try:
-        return df.select(F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]), "*")
-    except AnalysisException:
-        numbered = df.select(F.lit(0).cast("long").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1]), "*")
-        return materialise(numbered, "rows")
+    if _scan_only(df):
+        try:
+            return df.select(F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]), "*")
+        except AnalysisException:
+            pass  # a scan of files without row numbers
+    numbered = df.select(F.lit(0).cast("long").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1]), "*")
+    return materialise(numbered, "rows")

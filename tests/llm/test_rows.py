@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from marlow.llm import bpe, decontaminate, exact_dedup, licenses, lm_scoring, ngram_join, pii, quality, substring_dedup, token_files
 from marlow.llm.expressions import sums_before
-from marlow.llm.store import new_path
+from marlow.llm.store import ROW, new_path, rows
 
 from .test_operators import linked, words_of
 
@@ -164,3 +164,18 @@ def test_long_lines_take_linear_time(spark):
     assert licenses.scan_documents(rows).count() == 2
     assert [r.n_email for r in pii.digests(pii.find_pii(rows)).orderBy("doc_id").collect()] == [0, 100_000]
     assert time.time() - began < 120
+
+
+def test_rows_have_names_of_their_own(spark, docs, tmp_path):
+    path = str(tmp_path / "docs")
+    docs.write.parquet(path)
+    scan = spark.read.parquet(path)
+    some = scan.filter("doc_id is not null").select("doc_id", "text")
+    twice = scan.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    for own, written in ((scan, False), (some, False), (twice, True), (scan.unionByName(scan), True), (docs, True)):
+        named = rows(own)
+        assert named.select(*ROW).distinct().count() == own.count()
+        assert named.columns == [*ROW, *own.columns]
+        assert (path not in " ".join(named.inputFiles())) == written
+    norm = {re.sub("[\x20\x09-\x0d]", "", r.text or "") for r in docs.collect()}
+    assert exact_dedup.keep_one(twice).count() == len(norm)
