@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A chunk holds whole documents of about so many bytes; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: Spans of more bytes are hashed one by one.
 LONG = 512
