@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, licenses, lm_scoring, ngram_join, pii, quality, substring_dedup, token_files
+from . import bpe, decontaminate, exact_dedup, licenses, lm_scoring, ngram_join, pii, quality, substring_dedup, token_files, vector_codes
 from .store import new_path
 
 
@@ -73,6 +73,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -84,8 +88,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_files": op9_token_files,
     "op10_licenses": op10_licenses,
+    "op12_vector_codes": op12_vector_codes,
 }
 
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """One assignment and one set of means for each round, written out."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(x) AS x, min(d) AS d, arg_min(e, d * 16 + e) AS e
+  FROM (SELECT vec_id, parts.p AS p, x, e, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d FROM parts JOIN b{r} ON parts.p = b{r}.p) GROUP BY 1, 2)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m, c) AS c FROM b{r} LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m
+    FROM (SELECT p, e, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (p, e))""")
+    steps = ", ".join(steps)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM kept, range(8) AS t(p)
+), b0 AS (SELECT p, e, c FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts) WHERE e < 16
+), {steps}, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} JOIN kept USING (vec_id) GROUP BY 1, 2
+), digest AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_join": r"""
 WITH RECURSIVE w AS (
@@ -122,4 +155,5 @@ SELECT doc_id,
        text_sha256
 FROM n
 """,
+    "op12_vector_codes": _vector_codes_sql(),
 }
