@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, licenses, lm_scoring, ngram_join, pii, quality, substring_dedup, token_files, vector_codes
+from . import bpe, decontaminate, exact_dedup, language_id, licenses, lm_scoring, ngram_join, pii, quality, substring_dedup, token_files, vector_codes
 from .store import new_path
 
 
@@ -77,6 +77,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_licenses": op10_licenses,
     "op12_vector_codes": op12_vector_codes,
+    "op13_language_id": op13_language_id,
 }
 
 
