@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language_id, licenses, lm_scoring, ngram_join, pii, quality, substring_dedup, token_files, vector_codes
+from . import bpe, decontaminate, exact_dedup, language_id, licenses, lm_scoring, ngram_join, pii, prefix_trie, quality, substring_dedup, token_files, vector_codes
 from .store import new_path
 
 
@@ -73,6 +73,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_trie(_table(spark, sf_dir, "conversations")).drop("digest")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_files": op9_token_files,
     "op10_licenses": op10_licenses,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_vector_codes": op12_vector_codes,
     "op13_language_id": op13_language_id,
 }
@@ -160,6 +165,31 @@ SELECT doc_id,
        doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id) AS kept,
        text_sha256
 FROM n
+""",
+    "op11_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos, d, n FROM (
+    SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id AS c, conv_id - conv_id % 5 AS base, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: list_transform(range(8), lambda b: (ascii(x) >> b) & 1)))),
+    lambda r, b: xor(r >> 1, CASE WHEN (xor(r, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 9 AS h, count(*) AS n FROM own GROUP BY 1
+), plan AS (SELECT convs.*, least(convs.h, coalesce(b.n, 0)) AS taken FROM convs LEFT JOIN convs b ON b.c = convs.base
+), steps AS (
+  SELECT c, pos, d, own.n FROM plan JOIN own ON own.conv_id = base AND pos <= taken UNION ALL
+  SELECT c, pos - h + taken, d, own.n FROM plan JOIN own ON own.conv_id = c AND pos > h
+), paths AS (
+  SELECT c, 0 AS depth, [] AS p, 0 AS w FROM plan UNION ALL
+  SELECT c, pos, list(d) OVER (PARTITION BY c ORDER BY pos), n FROM steps
+), lasts AS (SELECT c, max(depth) AS n FROM paths GROUP BY 1
+), nodes AS (
+  SELECT p, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saving, coalesce(string_agg(CASE WHEN depth = n THEN c END, ',' ORDER BY c), '') AS ends
+  FROM paths JOIN lasts USING (c) GROUP BY 1, 2
+), children AS (SELECT p[:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), flat AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (p)
+), above AS (SELECT p[:k] AS p, saving, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM flat)
+), sums AS (SELECT p, CAST(sum(saving) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM above GROUP BY 1)
+SELECT a.conv_id, a.depth, up.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, sha256(a.ends) AS ends_sha256
+FROM flat a JOIN sums USING (p) LEFT JOIN flat up ON a.depth > 0 AND up.p = a.p[:a.depth - 1]
 """,
     "op12_vector_codes": _vector_codes_sql(),
 }
