@@ -107,6 +107,10 @@ class Items:
         n = self.at[slot + 1] - self.at[slot]
         total = np.append(0, np.cumsum(n))
         key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # a number for each row, item and band; each item's last band stays empty, so that neighbours are one item's
+        n_items, n_bands = max(1, len(self.ids)), int(np.diff(rows).max(initial=0)) + self.longest + 2
+        if (len(rows) * n_items * n_bands) >> 63:
+            raise OverflowError("more rows, items and bands than a long can number; take smaller blocks")
         lo = 0
         while lo < len(hit):  # a slice of the postings at a time, whatever the items share
             hi = max(lo + 1, int(np.searchsorted(total, total[lo] + POSTINGS, "right")) - 1)
@@ -116,14 +120,16 @@ class Items:
             item = self.item[posting]
             diagonal = hit[k] - rows[row[k]] - self.place[posting] + self.longest
             band = diagonal // (self.edits[item] + 1)
-            bands, times = np.unique(row[k] << 44 | item << 26 | band, return_counts=True)
+            bands, times = np.unique((row[k] * n_items + item) * n_bands + band, return_counts=True)
             key, owner = np.unique(np.concatenate([key, bands]), return_inverse=True)
             count = np.bincount(owner, np.concatenate([count, times]), minlength=len(key)).astype(np.int64)
             lo = hi
         both = count + np.where(np.append(key[1:] == key[:-1] + 1, False), np.append(count[1:], 0), 0)
         out: dict[tuple[int, int], int] = {}
-        for x in key[both >= self.need[(key >> 26) & ((1 << 18) - 1)]].tolist():
-            r, i, b = x >> 44, (x >> 26) & ((1 << 18) - 1), x & ((1 << 26) - 1)
+        reached = key[both >= self.need[key // n_bands % n_items]] if len(key) else key
+        for x in reached.tolist():
+            own, b = divmod(x, n_bands)
+            r, i = divmod(own, n_items)
             if out.get((r, i)) == 0:
                 continue
             edits = int(self.edits[i])
