@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .expressions import let
+from .expressions import let, sums_before
 from .store import ROW, materialise, rows
 
 #: Opening phrases and notices of the licence families, and lines that only look like one.
@@ -249,12 +249,17 @@ def _candidates(docs: DataFrame, alike: float) -> DataFrame:
     texts = materialise(texts.withColumn("ranges", ranges), "licence-texts")
     key = [*ROW, "doc_id", "row"]
 
-    found = texts.select(*key, "words", F.posexplode("ranges").alias("part", "r"))
-    inside = F.filter("words", lambda w, i: (w["line"] >= F.col("r.first")) & (w["line"] <= F.col("r.last")) & (i > F.col("r.after")) & (i < F.col("r.before")))
-    found = found.select(*key, F.col("r.first").alias("paragraph"), "part", F.lit(None).cast("long").alias("run"), F.lit(False).alias("whole"), F.transform(inside, lambda w: w["word"]).alias("ws"))
-
-    rest = texts.select(*key, "ranges", F.posexplode("lines").alias("paragraph", "line"))
-    rest = rest.select(*key, "paragraph", "line.*", (F.exists("ranges", lambda r: (F.col("paragraph") >= r["first"]) & (F.col("paragraph") <= r["last"])) | (F.size("line.ws") == 0)).alias("apart"))
+    # a range's words are neighbours: from its first line or the range before, to its last line or the range after
+    starts = sums_before(F.concat(F.transform("lines", lambda s: F.size(s["ws"])), F.array(F.lit(0))))
+    slices = let(starts, lambda at: F.transform("ranges", lambda r: F.struct(r["first"].alias("paragraph"), F.greatest(F.get(at, r["first"]), r["after"] + 1).alias("from"), F.least(F.get(at, r["last"] + 1), r["before"]).alias("to"))))
+    found = texts.select(*key, "words", slices.alias("slices"))
+    own = F.transform("slices", lambda r: F.struct(r["paragraph"].alias("paragraph"), F.transform(F.slice("words", r["from"] + 1, F.greatest(r["to"] - r["from"], F.lit(0))), lambda w: w["word"]).alias("ws")))
+    found = found.select(*key, F.posexplode(own).alias("part", "r"))
+    found = found.select(*key, "r.paragraph", "part", F.lit(None).cast("long").alias("run"), F.lit(False).alias("whole"), "r.ws")
+
+    covered = texts.select("row", F.explode("ranges").alias("r")).select("row", F.explode(F.sequence("r.first", "r.last")).alias("paragraph")).distinct()
+    rest = texts.select(*key, F.posexplode("lines").alias("paragraph", "line")).join(covered.withColumn("held", F.lit(True)), ["row", "paragraph"], "left")
+    rest = rest.select(*key, "paragraph", "line.*", (F.col("held").isNotNull() | (F.size("line.ws") == 0)).alias("apart"))
     ordered = Window.partitionBy("row").orderBy("paragraph")
     rest = rest.withColumn("fresh", F.coalesce(F.lag("apart").over(ordered) | F.lag("ends").over(ordered) | F.col("apart"), F.lit(True)))
     rest = rest.withColumn("run", F.sum(F.col("fresh").cast("long")).over(ordered)).filter("not apart")
