@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from ..store import discard, new_path, purge, shared_dir
 __all__ = ["ROW", "discard", "materialise", "new_path", "purge", "rows", "shared_dir"]
 
 #: The columns that name a row: of a Parquet table its file and place, else the places of a copy.
-ROW = ["__row_file", "__row_at"]
+#: Their names are made anew by each process, so no table has columns of these names.
+ROW = [f"__row_{what}_{uuid.uuid4().hex}" for what in ("file", "at")]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -68,6 +68,24 @@ def test_decontaminate_slices_its_postings(monkeypatch):
     assert (1, 7, 0) in want
 
 
+def test_decontaminate_finds_the_last_of_many_items():
+    """300,000 short items in a block, and a text of more characters than 2**20."""
+    rnd = random.Random(1)
+    items = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(300_000)]
+    own = decontaminate.Items(list(range(len(items))), items, least=10)
+    texts = [f"zz {items[5]} q", f"{items[290_000]} yy", f"x {items[299_999]}", "nothing", items[262_143], items[262_144], "1 " * 700_000 + items[299_998]]
+    assert own.find(*utf8(pa.array(texts))) == [(0, 5, 0), (1, 290_000, 0), (2, 299_999, 0), (4, 262_143, 0), (5, 262_144, 0), (6, 299_998, 0)]
+
+
+def test_licences_of_many_notices_in_one_text(spark):
+    """Notices and other lines by turns, 12,000 lines in all, and one line of 500 notices."""
+    text = "\n".join("SPDX-License-Identifier: MIT" if k % 2 else f"line {k} of code" for k in range(12_000))
+    row = " ".join(["SPDX-License-Identifier: MIT"] * 500)
+    got = licenses.scan_documents(spark.createDataFrame([(1, text), (2, row)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0].families == ["mit"] and got[0].n_notices == 6000
+    assert got[1].families == ["mit"]
+
+
 @pytest.fixture(scope="module")
 def chained(spark):
     """Texts in which every word says the next but one time in ten."""

@@ -149,6 +149,13 @@ def test_stages_keep_columns_and_survive_an_empty_table(spark, docs, tmp_path):
             assert out.count() <= rows.count()
 
 
+def test_columns_named_like_those_that_name_rows(docs):
+    clash = docs.withColumns({"__row_file": F.lit(1), "__row_at": F.lit("x")})
+    for keep in (exact_dedup.keep_one, ngram_join.keep_one):
+        assert keep(clash).columns == clash.columns
+        assert keep(clash).count() == keep(docs).count()
+
+
 def test_sums_before(spark):
     rnd = random.Random(1)
     arrays = [[rnd.randrange(9) for _ in range(n)] for n in (0, 1, 2, 3, 4, 5, 16, 17, 100, 1001)]
