@@ -168,6 +168,19 @@ def break_cycles(edges: DataFrame, age: str) -> DataFrame:
         edges = materialise(edges.join(worst, ["child", "parent"], "left_anti"), "dated-edges")
 
 
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): the starts and all that they lead to. ``edges``: a, b; ``starts``: node.
+
+    A round joins the nodes last found with the edges, so the work is that of what is found.
+    """
+    seen = front = materialise(starts.select("node").distinct(), "reached")
+    while not front.isEmpty():
+        further = edges.join(front, edges["a"] == front["node"]).select(F.col("b").alias("node")).distinct()
+        front = materialise(further.join(seen, "node", "left_anti"), "front")
+        seen = seen.unionByName(front)
+    return materialise(seen, "reached")
+
+
 def neighbours(edges: DataFrame, node: int) -> DataFrame:
     """The node and all it links to or is linked from, once each. ``edges``: source, target."""
     out = edges.filter(F.col("source") == node).select(F.col("target").alias("node"))

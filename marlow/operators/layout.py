@@ -109,8 +109,14 @@ def parents(titles: DataFrame, texts: DataFrame, id_col: str = "id", title_col:
     Only titles of amendments, rules and regulations have parents; a document is not its own, nor is one
     of the same title. ``texts``: id, text.
     """
+    found = parent_names(titles, texts, id_col, title_col)
+    known = titles.select(F.col(id_col).alias("parent"), F.col(title_col).alias("name"))
+    return found.join(known, "name").filter("parent <> child").select("child", "parent").distinct()
+
+
+def parent_names(titles: DataFrame, texts: DataFrame, id_col: str = "id", title_col: str = "title") -> DataFrame:
+    """(child, name): the titles, other than its own, that a subordinate document names as its parents', once each."""
     subordinate = titles.filter(F.col(title_col).rlike("Amendment|Rules|Regulations")).select(F.col(id_col).alias("child"), F.col(title_col).alias("own"))
     named = F.regexp_extract_all("text", F.lit(r"(?:pursuant to|made under|amends|principal Act is) (?:section \S+ of )?the ([A-Z][\w ()-]*? Act \d{4})"), F.lit(1))
-    found = texts.select(F.col(id_col).alias("child"), F.explode(named).alias("name")).distinct().join(subordinate, "child")
-    known = titles.select(F.col(id_col).alias("parent"), F.col(title_col).alias("name"))
-    return found.join(known, "name").filter("parent <> child and name <> own").select("child", "parent").distinct()
+    found = texts.select(F.col(id_col).alias("child"), F.explode(named).alias("name")).distinct()
+    return found.join(subordinate, "child").filter("name <> own").select("child", "name")

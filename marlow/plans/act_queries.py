@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions import render, xmljson
-from ..operators import annotate, index, links, tree
+from ..operators import annotate, index, links, refresh, tree
 from ..sources import documents as src
 from ..store import materialise
 from .acts import SECTIONS, acts
@@ -101,6 +101,41 @@ def refreshed_links(spark: SparkSession, d: str) -> DataFrame:
     return links.refreshed(stored, nodes.filter("doc_id % 2 = 0"), known)
 
 
+def _amending_acts(spark: SparkSession, d: str, changed: bool) -> DataFrame:
+    """An act per customer that amends, cites and notes others; changed ones have another title, parent and link, or are gone."""
+    own = t(spark, d, "customer").select(F.col("c_custkey").alias("c"))
+    two = F.when(F.col("c") % 10 == 2, F.col("c") + 1).when(F.col("c") % 10 == 3, F.col("c") - 1).otherwise(F.expr("c div 2"))
+    new = F.lit(changed)
+    own = own.select("c", F.when(new, F.expr("c div 3")).otherwise(two).alias("p"), (F.col("c") + F.when(new, 1).otherwise(3)).alias("q"), F.when(new, F.lit(" Renamed")).otherwise("").alias("as"))
+    name = lambda c, new="": F.concat(F.lit("C "), c, F.lit(new) if isinstance(new, str) else new, F.lit(" Amendment Act 2000"))
+    title = name(F.col("c"), F.col("as"))
+    xml = F.concat(
+        F.lit('<act id="A'), "c", F.lit('" date.assent="'), F.lit(1990) + F.col("c") % 4, F.lit('-01-01"><cover><title>'), title, F.lit('</title></cover><body><prov id="P'), "c", F.lit('"><label>1</label><prov.body><para><text>This Act amends the '), name(F.col("p")),
+        F.lit('. See <link href="P'), "q", F.lit('">section 1</link></text></para></prov.body><notes><history-note id="H'), "c", F.lit('">Section 1: repealed, on 1 July 2014, by section 6 of the '), name(F.col("c") + 2), F.lit(".</history-note></notes></prov></body></act>"),
+    )
+    if changed:
+        own = own.filter("c % 5 = 0 or c % 7 = 3")
+        xml = F.when(F.col("c") % 7 != 3, xml)
+    return own.select(F.col("c").alias("doc_id"), title.alias("title"), xml.alias("xml"))
+
+
+def link_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The joined tables of acts of which a third have changed or gone since they were analysed."""
+    state = refresh.refresh(refresh.analyse(_amending_acts(spark, d, False)), _amending_acts(spark, d, True))
+    rows = [
+        state.links.select(F.lit("links").alias("table"), F.col("source").alias("a"), F.col("target").alias("b"), F.concat_ws(" ", "node_id", "link_text").alias("said")),
+        state.sections.select(F.lit("sections"), "source", "target", F.concat_ws(" ", "path", F.col("target_pre").isNotNull().cast("string"))),
+        state.mentions.select(F.lit("mentions"), "source", "target", "said"),
+        state.parents.select(F.lit("parents"), "child", "parent", "name"),
+        state.amendments.select(F.lit("amendments"), "target", "source", F.concat_ws(" ", "node_id", F.col("amendment_date").cast("string"), "amending")),
+        state.hierarchy.select(F.lit("hierarchy"), "child", "parent", F.lit("")),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.union(more)
+    return out
+
+
 def batch_analysis(spark: SparkSession, d: str) -> DataFrame:
     """Rows of every table that the link phases make, the title phase skipped."""
     nodes = _nodes(spark, d)
@@ -228,7 +263,7 @@ def rendered_locations(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     contents_html, rendered_locations, node_table, path_lookup, node_paths, culled_tree, tree_prefix, document_outline, nested_outline, document_parts, document_fragments, document_skeleton, node_citations, root_dates, node_references, resolved_links,
-    refreshed_links, batch_analysis, shortcut_titles, best_definition, nodes_holding, scoped_definitions, annotated_terms, rendered_definitions, inherited_definitions, new_title_definitions, instrument_rows, tree_json, same_trees,
+    refreshed_links, link_tables, batch_analysis, shortcut_titles, best_definition, nodes_holding, scoped_definitions, annotated_terms, rendered_definitions, inherited_definitions, new_title_definitions, instrument_rows, tree_json, same_trees,
     index_terms, index_search, cover_density, refreshed_index, index_projection, string_helpers, style_pixels,
 )}
 
@@ -258,6 +293,14 @@ UNION ALL SELECT c, 'section ' || r || '(1)(a)-(b)', 'M' || o FROM {S} UNION ALL
     "node_references": LINKED,
     "resolved_links": f"SELECT c AS source, c AS target, 'section ' || (r - 1) AS link_text, 's ' || (r - 1) AS path, 'S' || prev AS node_id FROM {S} WHERE prev IS NOT NULL",
     "refreshed_links": f"SELECT source, node_id, target, CASE WHEN source % 2 = 0 THEN link_text ELSE 'old' END AS link_text FROM ({LINKED})",
+    "link_tables": """WITH own AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 5 = 0 THEN c_custkey // 3 WHEN c_custkey % 10 = 2 THEN c_custkey + 1 WHEN c_custkey % 10 = 3 THEN c_custkey - 1 ELSE c_custkey // 2 END AS p,
+  c_custkey + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 3 END AS q, 1990 + c_custkey % 4 AS y FROM customer WHERE c_custkey % 7 <> 3),
+up AS (SELECT own.c, own.p, own.y, 'C ' || own.p || ' Amendment Act 2000' AS name FROM own JOIN own o ON o.c = own.p AND o.c % 5 <> 0)
+SELECT 'links' AS "table", own.c AS a, own.q AS b, 'P' || own.q || ' section 1' AS said FROM own JOIN own o ON o.c = own.q UNION ALL
+SELECT 'sections', own.c, own.q, 's 1 true' FROM own JOIN own o ON o.c = own.q UNION ALL
+SELECT 'mentions', c, p, name FROM up UNION ALL SELECT 'parents', c, p, name FROM up UNION ALL
+SELECT 'amendments', own.c, o.c, 'H' || own.c || ' 2014-07-01 C ' || (own.c + 2) || ' Amendment Act 2000' FROM own LEFT JOIN own o ON o.c = own.c + 2 AND o.c % 5 <> 0 UNION ALL
+SELECT 'hierarchy', up.c, up.p, '' FROM up LEFT JOIN up o ON o.c = up.p AND o.p = up.c WHERE o.c IS NULL OR (up.y, up.c) > (o.y, o.c)""",
     "batch_analysis": f"SELECT 'ids' AS \"table\", (SELECT count(*) * 4 FROM {S}) + (SELECT count(*) * 4 FROM {DOCS}) AS n UNION ALL SELECT 'links', count(*) FROM ({LINKED}) UNION ALL SELECT 'amendments', 0",
     "shortcut_titles": "SELECT CAST(r_regionkey AS BIGINT) AS document_id, r_name AS title, '' AS query, 'full' AS find, 'act' AS type FROM region ORDER BY r_regionkey LIMIT 1",
     "best_definition": f"SELECT c AS doc_id, segment || ' ship' AS term, CAST(levenshtein(segment || ' ship', 'ship') AS INT) AS distance FROM {DOCS}",
