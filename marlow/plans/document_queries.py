@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citation
-from ..operators import annotate, cases
+from ..operators import annotate, cases, matcher
 from ..sources import pages
 from ..streaming import incremental
 from .acts import SECTIONS, judgment_lines
@@ -106,6 +106,20 @@ def case_rules(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", "neutral_citation", "matter", "parties", "hearing", "counsel", "body")
 
 
+def judgment_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Every hit of the patterns in the judgments' bodies, whether it counts, and the tags open after it.
+
+    Headings are made bold and lines of even orders left-aligned; two rules beside the judgments' own
+    open a table at an open order and a quotation over a line's end.
+    """
+    rules = [*matcher.RULES, matcher.Rule("(a) status O", ("table",), ("paragraph",), ("is_body", matcher.Not("is_table"))), matcher.Rule("made.\n(a) status F\n", ("quote",), (), (matcher.Or(("is_body", "is_bold")),))]
+    lines = judgment_lines(spark, d).filter("line_no >= 10")
+    order = F.regexp_extract("text", r"^\[\d+\] Order (\d+)", 1).try_cast("long")
+    faces = {name: F.lit(False) for name in matcher.LINE_TESTS} | {"is_left_aligned": F.coalesce(order % 2 == 0, F.lit(False))}
+    found = matcher.apply_rules(lines.withColumns(faces), "doc_id", "line_no", "text", rules)
+    return found.select("doc_id", "place", F.col("at").cast("long").alias("at"), F.col("rule").cast("long").alias("rule"), "counts", F.array_join("tags", ",").alias("tags"))
+
+
 def _region_pages(spark: SparkSession, d: str) -> DataFrame:
     """A page per region: a table of its nations, a pager and details."""
     row = F.concat(F.lit('<tr><td><a href="/n/'), "n_nationkey", F.lit('">'), "n_name", F.lit("</a></td><td> "), "n_nationkey", F.lit(" </td></tr>"))
@@ -150,7 +164,7 @@ def merged_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    dictionary_annotation, title_mentions, exclusive_split, canonical_links, text_to_num, number_words, plural_keys, field_extraction, party_split, party_roles, case_matters, case_body, paragraph_anchors, case_rules, scraped_records, scraped_details, validation_rules,
+    dictionary_annotation, title_mentions, exclusive_split, canonical_links, text_to_num, number_words, plural_keys, field_extraction, party_split, party_roles, case_matters, case_body, paragraph_anchors, case_rules, judgment_tags, scraped_records, scraped_details, validation_rules,
     sibling_walk, stale_merge, merged_state,
 )}
 
@@ -188,6 +202,16 @@ UNION ALL SELECT c, unnest([9 + 2 * r, 10 + 2 * r]), unnest(['paragraph', 'list'
     "case_rules": f"""SELECT c AS doc_id, '[2014] NZHC ' || c AS neutral_citation, 'UNDER the ' || any_value(segment) || ' Act' AS matter, concat_ws(chr(10), 'BETWEEN', any_value(name), 'Plaintiff', 'AND', any_value(n_name), 'Defendant') AS parties,
 'Hearing: ' || strftime(arg_min(day, r), '%-d %B %Y') AS hearing, 'Counsel: B ' || any_value(segment) || ' for the plaintiff' AS counsel, string_agg('[' || r || '] Order ' || o || ' was made.' || chr(10) || '(a) status ' || s, chr(10) ORDER BY r) AS body
 FROM {SECTIONS} JOIN nation ON n_nationkey = nation GROUP BY c""",
+    "judgment_tags": f"""WITH l AS (SELECT c AS doc_id, 9 + 2 * r AS place, 0 AS rule, strlen('[' || r || '] ') - 1 AS pos, o % 2 = 0 AS ok, 'n' AS kind FROM {SECTIONS} UNION ALL
+  SELECT c, 9 + 2 * r, 12, 0, false, '-' FROM {SECTIONS} UNION ALL
+  SELECT c, 10 + 2 * r, CASE s WHEN 'O' THEN 15 ELSE 16 END, CASE s WHEN 'O' THEN 11 ELSE 12 END, true, CASE s WHEN 'O' THEN 't' ELSE 'q' END FROM {SECTIONS} WHERE s IN ('O', 'F')),
+b AS (SELECT *, coalesce(bool_or(kind = 'n' AND ok) OVER w1, false) AS body, coalesce(bool_or(kind = 'q') OVER w1, false) AS any_q, last_value(CASE WHEN kind = 't' THEN true WHEN kind = 'n' AND ok THEN false END IGNORE NULLS) OVER w1 AS t0
+  FROM l WINDOW w1 AS (PARTITION BY doc_id ORDER BY place, pos, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, CASE kind WHEN 'n' THEN ok AND (NOT body OR coalesce(t0, false)) WHEN 't' THEN body AND NOT coalesce(t0, false) WHEN 'q' THEN body ELSE false END AS counts FROM
+  (SELECT * REPLACE (CASE WHEN body THEN t0 END AS t0) FROM (SELECT * REPLACE (last_value(CASE WHEN kind = 't' AND body THEN true WHEN kind = 'n' AND ok THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place, pos, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t0) FROM b))),
+g AS (SELECT *, coalesce(bool_or(kind = 'n' AND counts) OVER w2, false) AS b1, coalesce(bool_or(kind = 'q' AND counts) OVER w2, false) AS q1, coalesce(last_value(CASE WHEN counts AND kind IN ('n', 't') THEN kind = 't' END IGNORE NULLS) OVER w2, false) AS t1
+  FROM f WINDOW w2 AS (PARTITION BY doc_id ORDER BY place, pos, rule ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, place, CAST(pos AS BIGINT) AS "at", CAST(rule AS BIGINT) AS rule, counts, concat_ws(',', CASE WHEN b1 THEN 'body' ELSE 'intituling' END, CASE WHEN b1 AND NOT t1 THEN 'paragraph' END, CASE WHEN t1 THEN 'table' END, CASE WHEN q1 THEN 'quote' END) AS tags FROM g""",
     "scraped_records": "SELECT n_regionkey, n_name AS name, CAST(n_nationkey AS VARCHAR) AS number, '/n/' || n_nationkey AS href FROM nation",
     "scraped_details": "SELECT n_regionkey, CAST(count(*) AS VARCHAR) AS nations, CASE WHEN n_regionkey < 4 THEN '/r/' || (n_regionkey + 1) END AS following FROM nation GROUP BY 1",
     "validation_rules": """WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS c, contains(text, 'icense') AS w FROM documents)
