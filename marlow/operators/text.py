@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemmer import stems
 from ..store import materialise
 
 #: The English stop list of the standard search analyzer.
@@ -25,14 +26,13 @@ def tokens(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Tokens without stop words, in a light English stem."""
-    return F.transform(F.filter(tokens(text), lambda w: ~w.isin(STOP_WORDS)), stem)
+    """Tokens without stop words, in their English stems."""
+    return stems(F.filter(tokens(text), lambda w: ~w.isin(STOP_WORDS)))
 
 
 def stem(word: Column) -> Column:
-    """Plural, -ed and -ing endings off, in that order; words of three letters or fewer stay."""
-    plural = F.when(word.rlike("[^aeiou]ies$"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("(?:ss|x|ch|sh)es$"), F.regexp_replace(word, "es$", "")).when(word.rlike("[^su]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
-    return F.when(F.length(word) <= 3, word).otherwise(F.regexp_replace(F.regexp_replace(plural, "(?<=[aeiouy].{1,40})(?:ed|ing)$", ""), "([bdfgmnprt])\\1$", "$1"))
+    """The English stem of one word."""
+    return F.get(stems(F.array(word)), F.lit(0))
 
 
 def edge_grams(word: Column, least: int = 4, most: int = 20) -> Column:
@@ -241,12 +241,12 @@ def ranked(df: DataFrame, id_col: str, fields: dict[str, float], query: str, siz
     if not words:
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
     total = df.count()
-    stems = df.sparkSession.range(1).select(*(stem(F.lit(w)).alias(f"s{i}") for i, w in enumerate(words))).first()
-    # A stem differs from its word in the last letters only, so most words are passed over without one.
-    near_words = lambda text: F.transform(F.filter(tokens(text), lambda w: ~w.isin(STOP_WORDS) & reduce(lambda a, b: a | b, [w.startswith(s[: max(1, len(s) - 1)]) for s in stems])), stem)
+    wanted = df.sparkSession.range(1).select(*(stem(F.lit(w)).alias(f"s{i}") for i, w in enumerate(words))).first()
+    # A stem begins its word but for its last letter, so most words are passed over without one.
+    near_words = lambda text: stems(F.filter(tokens(text), lambda w: ~w.isin(STOP_WORDS) & reduce(lambda a, b: a | b, [w.startswith(s[: max(1, len(s) - 1)]) for s in wanted])))
     each = F.array(*(F.struct(F.lit(f).alias("field"), near_words(F.coalesce(F.col(f), F.lit(""))).alias("ts")) for f in fields))
-    asked = df.select(id_col, F.explode(each).alias("x")).select(id_col, "x.field", F.explode("x.ts").alias("term")).filter(F.col("term").isin(*stems))
-    counts = materialise(asked.groupBy(id_col, "field").agg(*(F.count_if(F.col("term") == s).alias(f"n_{i}") for i, s in enumerate(stems))), "term-counts")
+    asked = df.select(id_col, F.explode(each).alias("x")).select(id_col, "x.field", F.explode("x.ts").alias("term")).filter(F.col("term").isin(*wanted))
+    counts = materialise(asked.groupBy(id_col, "field").agg(*(F.count_if(F.col("term") == s).alias(f"n_{i}") for i, s in enumerate(wanted))), "term-counts")
     sums = {r["field"]: r for r in counts.groupBy("field").agg(*(F.count_if(F.col(f"n_{i}") > 0).alias(f"d_{i}") for i in range(len(words)))).collect()}
     best = F.lit(None).cast("double")
     for f, boost in fields.items():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions import render, xmljson
+from ..functions.stemmer import stems_sql
 from ..operators import annotate, index, links, refresh, tree
 from ..sources import documents as src
 from ..store import materialise
@@ -210,8 +211,8 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and occurrences of every term of every analyzer of a mapped field but stems."""
-    return _index(spark, d).filter("analyzer <> 'english'").groupBy("field", "analyzer", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """Documents and occurrences of every term of every analyzer of a mapped field."""
+    return _index(spark, d).groupBy("field", "analyzer", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def index_search(spark: SparkSession, d: str) -> DataFrame:
@@ -315,9 +316,10 @@ SELECT holder, 'T' || doc AS id, from_above, CASE WHEN doc % 3 = 0 AND c_nationk
     "instrument_rows": f"SELECT c AS doc_id, 'A' || c AS govt_id, 'act' AS type, name AS title, CAST(1993 AS INT) AS year, false AS repealed, DATE '1993-07-01' AS date_assent FROM {DOCS}",
     "tree_json": f"SELECT c AS doc_id, 'A' || c AS id, name AS title, '1' AS first FROM {DOCS}",
     "same_trees": f"SELECT c AS doc_id, c % 2 <> 0 AS same FROM {DOCS}",
-    "index_terms": """WITH w AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS term FROM part)
+    "index_terms": f"""WITH w AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS term FROM part)
 SELECT 'title' AS field, 'exact' AS analyzer, lower(p_name) AS term, count(*) AS df, CAST(count(*) AS BIGINT) AS cf FROM part GROUP BY 3 UNION ALL SELECT 'title', 'simple', term, count(DISTINCT id), count(*) FROM w GROUP BY 3
-UNION ALL SELECT 'title', 'ngram', substr(term, 1, k), count(DISTINCT id), count(DISTINCT id) FROM w JOIN range(4, 21) r(k) ON k <= length(term) GROUP BY 3""",
+UNION ALL SELECT 'title', 'ngram', substr(term, 1, k), count(DISTINCT id), count(DISTINCT id) FROM w JOIN range(4, 21) r(k) ON k <= length(term) GROUP BY 3
+UNION ALL SELECT 'title', 'english', stem, count(DISTINCT id), count(*) FROM ({stems_sql("w")}) GROUP BY 3""",
     "index_search": "SELECT p_partkey AS id, 2.0 / len(string_split(p_name, ' ')) AS score FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND list_contains(string_split(p_name, ' '), 'widget')",
     "cover_density": r"""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS ws FROM documents), p AS (SELECT id, unnest(ws) AS term, generate_subscripts(ws, 1) AS place FROM w),
 q AS (SELECT * FROM p WHERE term IN ('of', 'the')), n AS (SELECT *, lead(term) OVER (PARTITION BY id ORDER BY place) AS term2, lead(place) OVER (PARTITION BY id ORDER BY place) AS place2 FROM q)

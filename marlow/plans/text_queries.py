@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citation
 from ..functions import scalars as fn
+from ..functions.stemmer import stems_sql
 from ..operators import text as tx
 from ..sources import documents
 from .relational_queries import t
@@ -97,6 +98,12 @@ def ranked_search(spark: SparkSession, d: str) -> DataFrame:
     return tx.ranked(_docs(spark, d), "doc_id", {"text": 1.0, "source": 3.0}, "er tion")
 
 
+def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and occurrences of every English stem in the documents' texts."""
+    own = t(spark, d, "documents").select("doc_id", F.explode(tx.terms(F.col("text"))).alias("term"))
+    return own.groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count(F.lit(1)).alias("cf"))
+
+
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency of every token."""
     own = t(spark, d, "part").select("p_partkey", tx.tokens(F.col("p_name")).alias("ts"))
@@ -215,7 +222,7 @@ def interval_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     contains_all, contains_any, contains_phrase, contains_not, contains_query_string, title_search, year_range, year_list, instrument_filters_reference, instrument_filters_intended, has_child, has_parent,
-    snippet_highlight, text_fragments, ranked_search, term_counts, html_text, html_links, link_histogram, fragment_parts, merge_missing_parts, part_search, title_from_html, outline_from_html, edge_grams,
+    snippet_highlight, text_fragments, ranked_search, stemmed_terms, term_counts, html_text, html_links, link_histogram, fragment_parts, merge_missing_parts, part_search, title_from_html, outline_from_html, edge_grams,
     best_by_edit_distance, mode_value, minmax_bounds, date_formats, safe_dates, json_props, map_entries, principal_flag, text_cleaning, text_helpers, location_helpers, interval_gaps,
 )}
 
@@ -240,13 +247,14 @@ ORACLES = {
     "has_parent": "SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "snippet_highlight": r"""SELECT p_partkey, regexp_replace(p_name, '\b(ring|red)\b', '<span class="search_match">\1</span>', 'gi') AS marked FROM part""",
     "text_fragments": r"SELECT p_partkey, CASE WHEN regexp_matches(p_name, '\bwidget\b') THEN regexp_extract(p_name, '.{0,2}\bwidget\b.{0,2}') ELSE substr(p_name, 1, 10) END AS fragment FROM part",
-    "ranked_search": r"""WITH w AS (SELECT doc_id, f, unnest(list_filter(regexp_split_to_array(lower(x), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS t FROM (SELECT doc_id, 'text' AS f, text AS x FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents)),
-p AS (SELECT doc_id, f, CASE WHEN length(t) <= 3 THEN t WHEN regexp_matches(t, '[^aeiou]ies$') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, '(?:ss|x|ch|sh)es$') THEN regexp_replace(t, 'es$', '') WHEN regexp_matches(t, '[^su]s$') THEN regexp_replace(t, 's$', '') ELSE t END AS s, t FROM w WHERE t LIKE 'er%' OR t LIKE 'tion%'),
-q AS (SELECT doc_id, f, CASE WHEN length(t) <= 3 THEN t ELSE regexp_replace(s, '([aeiouy].{1,40})(?:ed|ing)$', '\1') END AS s, t FROM p),
-z AS (SELECT doc_id, f, CASE WHEN length(t) > 3 AND right(s, 2) IN ('bb', 'dd', 'ff', 'gg', 'mm', 'nn', 'pp', 'rr', 'tt') THEN left(s, length(s) - 1) ELSE s END AS s FROM q),
+    "ranked_search": rf"""WITH w AS (SELECT doc_id, f, unnest(list_filter(regexp_split_to_array(lower(x), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> '')) AS t FROM (SELECT doc_id, 'text' AS f, text AS x FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents)),
+p AS (SELECT t AS term FROM w WHERE t LIKE 'e%' OR t LIKE 'tio%' GROUP BY 1), z AS (SELECT doc_id, f, stem AS s FROM w JOIN ({stems_sql("p")}) ON t = term),
 n AS (SELECT doc_id, f, count(*) FILTER (s = 'er') AS a, count(*) FILTER (s = 'tion') AS b FROM z GROUP BY 1, 2), k AS (SELECT count(*) AS total FROM documents),
 d AS (SELECT f, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM n GROUP BY 1)
 SELECT doc_id, max((a * ln(1 + (total - da + 0.5) / (da + 0.5)) + b * ln(1 + (total - db + 0.5) / (db + 0.5))) * CASE f WHEN 'source' THEN 3.0 ELSE 1.0 END) AS score FROM n JOIN d USING (f), k WHERE a > 0 AND b > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25""",
+    "stemmed_terms": rf"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) AS term FROM documents),
+u AS (SELECT term, doc_id, count(*) AS n FROM w WHERE term NOT IN ({', '.join(f"'{x}'" for x in tx.STOP_WORDS)}) GROUP BY 1, 2), v AS (SELECT DISTINCT term FROM u)
+SELECT stem AS term, count(DISTINCT doc_id) AS df, CAST(sum(n) AS BIGINT) AS cf FROM u JOIN ({stems_sql("v")}) USING (term) GROUP BY 1""",
     "term_counts": "SELECT term, count(DISTINCT p_partkey) AS df, count(*) AS cf FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS term FROM part) GROUP BY 1",
     "html_text": f"SELECT page_id, {HTML} AS text FROM pages",
     "html_links": f"SELECT page_id, place, href FROM {LINKS}",
