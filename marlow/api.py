@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.citation import canonical_link
-from .functions.render import render_udf
+from .functions.render import fragmented_udf, render_udf
 from .operators import graph, relational as rel, text as tx, tree
 from .store import materialise
 
@@ -23,6 +23,18 @@ PAGE, PREVIEW, SKELETON = 25, 300, 100_000
 INSTRUMENTS = {"act", "regulation", "sop", "bill", "instrument"}
 
 
+def full_view(rows: DataFrame, xml_col: str, highlight: str = "", limit: int = SKELETON) -> DataFrame:
+    """(id, title, skeleton, html, parts) of documents; those above ``limit`` characters, or all where a text is to be marked, by parts."""
+    split = F.lit(True) if highlight else F.length(xml_col) > limit
+    rows = rows.select("id", "title", xml_col, F.coalesce(split, F.lit(False)).alias("skeleton"))
+    marked = (lambda p: tx.highlight(p, [highlight])) if highlight else (lambda p: p)
+    own = rows.filter("skeleton").select("id", "title", "skeleton", fragmented_udf()(xml_col).alias("f"))
+    numbered = F.transform("f.parts", lambda p, i: F.struct(i.alias("num"), marked(p).alias("html")))
+    own = own.select("id", "title", "skeleton", F.col("f.skeleton").alias("html"), numbered.alias("parts"))
+    plain = rows.filter("not skeleton").select("id", "title", "skeleton", render_udf()(xml_col).alias("html"), F.array().cast("array<struct<num:int,html:string>>").alias("parts"))
+    return own.unionByName(plain)
+
+
 class QueryError(ValueError):
     """A query that names nothing known."""
 
@@ -100,10 +112,13 @@ class Engine:
     def _one(self, doc: int) -> DataFrame:
         return self.instruments.filter(F.col("id") == doc).join(self.documents, "id")
 
-    def full(self, doc: int) -> DataFrame:
-        """The whole document, or its parts' titles only where it is long."""
-        long = F.length("document") > SKELETON
-        return self._one(doc).select("id", "title", long.alias("skeleton"), F.when(long, render_udf(PREVIEW)("document")).otherwise(render_udf()("document")).alias("html"))
+    def full(self, doc: int, highlight: str = "") -> DataFrame:
+        """(id, title, skeleton, html, parts): the whole document.
+
+        Where it is long, or a text is to be marked, ``html`` is its skeleton and ``parts`` has each part's
+        number and html, marked if need be; a client puts them in as they are read. Nothing is left out.
+        """
+        return full_view(self._one(doc), "document", highlight)
 
     def preview(self, doc: int) -> DataFrame:
         return self._one(doc).select("id", "title", render_udf(PREVIEW)("document").alias("html"))

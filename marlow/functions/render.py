@@ -115,6 +115,36 @@ class Renderer:
         return f'<div class="paragraph" id="para-{escape(number)}">{self.inner(e, path)}</div>' if number else f'<div class="paragraph">{self.inner(e, path)}</div>'
 
 
+class Fragmented(Renderer):
+    """A document's skeleton, and its parts one by one: the outermost provisions and schedules outside amendments."""
+
+    def __init__(self, changes: bool = True) -> None:
+        super().__init__(None, changes)
+        self.parts: list[str] = []
+        self.whole = False
+
+    def element(self, e: ET.Element, path: str = "") -> str:
+        if self.whole or name_of(e) not in ("prov", "schedule", "amend"):
+            return super().element(e, path)
+        self.whole = True
+        said = super().element(e, path)
+        self.whole = False
+        if name_of(e) == "amend":
+            return said
+        self.parts.append(said)
+        here = self.location(e, path)
+        return f'<div class="part" data-part="{len(self.parts) - 1}" data-location="{escape(here)}"></div>'
+
+
+def fragmented(xml: str | None, changes: bool = True) -> tuple[str, list[str]] | None:
+    """HTML of a document with its parts emptied, and that of each part, in order: put back in their places they are the document's HTML."""
+    root = _root(xml)
+    if root is None:
+        return None
+    own = Fragmented(changes)
+    return own.element(root), own.parts
+
+
 def _root(xml: str | None) -> ET.Element | None:
     try:
         return ET.fromstring(xml) if xml else None
@@ -161,6 +191,17 @@ def render_udf(cut: int | None = None, changes: bool = True) -> Callable:
     return run
 
 
+def fragmented_udf(changes: bool = True) -> Callable:
+    """struct(skeleton, parts); null for what is not XML."""
+
+    @F.pandas_udf("skeleton string, parts array<string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = [fragmented(x, changes) or (None, None) for x in s]
+        return pd.DataFrame(rows, columns=["skeleton", "parts"])
+
+    return run
+
+
 @F.pandas_udf(T.StringType())
 def contents_udf(s: pd.Series) -> pd.Series:
     return s.map(contents, na_action="ignore")

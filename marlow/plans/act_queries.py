@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import full_view
 from ..functions import scalars as fn
 from ..functions import render, xmljson
 from ..functions.stemmer import stems_sql
@@ -252,6 +253,15 @@ def style_pixels(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", style["width"].alias("width"), style["color"].alias("color"), style["top"].alias("top"), fn.leading_points(F.col("p_retailprice"), 0.01).alias("leading"), fn.column_share(F.col("p_size"), F.lit(7)).alias("share"))
 
 
+def full_views(spark: SparkSession, d: str) -> DataFrame:
+    """Every act in full, those above 3000 characters by parts: what a reader gets, put together again, and how it came."""
+    rows = acts(spark, d).select(F.col("doc_id").alias("id"), F.lit("").alias("title"), "xml")
+    seen = full_view(rows, "xml", limit=3000)
+    locations = lambda html: F.regexp_extract_all(html, F.lit('data-location="([^"]*)"'), F.lit(1))
+    parts = F.when(F.col("skeleton"), F.flatten(F.transform("parts", lambda p: locations(p["html"])))).otherwise(locations(F.col("html")))
+    return seen.select("id", "skeleton", F.size("parts").cast("long").alias("n_parts"), F.array_join(parts, ";").alias("locations"))
+
+
 def contents_html(spark: SparkSession, d: str) -> DataFrame:
     return acts(spark, d).select("doc_id", render.contents_udf("xml").alias("html"))
 
@@ -263,7 +273,7 @@ def rendered_locations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    contents_html, rendered_locations, node_table, path_lookup, node_paths, culled_tree, tree_prefix, document_outline, nested_outline, document_parts, document_fragments, document_skeleton, node_citations, root_dates, node_references, resolved_links,
+    contents_html, rendered_locations, full_views, node_table, path_lookup, node_paths, culled_tree, tree_prefix, document_outline, nested_outline, document_parts, document_fragments, document_skeleton, node_citations, root_dates, node_references, resolved_links,
     refreshed_links, link_tables, batch_analysis, shortcut_titles, best_definition, nodes_holding, scoped_definitions, annotated_terms, rendered_definitions, inherited_definitions, new_title_definitions, instrument_rows, tree_json, same_trees,
     index_terms, index_search, cover_density, refreshed_index, index_projection, string_helpers, style_pixels,
 )}
@@ -275,6 +285,12 @@ HTML = "'<div class=\"def-para\">' || segment || ' ship ' || (CASE WHEN c % 2 =
 ORACLES = {
     "contents_html": f"""SELECT c AS doc_id, '<ul>' || string_agg('<li data-location="s ' || r || '">' || r || ' ' || p || '</li>', '' ORDER BY r) || '</ul>' AS html FROM {S} GROUP BY 1""",
     "rendered_locations": f"SELECT c AS doc_id, string_agg('s ' || r || ';s ' || r || '(1);s ' || r || '(1)(a);s ' || r || '(1)(b)', ';' ORDER BY r) AS locations FROM {S} GROUP BY 1",
+    "full_views": f"""SELECT c AS id, size > 3000 AS skeleton, CASE WHEN size > 3000 THEN n ELSE 0 END AS n_parts, locations FROM (
+  SELECT c, count(*) AS n, string_agg('s ' || r || ';s ' || r || '(1);s ' || r || '(1)(a);s ' || r || '(1)(b)', ';' ORDER BY r) AS locations, any_value(strlen('<act id="A' || c || '" year="1993" date.assent="1993-07-01"><cover><title>' || name || '</title></cover><body id="B' || c || '"></body></act>')) +
+  CAST(sum(strlen('<prov id="S' || o || '"><label>' || r || '</label><heading>' || p || '</heading><prov.body><subprov id="U' || o || '"><label>1</label><para>' ||
+    CASE WHEN r = 1 THEN '<text>In this Act, status ' || s || '</text><def-para id="D' || c || '"><para><text><def-term id="T' || c || '">' || segment || ' ship</def-term> ' || (CASE WHEN c % 2 = 0 THEN 'means' ELSE 'includes' END) || ' a vessel</text></para></def-para>' ELSE '<text>status ' || s || '</text>' END ||
+    '<label-para id="L' || o || '"><label>a</label><para><text>order ' || o || ' of a ' || segment || ' ship</text></para></label-para><label-para id="M' || o || '"><label>b</label><para>' ||
+    CASE WHEN r = 1 THEN '<text>none before</text>' ELSE '<text>see <link href="S' || prev || '">section ' || (r - 1) || '</link></text>' END || '</para></label-para></para></subprov></prov.body></prov>')) AS BIGINT) AS size FROM {S} GROUP BY 1)""",
     "node_table": f"""SELECT 'A' || c AS node_id, 'act' AS tag, CAST(NULL AS VARCHAR) AS label, CAST(0 AS INT) AS depth FROM {DOCS} UNION ALL SELECT 'B' || c, 'body', NULL, 1 FROM {DOCS}
 UNION ALL SELECT 'D' || c, 'def-para', NULL, 6 FROM {DOCS} UNION ALL SELECT 'T' || c, 'def-term', NULL, 9 FROM {DOCS} UNION ALL SELECT 'S' || o, 'prov', CAST(r AS VARCHAR), 2 FROM {S} UNION ALL SELECT 'U' || o, 'subprov', '1', 4 FROM {S}
 UNION ALL SELECT 'L' || o, 'label-para', 'a', 6 FROM {S} UNION ALL SELECT 'M' || o, 'label-para', 'b', 6 FROM {S}""",

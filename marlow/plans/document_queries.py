@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import citation
 from ..operators import annotate, cases, matcher
 from ..sources import pages
+from ..store import materialise
 from ..streaming import incremental
 from .acts import SECTIONS, judgment_lines
 from .relational_queries import t
@@ -137,6 +139,27 @@ def scraped_details(spark: SparkSession, d: str) -> DataFrame:
     return _region_pages(spark, d).select("n_regionkey", pages.details(html)["Nations"].alias("nations"), pages.next_page(html).alias("following"))
 
 
+def _customer_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of each nation's customers, seven a page, and a page for each customer; every other nation's last page leads back to its first."""
+    own = t(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"), F.lower("c_mktsegment").alias("segment"))
+    own = own.withColumn("k", F.floor((F.row_number().over(W.partitionBy("n").orderBy("c")) - 1) / 7))
+    row = F.concat(F.lit('<tr><td><a href="../customers/'), "c", F.lit('">'), "name", F.lit("</a></td><td>"), "c", F.lit("</td></tr>"))
+    lists = own.groupBy("n", "k").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows")).withColumn("last", F.max("k").over(W.partitionBy("n")))
+    following = F.when(F.col("k") < F.col("last"), F.concat(F.lit("?page="), F.col("k") + 1)).when(F.col("n") % 2 == 0, F.concat(F.lit("/nations/"), "n", F.lit("?page=0")))
+    pager = F.coalesce(F.concat(F.lit('<a href="'), following, F.lit('#top">next</a>')), F.lit(""))
+    lists = lists.select(F.concat(F.lit("http://x.example/nations/"), "n", F.lit("?page="), "k").alias("url"), F.concat(F.lit("<table>"), "rows", F.lit("</table>"), pager).alias("html"))
+    single = own.select(F.concat(F.lit("http://x.example/customers/"), "c").alias("url"), F.concat(F.lit("<dl><dt>Segment</dt><dd>"), "segment", F.lit("</dd></dl>")).alias("html"))
+    return lists.unionByName(single)
+
+
+def crawled_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer once, by following the lists of all nations from their first pages, with its own page's details."""
+    stored = materialise(_customer_pages(spark, d), "customer-pages")
+    starts = t(spark, d, "nation").select(F.concat(F.lit("http://x.example/nations/"), "n_nationkey", F.lit("?page=0")).alias("url"))
+    found = pages.crawled(stored, starts, ["name", "number"])
+    return found.select("start", "place", "name", "number", F.col("details")["Segment"].alias("segment"))
+
+
 def validation_rules(spark: SparkSession, d: str) -> DataFrame:
     lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
     fields = lines.groupBy("doc_id").agg(F.min_by("line", "line_no").alias("full_citation"), F.min_by("line", F.when(F.col("line").contains("icense"), F.col("line_no"))).alias("waistband"))
@@ -165,7 +188,7 @@ def merged_state(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dictionary_annotation, title_mentions, exclusive_split, canonical_links, text_to_num, number_words, plural_keys, field_extraction, party_split, party_roles, case_matters, case_body, paragraph_anchors, case_rules, judgment_tags, scraped_records, scraped_details, validation_rules,
-    sibling_walk, stale_merge, merged_state,
+    crawled_records, sibling_walk, stale_merge, merged_state,
 )}
 
 
@@ -214,6 +237,7 @@ g AS (SELECT *, coalesce(bool_or(kind = 'n' AND counts) OVER w2, false) AS b1, c
 SELECT doc_id, place, CAST(pos AS BIGINT) AS "at", CAST(rule AS BIGINT) AS rule, counts, concat_ws(',', CASE WHEN b1 THEN 'body' ELSE 'intituling' END, CASE WHEN b1 AND NOT t1 THEN 'paragraph' END, CASE WHEN t1 THEN 'table' END, CASE WHEN q1 THEN 'quote' END) AS tags FROM g""",
     "scraped_records": "SELECT n_regionkey, n_name AS name, CAST(n_nationkey AS VARCHAR) AS number, '/n/' || n_nationkey AS href FROM nation",
     "scraped_details": "SELECT n_regionkey, CAST(count(*) AS VARCHAR) AS nations, CASE WHEN n_regionkey < 4 THEN '/r/' || (n_regionkey + 1) END AS following FROM nation GROUP BY 1",
+    "crawled_records": "SELECT 'http://x.example/nations/' || n || '?page=0' AS start, (k - 1) // 7 AS place, name, CAST(c AS VARCHAR) AS number, segment FROM (SELECT c_custkey AS c, c_name AS name, c_nationkey AS n, lower(c_mktsegment) AS segment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey)",
     "validation_rules": """WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS c, contains(text, 'icense') AS w FROM documents)
 SELECT doc_id, 'parties' AS fault FROM f WHERE doc_id % 2 <> 0 UNION ALL SELECT doc_id, 'citation' FROM f WHERE length(c) < 20 UNION ALL SELECT doc_id, 'waistband' FROM f WHERE NOT w""",
     "sibling_walk": """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, CAST(sum(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS run FROM lineitem)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.text import html_text
+from ..store import materialise
 
 
 def cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -36,3 +37,53 @@ def details(html: Column) -> Column:
 def next_page(html: Column) -> Column:
     """The link that a pager's *next* leads to; null on the last page."""
     return F.nullif(F.regexp_extract(html, r'(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>\s*(?:next|&gt;|›|»)', 1), F.lit(""))
+
+
+def absolute(href: Column, base: Column) -> Column:
+    """Where a link on a page leads: an address as it is, a path from the page's host, or one from its folder; fragments and dots off."""
+    plain = F.regexp_replace(href, "#.*$", "")
+    host = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^(.*/)[^/]*$", 1)
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    joined = F.when(plain.rlike(r"^[a-zA-Z][\w+.-]*:"), plain).when(plain.startswith("/"), F.concat(host, plain)).when(plain.startswith("?"), F.concat(page, plain)).when(plain == "", base).otherwise(F.concat(folder, plain))
+    # each pass takes away the folders that stand before two dots
+    passes = F.sequence(F.lit(1), F.size(F.split(joined, r"/\.\./")))
+    dotless = F.aggregate(passes, F.regexp_replace(joined, r"/(?:\./)+", "/"), lambda u, _: F.regexp_replace(u, r"(?<=[^/:])/(?!\.\./)[^/?]+/\.\./", "/"))
+    return F.regexp_replace(dotless, r"^([a-zA-Z][\w+.-]*://[^/]*/)(?:\.\./)+", "$1")
+
+
+def followed(pages: DataFrame, starts: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(start, url, place): the stored pages that *next* links lead to from each start, itself at place 0.
+
+    ``starts``: url. Each round doubles how far a link reaches, so a chain of n pages takes log2(n)
+    rounds; a chain that comes back to a page of its own ends there, with the page at its first place.
+    A link to a page that is not stored ends its chain. Of pages of one address the least text counts.
+    """
+    stored = pages.groupBy(F.col(url_col).alias("url")).agg(F.min(html_col).alias("html")).filter("url is not null")
+    hop = stored.select("url", absolute(next_page(F.col("html")), F.col("url")).alias("next")).filter("next is not null")
+    hop = materialise(hop.join(stored.select(F.col("url").alias("next")), "next", "left_semi").select("url", "next"), "page-links")
+    reach = starts.select(F.col("url").alias("start")).distinct().join(stored.select(F.col("url").alias("start")), "start", "left_semi")
+    reach = materialise(reach.select("start", F.col("start").alias("url"), F.lit(0).cast("long").alias("place")), "page-reach")
+    n, now, span = -1, reach.count(), 1
+    while now != n:
+        on = reach.join(hop, "url").select("start", F.col("next").alias("url"), (F.col("place") + span).alias("place"))
+        reach = materialise(reach.unionByName(on).groupBy("start", "url").agg(F.min("place").alias("place")), "page-reach")
+        further = hop.select("url", F.col("next").alias("middle")).join(hop.select(F.col("url").alias("middle"), "next"), "middle").select("url", "next")
+        hop, span = materialise(further, "page-links"), span * 2
+        n, now = now, reach.count()
+    return reach
+
+
+def crawled(pages: DataFrame, starts: DataFrame, columns: list[str], url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Records of all pages of each series, with the details of the page that each record links to.
+
+    (start, place, table, row, one column a name, href, details): a page that several series lead to
+    counts for the first of them, so every record comes once. ``details`` is a map, null where the link
+    leads to no stored page.
+    """
+    reach = followed(pages, starts, url_col, html_col).groupBy("url").agg(F.min(F.struct("start", "place")).alias("x")).select("url", "x.*")
+    stored = pages.groupBy(F.col(url_col).alias("url")).agg(F.min(html_col).alias("html"))
+    listed = records(stored.join(reach.select("url"), "url", "left_semi"), "url", "html", columns).join(reach, "url")
+    listed = listed.withColumn("href", absolute(F.col("href"), F.col("url")))
+    told = stored.select(F.col("url").alias("href"), details(F.col("html")).alias("details"))
+    return listed.join(told, "href", "left").select("start", "place", "table", "row", *columns, "href", "details")
