@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Page frame and tolerances, in points.
 PAGE_LEFT, PAGE_RIGHT, CENTER = 72.0, 523.0, 297.5
 NEAR, GAP_FACTOR, SUPERSCRIPT = 3.0, 1.5, 0.8
+#: The gap between columns, and how much shorter a line must be than the next to end its paragraph.
+COLUMN, EARLY = 20.0, 40.0
 
 
 
@@ -49,12 +51,65 @@ def flags(lines: DataFrame) -> DataFrame:
 
 
 def rows(boxes: DataFrame) -> DataFrame:
-    """Boxes that overlap the box before in height share a row; a row's texts are joined from the left."""
+    """Boxes that overlap in height, directly or by others between them, share a row; a row's texts are joined from the left.
+
+    A line swept down the page meets a new row where it has left all boxes above. ``columns`` counts the
+    stretches of a row with a gap of ``COLUMN`` between them.
+    """
     w = W.partitionBy("doc_id", "page").orderBy(F.desc("top"), "left")
-    new = F.coalesce(F.col("top") <= F.lag("bottom").over(w), F.lit(True))
-    numbered = boxes.withColumn("__new", new).withColumn("row", F.sum(F.col("__new").cast("int")).over(w) - 1)
+    lowest = F.min("bottom").over(w.rowsBetween(W.unboundedPreceding, -1))
+    numbered = boxes.withColumn("__new", F.coalesce(F.col("top") <= lowest, F.lit(True))).withColumn("row", F.sum(F.col("__new").cast("int")).over(w) - 1)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("left", "text"))), lambda s: s["text"])
-    return numbered.groupBy("doc_id", "page", "row").agg(F.array_join(texts, " ").alias("text"), F.count(F.lit(1)).alias("n_boxes"), F.min("left").alias("left"), F.max("right").alias("right"))
+    across = W.partitionBy("doc_id", "page", "row").orderBy("left", "right")
+    reach = F.max("right").over(across.rowsBetween(W.unboundedPreceding, -1))
+    numbered = numbered.withColumn("__column", (F.col("left") - reach > COLUMN).cast("int"))
+    return numbered.groupBy("doc_id", "page", "row").agg(
+        F.array_join(texts, " ").alias("text"), F.count(F.lit(1)).alias("n_boxes"), F.min("left").alias("left"), F.max("right").alias("right"), F.max("top").alias("top"), F.min("bottom").alias("bottom"), F.max("font").alias("font"), (F.coalesce(F.sum("__column"), F.lit(0)) + 1).alias("columns")
+    )
+
+
+def states(lines: DataFrame) -> DataFrame:
+    """Rows (as ``rows`` gives them) with ``state``: paragraph, indent, quote, table or footer, in reading order ``line_no``.
+
+    Small print at the margin is a footer, and so is all small print below it on the page. A row of
+    several columns is a table's, as are the rows set in below it until a gap. Small print that is set in
+    is a quotation; other rows that are set in are indents, and the rest paragraphs.
+    """
+    order = W.partitionBy("doc_id").orderBy("page", "row")
+    usual = F.mode("font", deterministic=True).over(W.partitionBy("doc_id"))
+    on_page = W.partitionBy("doc_id", "page").orderBy("row")
+    own = lines.withColumn("line_no", F.row_number().over(order) - 1).withColumn("__usual", usual)
+    own = own.withColumn("__small", F.col("font") <= F.col("__usual") - 1).withColumn("__in", F.col("left") > PAGE_LEFT + NEAR)
+    own = own.withColumn("__wide", F.coalesce(F.lag("bottom").over(on_page) - F.col("top") > GAP_FACTOR * (F.col("top") - F.col("bottom")), F.lit(True)))
+    foot = F.max(F.col("__small") & ~F.col("__in")).over(on_page)
+    first = F.when(F.col("__small") & foot, "footer").when(F.col("columns") > 1, "table").when(F.col("__small") & F.col("__in"), "quote").when(F.col("__in"), "indent").otherwise("paragraph")
+    own = own.withColumn("__first", first)
+    kept = F.last(F.when((F.col("__first") != "indent") | F.col("__wide"), F.col("__first")), ignorenulls=True).over(order)
+    own = own.withColumn("state", F.when((F.col("__first") == "indent") & (kept == "table"), "table").otherwise(F.col("__first")))
+    return own.drop("__usual", "__small", "__in", "__first", "__wide")
+
+
+def blocks(lines: DataFrame) -> DataFrame:
+    """(doc_id, block, state, text, first_line, n_lines): rows with states as whole paragraphs, quotations, tables and so on.
+
+    A block ends where the state changes, and but for tables at a wide gap, at a paragraph's number, at an
+    indent's mark, and after a line that ended well short of the next. Footers stand after the other
+    blocks of their page: the text runs on over the page's end.
+    """
+    own = lines.withColumn("__foot", F.col("state") == "footer")
+    # the text of all pages first, then the footers page by page
+    w = W.partitionBy("doc_id").orderBy("__foot", "line_no")
+    before = lambda c: F.lag(c).over(w)
+    near = before("page") == F.col("page")
+    wide = near & (before("bottom") - F.col("top") > GAP_FACTOR * (F.col("top") - F.col("bottom")))
+    short = F.col("right") - before("right") > EARLY
+    marked = F.col("text").rlike(r"^\s*(?:\[\d+\]|\([a-z]{1,4}\)|\d+\s)")
+    turned = before("state").isNull() | (before("state") != F.col("state"))
+    fresh = turned | ((F.col("state") != "table") & (wide | short | marked)) | ((F.col("state") == "footer") & ~near)
+    numbered = own.withColumn("__fresh", fresh).withColumn("block", F.sum(F.col("__fresh").cast("int")).over(w) - 1)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: F.trim(s["text"]))
+    joined = F.when(F.first("state") == "table", F.array_join(texts, "\n")).otherwise(F.array_join(texts, " "))
+    return numbered.groupBy("doc_id", "block").agg(F.first("state").alias("state"), joined.alias("text"), F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"))
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
