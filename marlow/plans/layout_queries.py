@@ -44,7 +44,7 @@ def layout_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layout_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of pages of an order's lines: text, an indent, a quotation, a table's row of three boxes that overlap in steps, one set in below it, a footer."""
+    """Blocks of pages of an order's lines, three plain ones above them: text, an indent, a quotation, a table's row of three boxes that overlap in steps, one set in below it, a footer."""
     n = F.col("n")
     top = 700.0 - 13 * n - F.when((n >= 2) & (F.col("doc_id") % 2 == 0), 30).otherwise(0)
     said = F.concat(F.lit("part "), "part")
@@ -53,6 +53,8 @@ def layout_blocks(spark: SparkSession, d: str) -> DataFrame:
     box = lambda text, left, right, shift: F.struct(text.alias("text"), left.alias("left"), right.alias("right"), (top - shift).alias("top"), (top - 10 - shift).alias("bottom"), font.alias("font"))
     own = F.when(n == 5, F.array(box(said, F.lit(72.0), F.lit(200.0), 0), box(F.lit("b"), F.lit(250.0), F.lit(300.0), -1.5), box(F.lit("c"), F.lit(400.0), F.lit(523.0), -2.5))).otherwise(F.array(box(said, left, F.lit(523.0), 0)))
     boxed = _numbered(spark, d).select("doc_id", F.lit(0).alias("page"), F.explode(own).alias("x")).select("doc_id", "page", "x.*")
+    head = boxed.select("doc_id", "page").distinct().select("doc_id", "page", F.lit("head").alias("text"), F.lit(72.0).alias("left"), F.lit(523.0).alias("right"), F.explode(F.array(F.lit(800.0), F.lit(787.0), F.lit(774.0))).alias("top"))
+    boxed = boxed.unionByName(head.withColumn("bottom", F.col("top") - 10).withColumn("font", F.lit(12.0)))
     return layout.blocks(layout.states(layout.rows(boxed))).select("doc_id", F.col("block").cast("long").alias("block"), "state", "text", F.col("n_lines").cast("long").alias("n_lines"))
 
 
@@ -124,8 +126,10 @@ ORACLES = {
     "line_flags": f"SELECT doc_id, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS line_no, n % 2 = 0 AS left_al, n % 2 = 1 AS right_al, false AS center, false AS indent, false AS \"full\" FROM {NUMBERED}",
     "superscripts": f"SELECT doc_id, n FROM {NUMBERED} WHERE n = 5 AND doc_id IN (SELECT doc_id FROM {NUMBERED} GROUP BY 1 HAVING count(*) >= 4)",
     "layout_rows": f"SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS \"row\", text, n_boxes FROM (SELECT doc_id, n // 2 AS k, string_agg('part ' || part, ' ' ORDER BY n) AS text, count(*) AS n_boxes FROM {NUMBERED} GROUP BY 1, 2)",
-    "layout_blocks": f"""WITH l AS (SELECT doc_id, n, 'part ' || part || CASE WHEN n = 5 THEN ' b c' ELSE '' END AS t, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END WHEN n = 6 THEN 4 ELSE n - 1 END AS g FROM {NUMBERED})
-SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS block, CASE g WHEN 2 THEN 'indent' WHEN 3 THEN 'quote' WHEN 4 THEN 'table' WHEN 6 THEN 'footer' ELSE 'paragraph' END AS state, CASE g WHEN 4 THEN string_agg(t, chr(10) ORDER BY n) ELSE string_agg(t, ' ' ORDER BY n) END AS text, count(*) AS n_lines FROM l GROUP BY doc_id, g""",
+    "layout_blocks": f"""WITH l AS (SELECT doc_id, n, 'part ' || part || CASE WHEN n = 5 THEN ' b c' ELSE '' END AS t, CASE WHEN n = 2 THEN CASE WHEN doc_id % 2 = 0 OR NOT bool_or(n = 1) OVER doc THEN 2 ELSE 1 END WHEN n = 6 THEN CASE WHEN bool_or(n = 5) OVER doc THEN 5 ELSE 6 END ELSE n END AS g FROM {NUMBERED} WINDOW doc AS (PARTITION BY doc_id)),
+h AS (SELECT DISTINCT doc_id FROM l)
+SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY g) AS block, CASE WHEN g IN (3, 6) THEN 'indent' WHEN g = 4 THEN 'quote' WHEN g = 5 THEN 'table' WHEN g = 7 THEN 'footer' ELSE 'paragraph' END AS state, CASE g WHEN 5 THEN string_agg(t, chr(10) ORDER BY n) ELSE string_agg(t, ' ' ORDER BY n) END AS text, count(*) AS n_lines FROM l GROUP BY doc_id, g
+UNION ALL SELECT doc_id, 0, 'paragraph', 'head head head', 3 FROM h""",
     "layout_paragraphs": f"""SELECT doc_id, CAST(n // 3 AS INT) AS para, string_agg(coalesce('part ' || part, '-'), ' ' ORDER BY n) AS text FROM (SELECT DISTINCT doc_id FROM {NUMBERED}) CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INT) AS n) LEFT JOIN {NUMBERED} AS x USING (doc_id, n) GROUP BY 1, 2""",
     "layout_footnotes": f"SELECT doc_id, n AS key, 'part ' || part || (CASE WHEN n % 2 = 0 THEN ' and more' ELSE '' END) AS text FROM {NUMBERED}",
     "contents_table": f"SELECT doc_id, 'Part ' || part || (CASE WHEN n % 3 = 0 THEN ' begins and on' ELSE '' END) AS title, n AS number, n % 2 = 0 AS minor FROM {NUMBERED}",
