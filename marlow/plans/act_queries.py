@@ -9,7 +9,7 @@ from ..api import full_view
 from ..functions import scalars as fn
 from ..functions import render, xmljson
 from ..functions.stemmer import stems_sql
-from ..operators import annotate, index, links, refresh, tree
+from ..operators import annotate, index, links, paths, refresh, tree
 from ..sources import documents as src
 from ..store import materialise
 from .acts import SECTIONS, acts
@@ -37,6 +37,24 @@ def path_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.join(nodes.select("doc_id", F.col("pre").alias("target"), "node_id"), ["doc_id", "target"], "left").select("doc_id", "path", "node_id")
 
 
+def found_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs, ranges of paragraphs and of sections of every act, and paths of no node, by joins with the stored index of paths."""
+    nodes = _nodes(spark, d)
+    own = nodes.filter("tag = 'prov'").select("doc_id", "label")
+    after = F.concat(F.lit("s "), "label", F.lit("-"), (F.col("label").cast("long") + 1).cast("string"))
+    asked = own.select("doc_id", F.explode(F.array(F.concat(F.lit("s "), "label", F.lit("(1)(b)")), F.concat(F.lit("section "), "label", F.lit("(1)(a)-(b)")), after, F.lit("s 99999"), F.lit("sch 1"))).alias("path"))
+    found = paths.find(nodes, asked, paths.index(nodes))
+    return found.join(nodes.select("doc_id", F.col("pre").alias("target"), "node_id"), ["doc_id", "target"], "left").select("doc_id", "path", "node_id")
+
+
+def linked_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Each link with the node that its text names in its target, or that of its id where the text names none."""
+    nodes = _nodes(spark, d)
+    own = tree.references(nodes, tree.id_registry(nodes)).select("source", "node_id", "target", F.when(F.col("source") % 3 == 0, "its meaning").otherwise(F.concat("link_text", F.lit("(1)(a)"))).alias("link_text"))
+    named = nodes.select(F.col("doc_id").alias("target"), F.col("pre").alias("target_pre"), F.col("node_id").alias("found"))
+    return paths.resolve(own, nodes).join(named, ["target", "target_pre"], "left").select("source", "node_id", "link_text", "found")
+
+
 def node_paths(spark: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(spark, d)
     wanted = nodes.filter("tag in ('prov', 'label-para')").select("doc_id", F.col("pre").alias("target"))
@@ -273,7 +291,7 @@ def rendered_locations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    contents_html, rendered_locations, full_views, node_table, path_lookup, node_paths, culled_tree, tree_prefix, document_outline, nested_outline, document_parts, document_fragments, document_skeleton, node_citations, root_dates, node_references, resolved_links,
+    contents_html, rendered_locations, full_views, node_table, path_lookup, found_paths, linked_sections, node_paths, culled_tree, tree_prefix, document_outline, nested_outline, document_parts, document_fragments, document_skeleton, node_citations, root_dates, node_references, resolved_links,
     refreshed_links, link_tables, batch_analysis, shortcut_titles, best_definition, nodes_holding, scoped_definitions, annotated_terms, rendered_definitions, inherited_definitions, new_title_definitions, instrument_rows, tree_json, same_trees,
     index_terms, index_search, cover_density, refreshed_index, index_projection, string_helpers, style_pixels,
 )}
@@ -296,6 +314,10 @@ UNION ALL SELECT 'D' || c, 'def-para', NULL, 6 FROM {DOCS} UNION ALL SELECT 'T'
 UNION ALL SELECT 'L' || o, 'label-para', 'a', 6 FROM {S} UNION ALL SELECT 'M' || o, 'label-para', 'b', 6 FROM {S}""",
     "path_lookup": f"""SELECT c AS doc_id, 's ' || r || '(1)(b)' AS path, 'M' || o AS node_id FROM {S} UNION ALL SELECT c, 'section ' || r || '(1)(a)-(b)', 'L' || o FROM {S}
 UNION ALL SELECT c, 'section ' || r || '(1)(a)-(b)', 'M' || o FROM {S} UNION ALL SELECT c, 's 99999', NULL FROM {DOCS}""",
+    "found_paths": f"""SELECT c AS doc_id, 's ' || r || '(1)(b)' AS path, 'M' || o AS node_id FROM {S} UNION ALL SELECT c, 'section ' || r || '(1)(a)-(b)', unnest(['L' || o, 'M' || o]) FROM {S} UNION ALL SELECT DISTINCT c, unnest(['s 99999', 'sch 1']), NULL FROM {DOCS}
+UNION ALL SELECT c, 's ' || r || '-' || (r + 1), CASE WHEN x IS NOT NULL THEN unnest(['S' || o, 'S' || x]) END FROM (SELECT *, lead(o) OVER (PARTITION BY c ORDER BY r) AS x FROM {S}) WHERE x IS NOT NULL
+UNION ALL SELECT c, 's ' || max(r) || '-' || (max(r) + 1), NULL FROM {S} GROUP BY c""",
+    "linked_sections": f"SELECT a.c AS source, 'S' || a.prev AS node_id, CASE WHEN a.c % 3 = 0 THEN 'its meaning' ELSE 'section ' || (a.r - 1) || '(1)(a)' END AS link_text, CASE WHEN a.c % 3 = 0 THEN 'S' ELSE 'L' END || a.prev AS found FROM {S} a WHERE a.prev IS NOT NULL",
     "node_paths": f"SELECT 'S' || o AS node_id, 's ' || r AS path FROM {S} UNION ALL SELECT 'L' || o, 's ' || r || '(1)(a)' FROM {S} UNION ALL SELECT 'M' || o, 's ' || r || '(1)(b)' FROM {S}",
     "culled_tree": f"SELECT unnest(['A' || c, 'B' || c, 'S' || o, 'U' || o, 'M' || o]) AS node_id, unnest([false, false, false, false, true]) AS current FROM {S} WHERE r = 1",
     "tree_prefix": f"SELECT c AS doc_id, CAST(unnest(range(0, 9)) AS INT) AS pre, unnest(['act', 'cover', 'title', 'body', 'prov', 'label', 'heading', 'prov.body', 'subprov']) AS tag FROM {DOCS}",
