@@ -11,48 +11,30 @@ from pyspark.sql import types as T
 from ..functions.citation import word_forms_udf
 from ..store import materialise
 
-#: Opening phrases, the scope they give and its priority.
-SCOPES = [("in an enactment", "root", 100), ("in this act", "root", 50), ("in these regulations", "root", 50), ("in this part", "part", 0), ("in this subpart", "subpart", 0), ("in the formula", "prov", 0)]
-WITHIN = [(("in subsection", "of subsection", "in subclause"), "prov"), (("this section", "in this clause"), "prov"), (("in schedule", "in this schedule"), "schedule"), (("in this subpart", "purposes of this subpart"), "subpart"), (("in this part", "purposes of this part"), "part")]
+#: Elements whose terms are no definitions.
 NOT_TERMS = {"skeleton", "history-note", "table", "amend", "schedule.amendments"}
 
 
-def scope_of(opening: Column) -> Column:
-    """struct(scope, priority) of a definition by the phrase that opens its provision."""
-    low = F.lower(F.coalesce(opening, F.lit("")))
-    out = F.when(F.contains(low, F.lit("in an enactment passed or made before the commencement of this act")), F.struct(F.lit("maxdate").alias("scope"), F.lit(0).alias("priority")))
-    for phrase, scope, priority in SCOPES:
-        out = out.when(low.startswith(phrase), F.struct(F.lit(scope).alias("scope"), F.lit(priority).alias("priority")))
-    for phrases, scope in WITHIN:
-        hit = F.lit(False)
-        for p in phrases:
-            hit = hit | F.contains(low, F.lit(p))
-        out = out.when(hit, F.struct(F.lit(scope).alias("scope"), F.lit(0).alias("priority")))
-    return out.otherwise(F.struct(F.lit("root").alias("scope"), F.lit(0).alias("priority")))
-
-
 def extract(nodes: DataFrame) -> DataFrame:
-    """(doc_id, id, pre, term, forms, exclusive, priority, lo, hi): every defined term and where it holds.
+    """(doc_id, id, pre, term, forms, exclusive, priority, spans): every defined term and the intervals where it holds.
 
     Terms in notes, tables and amendments, in a lettered paragraph of another definition, of one letter,
     or in square brackets are no definitions.
     """
+    from . import scopes
     from .tree import ancestors, without
 
     clean = without(nodes, NOT_TERMS)
     tags = F.array_join("above.tag", " ")
     terms = clean.filter("tag = 'def-term'").filter(~tags.rlike(r"\bdef-para\b.* label-para\b")).filter((F.length("string_value") > 1) & ~F.col("string_value").startswith("["))
     terms = terms.select("doc_id", F.col("pre").alias("target"), F.col("string_value").alias("term"))
-    ups = ancestors(nodes, terms)
-    para = ups.filter("tag in ('para', 'def-para')").groupBy("doc_id", "target", "term").agg(F.min_by("pre", "depth").alias("outer"), F.max_by("string_value", "depth").alias("whole"))
+    paras = ancestors(nodes, terms).filter("tag in ('para', 'def-para')").groupBy("doc_id", "target", "term").agg(F.min_by("pre", "depth").alias("outer"), F.max_by("string_value", "depth").alias("whole"))
     openings = nodes.filter("tag = 'text'").select("doc_id", F.col("parent").alias("outer"), F.col("pre").alias("at"), F.col("string_value").alias("opening"))
-    opening = para.join(openings, ["doc_id", "outer"], "left").groupBy("doc_id", "target", "term", "whole").agg(F.min_by("opening", "at").alias("opening"))
-    scoped = opening.withColumn("s", scope_of(F.col("opening"))).select("doc_id", "target", "term", "whole", "s.scope", "s.priority")
-    holder = ups.select("doc_id", "target", "tag", "pre", "last", "depth").join(scoped.select("doc_id", "target", "scope"), ["doc_id", "target"]).filter("tag = scope").groupBy("doc_id", "target").agg(F.max_by("pre", "depth").alias("lo"), F.max_by("last", "depth").alias("hi"))
-    ends = nodes.groupBy("doc_id").agg(F.max("last").alias("end"))
-    out = scoped.join(holder, ["doc_id", "target"], "left").join(ends, "doc_id")
+    opening = paras.join(openings, ["doc_id", "outer"], "left").groupBy("doc_id", "target", "outer", "term", "whole").agg(F.min_by("opening", "at").alias("opening"))
+    opened = materialise(opening.withColumn("s", scopes.said(F.col("opening"))).select("doc_id", "target", "outer", "term", "whole", "s.*"), "definitions")
     named = nodes.select("doc_id", F.col("pre").alias("target"), F.col("node_id").alias("id"))
-    return out.join(named, ["doc_id", "target"]).select("doc_id", "id", F.col("target").alias("pre"), "term", word_forms_udf("term").alias("forms"), F.col("whole").rlike(r"(?i)\bmeans\b").alias("exclusive"), "priority", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.col("end")).alias("hi"))
+    out = opened.join(scopes.spans(nodes, opened), ["doc_id", "target"]).join(named, ["doc_id", "target"])
+    return out.select("doc_id", "id", F.col("target").alias("pre"), "term", word_forms_udf("term").alias("forms"), F.col("whole").rlike(r"(?i)\bmeans\b").alias("exclusive"), "priority", "spans")
 
 
 #: A dictionary's first words are broadcast up to so many rows, counted before; more of them meet the texts in a salted join.
@@ -121,19 +103,19 @@ NOT_ANNOTATED = {"def-term", "heading", "label", "link", "history-note", "skelet
 def annotate(nodes: DataFrame, definitions: DataFrame) -> DataFrame:
     """(doc_id, pre, start, said, ids, other_ids): defined terms in the texts where they hold, with the definitions meant.
 
-    ``definitions``: doc_id, id, pre (of the term, 0 where another document defines it), forms, exclusive,
-    priority, lo, hi. A definition holds in the texts of its document within lo and hi, its own
-    paragraph left out by the caller if need be. Of the forms that a word is looked up under the first
+    ``definitions``: doc_id, id, pre (of the term; not above 0 where another document defines it), forms,
+    exclusive, priority, spans. A definition holds in the texts of its document within its spans (lo, hi),
+    its own paragraph left out by the caller if need be. Of the forms that a word is looked up under the first
     one that any definition has counts; its definitions go most binding first, then newest, and those
     behind the first exclusive one are the other ids.
     """
     from .tree import within
 
     texts = nodes.filter((F.col("text") != "") & ~within(NOT_ANNOTATED)).select("doc_id", "pre", "text")
-    forms = materialise(definitions.select("doc_id", "id", F.col("pre").alias("of"), F.explode("forms").alias("form"), "exclusive", "priority", "lo", "hi"), "forms")
+    forms = materialise(definitions.select("doc_id", "id", F.col("pre").alias("of"), F.explode("forms").alias("form"), "exclusive", "priority", "spans"), "forms")
     hits = occurrences(texts, forms.select("form").distinct(), ["doc_id", "pre"], "text", "form", ignore_case=True)
     said = hits.select("doc_id", "pre", "start", "said").distinct().select("*", F.posexplode(lookup_keys(F.col("said"))).alias("rank", "form"))
-    held = said.join(forms, ["doc_id", "form"]).filter("lo <= pre and pre <= hi")
+    held = said.join(forms.select("doc_id", "of", "form", "id", "exclusive", "priority", F.inline("spans")), ["doc_id", "form"]).filter("lo <= pre and pre <= hi")
     first = held.groupBy("doc_id", "pre", "start", "said").agg(F.min("rank").alias("rank"))
     meant = held.join(first, ["doc_id", "pre", "start", "said", "rank"]).groupBy("doc_id", "pre", "start", "said").agg(F.array_sort(F.collect_set(F.struct((-F.col("priority")).alias("p"), (-F.col("of")).alias("o"), "id", "exclusive"))).alias("ds"))
     split = split_exclusive(F.transform("ds", lambda x: x["id"]), F.transform("ds", lambda x: x["exclusive"]))
@@ -172,6 +154,30 @@ def inherited(definitions: DataFrame, edges: DataFrame, dates: DataFrame) -> Dat
     return expired(out, dates.withColumnRenamed("doc_id", "holder"), "holder") if "maxdate" in definitions.columns else out
 
 
+def passed_down(definitions: DataFrame, edges: DataFrame, nodes: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Definitions as ``annotate`` takes them: those of each document, and those that it has from all above it, in all of its texts.
+
+    ``edges``: child, parent, without cycles. What documents above say for the whole of themselves comes
+    down, through those in between that say nothing too; of equal priority a document's own goes first,
+    then the nearest above. A document need not wait for those above it: what comes down does not
+    depend on how they are annotated, so ways up are found by doubling and all texts are annotated at
+    once. With ``maxdate`` among the columns, a dated definition comes down only to documents assented
+    before it (``dates``: doc_id, assent).
+    """
+    from .graph import walk_up
+
+    columns = ["doc_id", "id", "pre", "forms", "exclusive", "priority", "spans"]
+    roots = nodes.filter("pre = 0").select(F.col("doc_id").alias("holder"), F.col("last").alias("end"))
+    ways = walk_up(edges, roots.select(F.col("holder").alias("start"))).filter("depth > 0").groupBy(F.col("start").alias("holder"), F.col("node").alias("doc_id")).agg(F.min("depth").alias("near"))
+    general = definitions.filter(F.exists("spans", lambda x: x["lo"] == 0)).drop("spans", "pre")
+    more = general.join(ways, "doc_id").join(roots, "holder")
+    if "maxdate" in definitions.columns:
+        known = dates.select(F.col("doc_id").alias("holder"), "assent")
+        more = more.join(known, "holder", "left").filter("maxdate is null or assent < maxdate")
+    spans = F.array(F.struct(F.lit(0).alias("lo"), F.col("end").alias("hi")))
+    return definitions.select(*columns).unionByName(more.drop("doc_id").select(F.col("holder").alias("doc_id"), "id", (-F.col("near")).cast("int").alias("pre"), "forms", "exclusive", "priority", spans.alias("spans")))
+
+
 def expired(definitions: DataFrame, dates: DataFrame, on: str) -> DataFrame:
     """``maxdate`` stays where the document was assented before it and is null elsewhere. ``dates``: on, assent."""
     known = definitions.join(dates, on, "left")

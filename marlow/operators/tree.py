@@ -2,7 +2,7 @@
 
 A document becomes one row per element: ``pre`` (place in document order), ``last`` (place of its last
 descendant), parent, depth, tag, id, label, own text and whole text, its pieces set apart by blanks, and
-``above``, the places and names of its ancestors from the root to itself. Ancestors are then an explode,
+``above``, the places and names of its ancestors from the root to itself; ``href`` is a link's, or that of the pair in it. Ancestors are then an explode,
 what lies within an element of some name a test of one row, the nearest of several nodes the least
 depth, a range an interval of ``pre``, and pruning a semi join, all of which Catalyst plans; only
 parsing and the path grammar are Python, in Arrow batches.
@@ -51,8 +51,9 @@ def parse(xml: str | None) -> list[dict]:
         element, parent, depth = top
         pre = len(out)
         child = next((c for c in element if isinstance(c.tag, str) and _tag(c) == "label"), None)
+        pair = next((c.get("targetXmlId") for c in element if isinstance(c.tag, str) and _tag(c) == "resourcepair"), None)
         over = out[parent]["above"] if parent >= 0 else []
-        out.append({"above": [*over, {"pre": pre, "tag": _tag(element)}], "pre": pre, "last": pre, "parent": parent, "depth": depth, "tag": _tag(element), "node_id": element.get("id"), "label": norm_label("".join(child.itertext())) if child is not None else None, "text": (element.text or "").strip(), "string_value": re.sub(r"\s+", " ", " ".join(element.itertext())).strip(), "href": element.get("href")})
+        out.append({"above": [*over, {"pre": pre, "tag": _tag(element)}], "pre": pre, "last": pre, "parent": parent, "depth": depth, "tag": _tag(element), "node_id": element.get("id"), "label": norm_label("".join(child.itertext())) if child is not None else None, "text": (element.text or "").strip(), "string_value": re.sub(r"\s+", " ", " ".join(element.itertext())).strip(), "href": element.get("href") or pair})
         stack.append(pre)
         stack.extend((c, pre, depth + 1) for c in reversed(element) if isinstance(c.tag, str))
     return out

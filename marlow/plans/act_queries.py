@@ -12,7 +12,7 @@ from ..functions.stemmer import stems_sql
 from ..operators import annotate, index, links, paths, refresh, tree
 from ..sources import documents as src
 from ..store import materialise
-from .acts import SECTIONS, acts
+from .acts import SECTIONS, acts, scoped_acts
 from .relational_queries import t
 
 
@@ -189,6 +189,21 @@ def annotated_terms(spark: SparkSession, d: str) -> DataFrame:
     return annotate.annotate(nodes, annotate.extract(nodes)).select("doc_id", "start", "said", "ids", "other_ids")
 
 
+def scoped_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that hold in a part, and in two named sections but not between them."""
+    nodes = materialise(tree.node_table(scoped_acts(spark, d), "doc_id", "xml"), "nodes")
+    hits = annotate.annotate(nodes, annotate.extract(nodes))
+    return hits.join(nodes.select("doc_id", "pre", "node_id"), ["doc_id", "pre"]).select("doc_id", "node_id", "start", "said", "ids")
+
+
+def inherited_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of each act by its own definitions and those of all acts above it, the nearest first."""
+    nodes = _nodes(spark, d)
+    edges = t(spark, d, "customer").select(F.col("c_custkey").alias("child"), F.expr("nullif(c_custkey div 2, 0)").alias("parent"))
+    held = annotate.passed_down(annotate.extract(nodes), edges, nodes)
+    return annotate.annotate(nodes, held).select("doc_id", "start", "said", "ids", "other_ids")
+
+
 def rendered_definitions(spark: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(spark, d)
     return annotate.rendered(nodes, annotate.extract(nodes), _titles(spark, d)).select("doc_id", "id", "full_word", "html", "priority")
@@ -292,7 +307,7 @@ def rendered_locations(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     contents_html, rendered_locations, full_views, node_table, path_lookup, found_paths, linked_sections, node_paths, culled_tree, tree_prefix, document_outline, nested_outline, document_parts, document_fragments, document_skeleton, node_citations, root_dates, node_references, resolved_links,
-    refreshed_links, link_tables, batch_analysis, shortcut_titles, best_definition, nodes_holding, scoped_definitions, annotated_terms, rendered_definitions, inherited_definitions, new_title_definitions, instrument_rows, tree_json, same_trees,
+    refreshed_links, link_tables, batch_analysis, shortcut_titles, best_definition, nodes_holding, scoped_definitions, annotated_terms, scoped_terms, inherited_terms, rendered_definitions, inherited_definitions, new_title_definitions, instrument_rows, tree_json, same_trees,
     index_terms, index_search, cover_density, refreshed_index, index_projection, string_helpers, style_pixels,
 )}
 
@@ -346,6 +361,13 @@ SELECT 'hierarchy', up.c, up.p, '' FROM up LEFT JOIN up o ON o.c = up.p AND o.p
     "nodes_holding": f"SELECT unnest(['A' || c, 'B' || c, 'S' || o, 'U' || o, 'M' || o]) AS node_id FROM {S} WHERE r = 1",
     "scoped_definitions": f"SELECT c AS doc_id, 'T' || c AS id, segment || ' ship' AS term, segment || ' ship|' || segment || ' ships' AS forms, c % 2 = 0 AS exclusive, CAST(50 AS INT) AS priority FROM {DOCS}",
     "annotated_terms": f"SELECT c AS doc_id, CAST(4 AS INT) AS start, segment || ' ship' AS said, 'T' || c AS ids, '' AS other_ids FROM {S}",
+    "scoped_terms": f"""WITH s AS (SELECT *, max(r) OVER (PARTITION BY c) AS n FROM {S})
+SELECT c AS doc_id, 'X' || o AS node_id, CAST(4 AS INT) AS start, segment || ' ship' AS said, 'T' || min(o) OVER (PARTITION BY c, (r - 1) // 3) AS ids FROM s
+UNION ALL SELECT c, 'X' || o, 8, 'fast vessel', 'F' || c FROM s WHERE n >= 4 AND r IN (2, 4)""",
+    "inherited_terms": f"""WITH h AS (SELECT a.c, 0 AS near, a.c AS of FROM {DOCS} a UNION ALL SELECT a.c, k, b.c FROM {DOCS} a, range(1, 40) u(k), {DOCS} b WHERE b.c > 0 AND b.c = a.c // (1 << k) AND a.segment = b.segment),
+x AS (SELECT c, near, of, coalesce(bool_or(of % 2 = 0) OVER (PARTITION BY c ORDER BY near ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS behind FROM h),
+i AS (SELECT c, string_agg('T' || of, ';' ORDER BY near) FILTER (NOT behind) AS ids, coalesce(string_agg('T' || of, ';' ORDER BY near) FILTER (behind), '') AS other_ids FROM x GROUP BY 1)
+SELECT c AS doc_id, CAST(4 AS INT) AS start, segment || ' ship' AS said, ids, other_ids FROM {S} JOIN i USING (c)""",
     "rendered_definitions": f"SELECT c AS doc_id, 'T' || c AS id, segment || ' ship' AS full_word, {HTML} AS html, CAST(50 AS INT) AS priority FROM {DOCS}",
     "inherited_definitions": f"""WITH RECURSIVE e AS (SELECT c_custkey AS child, nullif(c_custkey // 2, 0) AS parent FROM customer), up(holder, doc) AS (SELECT child, parent FROM e WHERE parent IS NOT NULL UNION SELECT up.holder, e.parent FROM up JOIN e ON e.child = up.doc WHERE e.parent IS NOT NULL),
 h AS (SELECT c AS holder, c AS doc, false AS from_above FROM {DOCS} UNION ALL SELECT holder, doc, true FROM up WHERE doc IN (SELECT c FROM {DOCS}))

@@ -50,6 +50,20 @@ def acts(spark: SparkSession, d: str) -> DataFrame:
     return whole.select(F.col("c").alias("doc_id"), F.concat(_text('<act id="A{c}" year="1993" date.assent="1993-07-01"><cover><title>{name}</title></cover><body id="B{c}">'), "body", F.lit("</body></act>")).alias("xml"))
 
 
+def scoped_acts(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, xml: acts of parts of three sections; each part defines a term for itself, and the first section one for sections 2 and 4 where there are four, by two links or by one."""
+    rows = sections(spark, d).withColumns({"k": F.floor((F.col("r") - 1) / 3) + 1, "n": F.max("r").over(W.partitionBy("c")), "o2": F.max(F.when(F.col("r") == 2, F.col("o"))).over(W.partitionBy("c")), "o4": F.max(F.when(F.col("r") == 4, F.col("o"))).over(W.partitionBy("c"))})
+    ours = _text('<subprov id="U{o}"><label>1</label><para><text>In this Part,</text><def-para><para><text><def-term id="T{o}">{segment} ship</def-term> means a boat</text></para></def-para></para></subprov>')
+    links = F.when(F.col("c") % 2 == 0, _text('<link href="S{o2}">section 2</link> and <intref>section 4<resourcepair targetXmlId="S{o4}"/></intref>')).otherwise(_text('<link href="S{o2}">sections 2 and 4</link>'))
+    theirs = F.concat(_text('<subprov id="V{o}"><label>2</label><para><text>For the purposes of '), links, _text(',</text><def-para><para><text><def-term id="F{c}">fast vessel</def-term> means a boat</text></para></def-para></para></subprov>'))
+    body = F.concat(
+        F.when((F.col("r") - 1) % 3 == 0, _text('<part id="P{o}"><label>{k}</label>')).otherwise(""), _text('<prov id="S{o}"><label>{r}</label><prov.body>'), F.when((F.col("r") - 1) % 3 == 0, ours).otherwise(""), F.when((F.col("r") == 1) & (F.col("n") >= 4), theirs).otherwise(""),
+        _text('<subprov id="W{o}"><label>3</label><para><text id="X{o}">order {o} of a {segment} ship or a fast vessel</text></para></subprov></prov.body></prov>'), F.when((F.col("r") % 3 == 0) | (F.col("r") == F.col("n")), "</part>").otherwise(""),
+    )
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", body.alias("x")))), lambda x: x["x"]), "")
+    return rows.groupBy("c").agg(parts.alias("body")).select(F.col("c").alias("doc_id"), F.concat(_text('<act id="A{c}"><body id="B{c}">'), "body", F.lit("</body></act>")).alias("xml"))
+
+
 def judgment_lines(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, line_no, text: a judgment per customer with orders, two lines an order."""
     rows = sections(spark, d).join(t(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("land")), "nation")

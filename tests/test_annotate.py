@@ -38,6 +38,54 @@ def test_annotation_within_scope(nodes):
     assert [(r.said, r.ids) for r in got] == [("Ships", "T2"), ("port dues", "T1"), ("Ship's", "T2")]  # nothing outside the part
 
 
+NAMED = """<act id="A"><body id="B"><part id="P"><label>1</label><prov id="S1"><label>1</label><prov.body><subprov id="U1"><label>1</label><para><text>{}</text>
+<def-para><para><text><def-term id="T">ship</def-term> means a boat, see <link href="S3">section 3</link></text></para></def-para></para></subprov></prov.body></prov>
+<prov id="S2"><label>2</label><prov.body><subprov id="U2"><label>1</label><para><text id="X2">a ship</text></para></subprov></prov.body></prov><prov id="S3"><label>3</label><prov.body><subprov id="U3"><label>1</label><para><text id="X3">a ship</text></para></subprov></prov.body></prov></part>
+<prov id="S4"><label>4</label><prov.body><subprov id="U4"><label>1</label><para><text id="X4">a ship</text></para></subprov></prov.body></prov><prov id="S5"><label>5</label><prov.body><subprov id="U5"><label>1</label><para><text id="X5">a ship</text></para></subprov></prov.body></prov></body></act>"""
+
+
+OPENINGS = [
+    ('For the purposes of <link href="S2">section 2</link> and <link href="S4">section 4</link>,', "X2 X4"),
+    ('In <link href="S2">sections 2 and 4</link>,', "X2 X4"),
+    ('By <link href="S2">sections 2 and 4</link>,', "X2 X3 X4 X5"),  # no phrase that names sections
+    ('For the purposes of <link href="S2">sections 2 and 4</link>,', "X2 X4"),
+    ('For the purposes of <link href="S2">sections 2 to 4</link>,', "X2 X3 X4"),
+    ('For the purposes of <citation><intref>section 5<resourcepair targetXmlId="S5"/></intref></citation> and this Part, in this Part,', "X2 X3 X5"),
+    ('For the purposes of <link href="S3">section 3</link>, in this Part,', "X2 X3"),  # one within the other
+    ('For the purposes of <link href="Z9">section 2</link>,', ""),  # in another document
+    ("For the purposes of all sections,", "X2 X3 X4 X5"),
+    ("In this section, for the purposes of ships,", ""),
+    ("In this schedule,", "X2 X3 X4 X5"),  # there is none around it
+    ("", "X2 X3 X4 X5"),
+]
+
+
+def test_scopes_by_sections_named(spark):
+    docs = [(i, NAMED.format(opening)) for i, (opening, _) in enumerate(OPENINGS)]
+    own = tree.node_table(spark.createDataFrame(docs, "doc_id long, xml string"), "doc_id", "xml").cache()
+    found = annotate.extract(own).cache()
+    for row in found.collect():
+        assert all(a.hi < b.lo for a, b in zip(row.spans, row.spans[1:], strict=False))
+    hits = annotate.annotate(own, found).join(own, ["doc_id", "pre"]).filter("node_id is not null").collect()
+    got = {i: " ".join(sorted(r.node_id for r in hits if r.doc_id == i)) for i in range(len(docs))}
+    assert got == {i: where for i, (_, where) in enumerate(OPENINGS)}
+
+
+def test_terms_come_down_through_acts_in_between(spark):
+    act = lambda i, opening, term, text: (i, f'<act id="A{i}"><body><para><text>{opening}</text><def-para><para><text><def-term id="T{i}">{term}</def-term> includes boats</text></para></def-para></para><text id="X{i}">{text}</text></body></act>')
+    rows = [act(1, "In this Act,", "ship", "a ship"), act(2, "In this Act,", "dues", "a ship"), act(3, "In this Act,", "ship", "a ship and dues"), act(4, "In this Act,", "tolls", "a ship, dues and tolls"), (5, None)]
+    own = tree.node_table(spark.createDataFrame(rows, "doc_id long, xml string"), "doc_id", "xml").cache()
+    edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 2), (5, 1)], "child long, parent long")
+    held = annotate.passed_down(annotate.extract(own), edges, own)
+    hits = annotate.annotate(own, held).join(own.filter("node_id is not null"), ["doc_id", "pre"])
+    assert sorted((r.doc_id, r.said, r.ids) for r in hits.collect()) == [(1, "ship", "T1"), (2, "ship", "T1"), (3, "dues", "T2"), (3, "ship", "T3;T1"), (4, "dues", "T2"), (4, "ship", "T1"), (4, "tolls", "T4")]
+    day = datetime.date
+    dated = annotate.extract(own).withColumn("maxdate", F.when(F.col("doc_id") == 1, F.lit(day(2000, 1, 1))))
+    dates = spark.createDataFrame([(2, day(1990, 1, 1)), (3, day(2010, 1, 1)), (4, None)], "doc_id long, assent date")
+    got = annotate.passed_down(dated, edges, own, dates).filter("id = 'T1'")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2]
+
+
 def test_exclusive_and_priority(nodes):
     base = annotate.extract(nodes).filter("id = 'T2'")
     twice = base.unionByName(base.withColumns({"id": F.lit("X"), "priority": F.lit(100), "exclusive": F.lit(True)}))
