@@ -173,6 +173,7 @@ def test_bpe(spark, docs, texts, none, path):
     want = {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
     for bound in (2, 1 << 19):  # a table with no room, and one with room for all
         got = bpe.bpe_decode(bpe.bpe_encode(docs, path, table_words=bound), path).collect()
+        assert sorted(bpe.bpe_both(docs, path, table_words=bound).collect(), key=str) == sorted(got, key=str)
         assert {r.doc_id: r.ids for r in got} == want
         assert {r.doc_id: r.decoded for r in got} == {i: tokenizer.decode(ids, skip_special_tokens=False) for i, ids in want.items()}
     assert bpe.bpe_encode(none, path).count() == 0
