@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import citation
 from ..functions import scalars as fn
 from ..functions.stemmer import stems_sql
+from ..operators import highlight
 from ..operators import text as tx
 from ..sources import documents
 from .relational_queries import t
@@ -94,6 +95,24 @@ def text_fragments(spark: SparkSession, d: str) -> DataFrame:
     return own.select("p_partkey", F.element_at("f", 1).alias("fragment"))
 
 
+#: By stem, by beginning, and as phrases, two of which can overlap.
+SOUGHT = 'ering menton* "of the" "the that"'
+
+
+def highlighted_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text whole, with the hits marked."""
+    docs = _docs(spark, d)
+    hits = highlight.spans(highlight.offsets(docs, "doc_id", "text"), SOUGHT)
+    return highlight.marked(docs, "doc_id", "text", hits).select(F.col("id").alias("doc_id"), "marks", F.md5("marked").alias("marked"))
+
+
+def hit_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches of every text with most hits."""
+    docs = _docs(spark, d)
+    hits = highlight.spans(highlight.offsets(docs, "doc_id", "text"), SOUGHT)
+    return highlight.fragments(docs, "doc_id", "text", hits).select(F.col("id").alias("doc_id"), "tile", "fragment")
+
+
 def ranked_search(spark: SparkSession, d: str) -> DataFrame:
     return tx.ranked(_docs(spark, d), "doc_id", {"text": 1.0, "source": 3.0}, "er tion")
 
@@ -222,7 +241,7 @@ def interval_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     contains_all, contains_any, contains_phrase, contains_not, contains_query_string, title_search, year_range, year_list, instrument_filters_reference, instrument_filters_intended, has_child, has_parent,
-    snippet_highlight, text_fragments, ranked_search, stemmed_terms, term_counts, html_text, html_links, link_histogram, fragment_parts, merge_missing_parts, part_search, title_from_html, outline_from_html, edge_grams,
+    snippet_highlight, text_fragments, highlighted_texts, hit_fragments, ranked_search, stemmed_terms, term_counts, html_text, html_links, link_histogram, fragment_parts, merge_missing_parts, part_search, title_from_html, outline_from_html, edge_grams,
     best_by_edit_distance, mode_value, minmax_bounds, date_formats, safe_dates, json_props, map_entries, principal_flag, text_cleaning, text_helpers, location_helpers, interval_gaps,
 )}
 
@@ -232,7 +251,23 @@ FLAGS = "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE lang
 HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
  '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g'))"""
 
+SPANS = rf"""WITH w1 AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS word, generate_subscripts(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), 1) AS place, unnest(list_resize(regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+'), len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')))) AS gap FROM documents),
+w2 AS (SELECT doc_id, place, lower(word) AS term, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY place) AS BIGINT) AS stop, length(word) AS size FROM w1),
+w AS (SELECT doc_id, place, term, stop - size AS start, stop, lead(term) OVER (PARTITION BY doc_id ORDER BY place) AS next, lead(stop) OVER (PARTITION BY doc_id ORDER BY place) AS far FROM w2),
+v AS (SELECT DISTINCT term FROM w WHERE term LIKE 'er%' AND term NOT IN ({', '.join(f"'{x}'" for x in tx.STOP_WORDS)})), st AS (SELECT term FROM ({stems_sql("v")}) WHERE stem = 'er'),
+h AS (SELECT doc_id, start, stop FROM w WHERE term IN (FROM st) OR term LIKE 'menton%' UNION ALL SELECT doc_id, start, far FROM w WHERE (term = 'of' AND next = 'the') OR (term = 'the' AND next = 'that')),
+g AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM h),
+k AS (SELECT *, sum(CASE WHEN start < seen THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS grp FROM g), m AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM k GROUP BY doc_id, grp)"""
+
 ORACLES = {
+    "highlighted_texts": f"""{SPANS}, p AS (SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM m),
+x AS (SELECT doc_id, CAST(count(*) AS INT) AS marks, max(stop) AS last, string_agg(substr(text, before + 1, start - before) || '{tx.MARK[0]}' || substr(text, start + 1, stop - start) || '{tx.MARK[1]}', '' ORDER BY start) AS s FROM p JOIN documents USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, coalesce(marks, 0) AS marks, md5(coalesce(s || substr(text, last + 1), text)) AS marked FROM documents d LEFT JOIN x USING (doc_id)""",
+    "hit_fragments": rf"""{SPANS}, q AS (SELECT doc_id, start // 100 AS tile, count(*) AS hits, greatest(100, max(stop) - (start // 100) * 100) AS size FROM m GROUP BY 1, 2),
+b AS (SELECT doc_id, tile, size, text, CASE WHEN tile > 0 AND regexp_matches(substr(text, tile * 100, 1), '[\p{{L}}\p{{N}}_]') THEN length(regexp_extract(substr(text, tile * 100 + 1, size), '^[\p{{L}}\p{{N}}_]+')) ELSE 0 END AS cut FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, tile) AS rk FROM q) JOIN documents USING (doc_id) WHERE rk <= 5),
+p AS (SELECT b.*, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id, tile ORDER BY start), tile * 100 + cut) AS before FROM b JOIN m USING (doc_id) WHERE m.start // 100 = tile),
+x AS (SELECT doc_id, tile, any_value(text) AS text, max(stop) AS last, any_value(tile * 100 + size) AS until, string_agg(substr(text, before + 1, start - before) || '{tx.MARK[0]}' || substr(text, start + 1, stop - start) || '{tx.MARK[1]}', '' ORDER BY start) AS s FROM p GROUP BY 1, 2)
+SELECT doc_id, tile, s || substr(text, last + 1, until - last) AS fragment FROM x UNION ALL SELECT doc_id, 0, substr(text, 1, 100) FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM m)""",
     "contains_all": f"SELECT doc_id FROM documents WHERE {JOINED} LIKE '% the %' AND {JOINED} LIKE '% of %' AND {JOINED} LIKE '% and %'",
     "contains_any": f"SELECT doc_id FROM documents WHERE {JOINED} LIKE '% mente %' OR {JOINED} LIKE '% oder %' OR {JOINED} LIKE '% und %' OR {JOINED} LIKE '% que %'",
     "contains_phrase": f"SELECT doc_id FROM documents WHERE {JOINED} LIKE '% of the %'",
