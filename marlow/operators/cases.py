@@ -92,6 +92,30 @@ def matters(lines: DataFrame, key: str, place: str, text: str) -> DataFrame:
     return own.groupBy(key, "matter").agg(F.min(place).alias(place), F.first("qualifier").alias("qualifier"), F.trim(value).alias("value")).drop("matter")
 
 
+def matters_and_parties(lines: DataFrame, key: str, place: str, text: str) -> DataFrame:
+    """(key, set, place, kind, label, value, court_file): the matters and parties of an intituling, by set.
+
+    Matters and parties may follow one another several times; a matter after parties opens the next set,
+    so each reading takes up where the other has stopped. A set has the court file on the line before
+    its first matter; where a judgment has no parties, its first set has the first court file of all. What
+    stands from the first numbered paragraph on is no intituling.
+    """
+    order = W.partitionBy(key).orderBy(place)
+    begun = F.max(F.when(F.col(text).rlike(r"^\s*\[\d+\]"), 1).otherwise(0)).over(order)
+    head = lines.select(key, place, text, begun.alias("__begun")).filter("__begun = 0").drop("__begun")
+    found = matters(head, key, place, text).select(key, place, F.lit("matter").alias("kind"), F.col("qualifier").alias("label"), "value")
+    named = party_lines(head, key, place, text).select(key, place, F.lit("party").alias("kind"), F.col("role").alias("label"), F.col("name").alias("value"))
+    each = found.unionByName(named).withColumn("__opens", F.when((F.col("kind") == "matter") & (F.lag("kind").over(order) == "party"), 1).otherwise(0))
+    each = each.withColumn("set", F.sum("__opens").over(order) + 1).drop("__opens")
+    pattern = FIELDS["court_file"]
+    files = head.withColumn("__next", F.lead(place).over(order)).withColumn("file", F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))).filter("file is not null")
+    firsts = each.filter("kind = 'matter'").groupBy(key, "set").agg(F.min(place).alias("__next"))
+    before = firsts.join(files.select(key, "__next", "file"), [key, "__next"]).select(key, "set", "file")
+    lone = files.groupBy(key).agg(F.min_by("file", place).alias("__lone")).join(named.select(key).distinct(), key, "left_anti")
+    out = each.join(before, [key, "set"], "left").join(lone, key, "left")
+    return out.select(key, "set", place, "kind", "label", "value", F.coalesce("file", F.when(F.col("set") == 1, F.col("__lone"))).alias("court_file"))
+
+
 def body_kinds(lines: DataFrame, text: str) -> DataFrame:
     """Each line with its kind (paragraph, title, list, text) and its label."""
     number = F.regexp_extract(text, r"^\s*\[(\d+)\]", 1)

@@ -75,6 +75,17 @@ def judgment_lines(spark: SparkSession, d: str) -> DataFrame:
     return top.unionByName(body).withColumn("line_no", F.col("line_no").cast("long"))
 
 
+def joined_cases(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, line_no, text: an intituling of two cases per customer with orders, each with its court file, matter and parties; every third has no parties."""
+    rows = sections(spark, d).filter("r = 1").join(t(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("land")), "nation")
+    sides = lambda a, b: ["BETWEEN", f"{{{a}}}", "Plaintiff", "AND", f"{{{b}}}", "Defendant"]
+    files = ["CIV-2014-404-{c}", "UNDER the {segment} Act"], ["CIV-2015-404-{o}", "IN THE MATTER OF order {o}"]
+    body = ["[1] Order {o} was made.", "BETWEEN", "nobody"]
+    both, alone = [*files[0], *sides("name", "land"), *files[1], *sides("land", "name"), *body], [files[0][1], "Registry of {land}", files[0][0], *body]
+    made = lambda lines: F.array(*map(_text, lines))
+    return rows.select(F.col("c").alias("doc_id"), F.posexplode(F.when(F.col("c") % 3 == 0, made(alone)).otherwise(made(both))).alias("line_no", "text"))
+
+
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of a page per order, one for each line item; two neighbours share a row, every fifth is small."""
     own = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("part"))

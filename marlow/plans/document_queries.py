@@ -11,7 +11,7 @@ from ..operators import annotate, cases, matcher
 from ..sources import pages
 from ..store import materialise
 from ..streaming import incremental
-from .acts import SECTIONS, judgment_lines
+from .acts import SECTIONS, joined_cases, judgment_lines
 from .relational_queries import t
 
 #: Phrases of number words and what they stand for.
@@ -94,6 +94,11 @@ def case_matters(spark: SparkSession, d: str) -> DataFrame:
     return cases.matters(judgment_lines(spark, d), "doc_id", "line_no", "text").select("doc_id", "qualifier", "value")
 
 
+def case_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Matters and parties that take turns, each set with its court file."""
+    return cases.matters_and_parties(joined_cases(spark, d), "doc_id", "line_no", "text").select("doc_id", "set", "kind", "label", "value", "court_file")
+
+
 def case_body(spark: SparkSession, d: str) -> DataFrame:
     return cases.body_kinds(judgment_lines(spark, d), "text").filter("line_no >= 10").select("doc_id", "line_no", "kind", "label")
 
@@ -187,7 +192,7 @@ def merged_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    dictionary_annotation, title_mentions, exclusive_split, canonical_links, text_to_num, number_words, plural_keys, field_extraction, party_split, party_roles, case_matters, case_body, paragraph_anchors, case_rules, judgment_tags, scraped_records, scraped_details, validation_rules,
+    dictionary_annotation, title_mentions, exclusive_split, canonical_links, text_to_num, number_words, plural_keys, field_extraction, party_split, party_roles, case_matters, case_sets, case_body, paragraph_anchors, case_rules, judgment_tags, scraped_records, scraped_details, validation_rules,
     crawled_records, sibling_walk, stale_merge, merged_state,
 )}
 
@@ -219,6 +224,10 @@ CASE k % 5 WHEN 0 THEN 's ' || k || '(' || n || ')' WHEN 1 THEN 's ' || k || '-'
     "party_split": f"SELECT c AS doc_id, name AS plaintiffs, n_name AS defendants FROM {SECTIONS} JOIN nation ON n_nationkey = nation WHERE r = 1",
     "party_roles": f"SELECT c AS doc_id, unnest(['plaintiffs', 'defendants']) AS role, unnest([name, n_name]) AS name, unnest(['plaintiff', 'defendant']) AS descriptor FROM {SECTIONS} JOIN nation ON n_nationkey = nation WHERE r = 1",
     "case_matters": f"SELECT c AS doc_id, 'UNDER' AS qualifier, 'the ' || segment || ' Act' AS value FROM {SECTIONS} WHERE r = 1",
+    "case_sets": f"""WITH h AS (SELECT c, o, segment, name, n_name AS land FROM {SECTIONS} JOIN nation ON n_nationkey = nation WHERE r = 1)
+SELECT c AS doc_id, CAST(unnest([1, 1, 1, 2, 2, 2]) AS BIGINT) AS set, unnest(['matter', 'party', 'party', 'matter', 'party', 'party']) AS kind, unnest(['UNDER', 'plaintiffs', 'defendants', 'IN THE MATTER OF', 'plaintiffs', 'defendants']) AS label,
+  unnest(['the ' || segment || ' Act', name, land, 'order ' || o, land, name]) AS value, unnest(['CIV-2014-404-' || c, 'CIV-2014-404-' || c, 'CIV-2014-404-' || c, 'CIV-2015-404-' || o, 'CIV-2015-404-' || o, 'CIV-2015-404-' || o]) AS court_file FROM h WHERE c % 3 <> 0
+UNION ALL SELECT c, 1, 'matter', 'UNDER', 'the ' || segment || ' Act Registry of ' || land, 'CIV-2014-404-' || c FROM h WHERE c % 3 = 0""",
     "case_body": f"""SELECT c AS doc_id, CAST(10 AS BIGINT) AS line_no, 'title' AS kind, CAST(NULL AS VARCHAR) AS label FROM {SECTIONS} WHERE r = 1
 UNION ALL SELECT c, unnest([9 + 2 * r, 10 + 2 * r]), unnest(['paragraph', 'list']), unnest([CAST(r AS VARCHAR), 'a']) FROM {SECTIONS}""",
     "paragraph_anchors": f"SELECT c AS doc_id, CAST(r AS INT) AS number, 9 + 2 * r AS place FROM {SECTIONS}",
