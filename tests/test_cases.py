@@ -49,3 +49,15 @@ def test_body_flags(spark):
     rows = spark.createDataFrame([("A quoted line", 120.0, 72.0, 10.0, False), ("FACTS", 72.0, 72.0, 12.0, False), ("(a) one;", 90.0, 72.0, 12.0, False), ("runs on to", 72.0, 72.0, 12.0, False)], "t string, l double, u double, f double, b boolean")
     got = [(r.is_quote, r.is_title, r.is_item, r.runs_on) for r in cases.body_flags(rows, "t", "l", "u", "f", "b").collect()]
     assert got == [(True, False, False, True), (False, True, False, False), (False, False, True, False), (False, False, False, True)]
+
+
+def test_matters_and_parties_take_turns(spark):
+    said = ["UNDER the Ships Act", "IN THE MATTER OF dues", "BETWEEN", "A", "AND", "B", "UNDER the Ports Act", "BETWEEN", "C", "CIV-2014-404-9", "UNDER the Tolls Act", None, "[1] Text", "UNDER nothing", "BETWEEN", "D"]
+    rows = [(1, i, x) for i, x in enumerate(said)] + [(2, 0, "BETWEEN"), (2, 1, "E"), (3, 0, None), (4, 0, "CIV-2014-404-1"), (4, 1, "x"), (4, 2, "UNDER the Ships Act")]
+    lines = spark.createDataFrame(rows, "doc long, n int, t string")
+    got = sorted((r.doc, r.set, r.place, r.kind, r.value, r.court_file) for r in cases.matters_and_parties(lines, "doc", "n", "t").withColumnRenamed("n", "place").collect())
+    assert got == [
+        (1, 1, 0, "matter", "the Ships Act", None), (1, 1, 1, "matter", "dues", None), (1, 1, 3, "party", "A", None), (1, 1, 5, "party", "B", None), (1, 2, 6, "matter", "the Ports Act", None), (1, 2, 8, "party", "C", None),
+        (1, 3, 10, "matter", "the Tolls Act", "CIV-2014-404-9"), (2, 1, 1, "party", "E", None), (4, 1, 2, "matter", "the Ships Act", "CIV-2014-404-1"),
+    ]
+    assert cases.matters_and_parties(lines.limit(0), "doc", "n", "t").count() == 0
