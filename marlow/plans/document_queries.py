@@ -34,10 +34,10 @@ def dictionary_annotation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """How often the whole words of a benchmark item occur in a document, case kept."""
+    """How often the whole words of benchmark items occur in a document, case kept; of copies one right after the other every second counts, for they share a blank."""
     items = t(spark, d, "benchmark").select("item_id", F.array_join(annotate.text_words(F.col("text")), " ").alias("term"))
     docs = t(spark, d, "documents").select("doc_id", "text")
-    return annotate.occurrences(docs, items, ["doc_id"], "text", "term").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return annotate.apart(annotate.every_occurrence(docs, items, ["doc_id"], "text", "term"), ["doc_id"]).groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 def exclusive_split(spark: SparkSession, d: str) -> DataFrame:
