@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import safe_date
+from ..functions.slices import sliced
 
 ROOT_SCHEMA = T.StructType([T.StructField("tag", T.StringType()), T.StructField("attributes", T.MapType(T.StringType(), T.StringType())), T.StructField("title", T.StringType())])
 
@@ -22,8 +23,7 @@ def xml_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.join(first, ["folder", "path"], "left_semi").withColumn("version", F.regexp_extract("folder", "([^/]+)$", 1).try_cast("double").cast("int"))
 
 
-@F.pandas_udf(ROOT_SCHEMA)
-def xml_root(xml: pd.Series) -> pd.DataFrame:
+def _roots(xml: pd.Series) -> pd.DataFrame:
     """The root's name and attributes, and the document's title; nulls where the text is not XML."""
     def one(x: str | None) -> tuple:
         try:
@@ -38,6 +38,9 @@ def xml_root(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in xml], columns=["tag", "attributes", "title"])
 
 
+xml_root = sliced(_roots, ROOT_SCHEMA, frame=True)
+
+
 def instruments(files: DataFrame, xml_col: str = "xml") -> DataFrame:
     """One row per document from its root attributes: fallbacks, flags by comparison, dates that may fail."""
     rows = files.withColumn("r", xml_root(xml_col))
