@@ -141,6 +141,22 @@ def stems(words: Column) -> Column:
     return F.zip_with(words, out, lambda w, s: F.when(F.length(w) > 2, F.lower(s)).otherwise(w))
 
 
+def beginnings(stem: str) -> list[str]:
+    """How any word with this stem begins: as the stem does, but for what a step puts in a suffix's place.
+
+    Of all that steps put, only ``e`` and ``i`` at the end, and ``le`` or ``l`` after a ``b`` (for
+    *-biliti*), need not stand in the word.
+    """
+    out = {stem}
+    if stem[-1:] in ("e", "i"):
+        out.add(stem[:-1])
+    if stem.endswith("ble"):
+        out.add(stem[:-2])
+    if stem.endswith("bl"):
+        out.add(stem[:-1])
+    return sorted(out)
+
+
 def stems_sql(table: str, word: str = "term", stem: str = "stem") -> str:
     """A query that adds a column of stems to a table with a column of words in small letters."""
     out = f"SELECT *, regexp_replace(regexp_replace({word}, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g') AS {stem} FROM {table}"

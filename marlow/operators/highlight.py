@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stemmer import stems
+from ..functions.stemmer import beginnings
 from .text import MARK, STOP_WORDS, stem
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -27,11 +27,11 @@ def offsets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, place, start, stop, term, stem): the words of every text; stop words have no stem."""
     words = F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1))
     own = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("ws"), F.split(text_col, WORD).alias("gaps"))
-    own = own.withColumn("terms", F.transform("ws", F.lower)).withColumn("stems", stems(F.col("terms")))
-    each = own.select("id", F.posexplode(F.arrays_zip("ws", F.slice("gaps", F.lit(1), F.size("ws")).alias("gap"), "terms", "stems")).alias("place", "x"))
+    each = own.select("id", F.posexplode(F.arrays_zip("ws", F.slice("gaps", F.lit(1), F.size("ws")).alias("gap"))).alias("place", "x"))
     size = F.length("x.ws")
     stop = F.sum(F.length("x.gap") + size).over(W.partitionBy("id").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    return each.select("id", "place", (stop - size).alias("start"), stop.alias("stop"), F.col("x.terms").alias("term"), F.when(~F.col("x.terms").isin(STOP_WORDS), F.col("x.stems")).alias("stem"))
+    own = each.select("id", "place", (stop - size).alias("start"), stop.alias("stop"), F.lower("x.ws").alias("term"))
+    return own.withColumn("stem", F.when(~F.col("term").isin(STOP_WORDS), stem(F.col("term"))))
 
 
 def clauses(query: str) -> list[list[tuple[str, str]]]:
@@ -56,7 +56,9 @@ def spans(index: DataFrame, query: str) -> DataFrame:
     found = index.sparkSession.range(1).select(*(stem(F.lit(w)).alias(w) for w in wanted)).first() if wanted else {}
 
     def test(kind: str, word: str) -> Column:
-        return F.col("term").startswith(word) if kind == "start" else F.col("term") == word if kind == "term" else F.col("stem") == found[word]
+        if kind == "stem":  # stemming is dear, so words that begin otherwise are not stemmed
+            return reduce(lambda a, b: a | b, [F.col("term").startswith(b) for b in beginnings(found[word])]) & (F.col("stem") == found[word])
+        return F.col("term").startswith(word) if kind == "start" else F.col("term") == word
 
     tests = [(c, k, len(clause), test(*part)) for c, clause in enumerate(asked) for k, part in enumerate(clause)]
     met = index.filter(reduce(lambda a, b: a | b, [hit for *_, hit in tests]))
