@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Anchors of a judgment's fields.
 FIELDS = {
@@ -182,20 +185,27 @@ def match(lines: DataFrame, key: str, place: str, text: str, rules: list[tuple[s
     ready = [(name, re.compile(_python(start)), re.compile(_python(stop)) if stop else None, more) for name, start, stop, more in rules]
     final = rules[-1][0]
     own = lines.select(key, F.col(place).cast("long").alias("place"), F.col(text).alias("text"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, now, out = rows.sort_values("place"), None, []
-        for line in rows["text"]:
-            said = line or ""
-            opened = next((r for r in ready if r[1].search(said)), None) if now is None or now[0] != final else None
-            if opened is not None:
-                now = opened
-            elif now is not None and (not now[3] or (now[2] is not None and now[2].search(said))):
-                now = None
-            out.append(None if now is None else now[0])
-        return rows.assign(rule=out)
-
-    return own.groupBy(key).applyInPandas(run, f"{own.schema.simpleString()[7:-1]}, rule string").select(key, "place", "rule", "text")
+    schema = T.StructType([*own.schema.fields, T.StructField("rule", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, now = object(), None
+        for batch in batches:
+            out = []
+            for k, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != of and (k == k or of == of):  # NaN is one key
+                    of, now = k, None
+                said = line or ""
+                opened = next((r for r in ready if r[1].search(said)), None) if now is None or now[0] != final else None
+                if opened is not None:
+                    now = opened
+                elif now is not None and (not now[3] or (now[2] is not None and now[2].search(said))):
+                    now = None
+                out.append(None if now is None else now[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], schema.names)
+
+    # the documents of a partition one after the other: a worker reads lines as they come
+    dealt = own.repartition(F.col(key)).sortWithinPartitions(key, F.asc_nulls_last("place"))
+    return dealt.mapInArrow(run, schema).select(key, "place", "rule", "text")
 
 
 def _python(pattern: str) -> str:
@@ -205,11 +215,10 @@ def _python(pattern: str) -> str:
 
 def assembled(matched: DataFrame, key: str, rules: list[tuple[str, str, str | None, bool]] = RULES) -> DataFrame:
     """One row per document, a column per rule in the table's order: the text of its lines, one under the other."""
-    def told(rule: str) -> Column:
-        own = F.array_sort(F.collect_list(F.when(F.col("rule") == rule, F.struct("place", F.coalesce("text", F.lit("")).alias("t")))))
-        return F.nullif(F.array_join(F.transform(own, lambda x: x["t"]), "\n"), F.lit("")).alias(rule)
-
-    return matched.groupBy(key).agg(*(told(name) for name, *_ in rules))
+    lines = F.array_sort(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("place", F.coalesce("text", F.lit("")).alias("t")))))
+    each = matched.repartition(F.col(key)).groupBy(key, "rule").agg(F.nullif(F.array_join(F.transform(lines, lambda x: x["t"]), "\n"), F.lit("")).alias("__said"))
+    told = each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("rule", "__said")))).alias("__told"))
+    return told.select(key, *(F.col("__told")[name].alias(name) for name, *_ in rules))
 
 
 def body_flags(lines: DataFrame, text: str, left: str, usual: str, font: str, bold: str) -> DataFrame:

@@ -61,3 +61,16 @@ def test_matters_and_parties_take_turns(spark):
         (1, 3, 10, "matter", "the Tolls Act", "CIV-2014-404-9"), (2, 1, 1, "party", "E", None), (4, 1, 2, "matter", "the Ships Act", "CIV-2014-404-1"),
     ]
     assert cases.matters_and_parties(lines.limit(0), "doc", "n", "t").count() == 0
+
+
+def test_rules_read_documents_one_after_the_other(spark):
+    """No call of Python a document: two documents that follow one another in a partition, a null key, and lines out of order."""
+    said = [(2, "[1] Second."), (1, "Hearing: 3 May"), (3, None)]
+    rows = [(d, n, x) for d in (1, 2, None) for n, x in said] + [(4, 1, "loose")]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no long, text string")
+    got = cases.match(lines, "doc_id", "line_no", "text")
+    assert "InPandas" not in got._jdf.queryExecution().sparkPlan().toString()
+    want = {(d, n): r for d in (1, 2, None) for n, r in ((1, "hearing"), (2, "body"), (3, "body"))} | {(4, 1): None}
+    assert {(r.doc_id, r.place): r.rule for r in got.collect()} == want
+    told = {r.doc_id: (r.hearing, r.body) for r in cases.assembled(got, "doc_id").collect()}
+    assert told == dict.fromkeys((1, 2, None), ("Hearing: 3 May", "[1] Second.\n")) | {4: (None, None)}
