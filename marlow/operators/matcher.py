@@ -163,8 +163,8 @@ class Automaton:
         return out
 
 
-def hits(lines: DataFrame, key: str, place: str, text: str, patterns: list[str]) -> DataFrame:
-    """(key, place, at, rule): where a pattern ends, by the line's place, the character's in it (its length for the line feed) and the pattern's number.
+def hits(lines: DataFrame, key: str, place: str, text: str, patterns: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, place, at, rule, and ``carried`` columns of the line): where a pattern ends, by the line's place, the character's in it (its length for the line feed) and the pattern's number.
 
     A null text is an empty line; a line without a key belongs to no document and has no hits.
     """
@@ -174,14 +174,14 @@ def hits(lines: DataFrame, key: str, place: str, text: str, patterns: list[str])
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(automaton.run([x or "" for x in s]))
 
-    rows = lines.filter(F.col(key).isNotNull()).select(key, F.col(place).cast("long").alias("place"), run(F.coalesce(text, F.lit(""))).alias("runs"))
+    rows = lines.filter(F.col(key).isNotNull()).select(key, F.col(place).cast("long").alias("place"), *carried, run(F.coalesce(text, F.lit(""))).alias("runs"))
     entry = F.lit(0)
     if len(automaton.starts) > 1:
         rows = _entered(rows, key)
         entry = F.col("entry")
     said = F.get("runs", entry)
     found = F.transform(F.sequence(F.lit(1), F.size("said") - 2, F.lit(2)), lambda i: F.struct(F.get("said", i).alias("rule"), F.get("said", i + 1).alias("at")))
-    return rows.select(key, "place", said.alias("said")).filter(F.size("said") > 2).select(key, "place", F.explode(found).alias("x")).select(key, "place", "x.at", "x.rule")
+    return rows.select(key, "place", *carried, said.alias("said")).filter(F.size("said") > 2).select(key, "place", *carried, F.explode(found).alias("x")).select(key, "place", "x.at", "x.rule", *carried)
 
 
 def _entered(rows: DataFrame, key: str) -> DataFrame:
@@ -230,10 +230,9 @@ def apply_rules(lines: DataFrame, key: str, place: str, text: str, rules: list[R
     bit = lambda tag: 1 << TAGS.index(tag)
     mask = lambda tags: sum(bit(t) for t in set(tags))
     named = sorted({t.test if isinstance(t, Not) else t for r in rules for x in r.tests for t in (x.tests if isinstance(x, Or) else (x,))} - set(OPEN_TESTS))
-    found = hits(lines, key, place, text, [r.pattern for r in rules])
-    faces = lines.select(key, F.col(place).cast("long").alias("place"), *named)
+    found = hits(lines, key, place, text, [r.pattern for r in rules], tuple(named)).filter("place is not null")
     per_rule = lambda values: F.get(F.array(*values), F.col("rule"))
-    told = found.join(faces, [key, "place"]).select(
+    told = found.select(
         key, "place", "at", "rule", per_rule([_clauses(r, bit) for r in rules]).alias("clauses"), per_rule([F.lit(mask(r.open)) for r in rules]).alias("opens"), per_rule([F.lit(mask(r.close)) for r in rules]).alias("closes")
     )
     start = F.struct(F.lit(mask(first)).alias("tags"), F.array().cast("array<struct<place:bigint,at:int,rule:int,counts:boolean,tags:int>>").alias("out"))

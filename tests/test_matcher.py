@@ -88,3 +88,12 @@ def test_tagged_lines(judgments):
         for i in range(len(lines)):
             now = said.get(i, now)
             assert got[d, i] == now
+
+
+def test_rules_take_a_lines_faces_along(spark):
+    """Hits carry what their lines are like: lines are read once, and not joined with themselves."""
+    rules = [matcher.Rule("a", ("body",), (), ("is_bold",))]
+    lines = spark.createDataFrame([(1, 1, "xa", True), (1, 2, "a", None), (1, None, "a", True), (2, 1, "b", True)], "d long, n long, t string, is_bold boolean")
+    got = matcher.apply_rules(lines, "d", "n", "t", rules)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.d, r.place, r.at, r.counts) for r in got.collect()) == [(1, 1, 1, True), (1, 2, 0, False)]
