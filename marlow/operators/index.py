@@ -31,7 +31,9 @@ def build(docs: DataFrame, id_col: str, mappings: dict[str, list[str]] = MAPPING
     """(field, analyzer, term, id, tf, length, places): the inverted index of all mapped fields that the table has."""
     fields = [(f, a) for f, analyzers in mappings.items() if f in docs.columns for a in analyzers]
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(a).alias("analyzer"), analysed(F.coalesce(F.col(f), F.lit("")), a).alias("ts")) for f, a in fields))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(each).alias("x")).select("id", "x.field", "x.analyzer", F.size("x.ts").alias("length"), F.posexplode("x.ts").alias("place", "term"))
+    # the documents are dealt before they are taken to pieces: a task groups the words of its own documents, and words are not shuffled
+    dealt = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    rows = dealt.select(F.col(id_col).alias("id"), F.explode(each).alias("x")).select("id", "x.field", "x.analyzer", F.size("x.ts").alias("length"), F.posexplode("x.ts").alias("place", "term"))
     return rows.groupBy("field", "analyzer", "term", "id", "length").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
 
 

@@ -78,3 +78,12 @@ def test_random_texts_and_long_ones(spark):
     for r in highlight.fragments(docs, "id", "t", found, number=3, size=11).collect():
         rows.setdefault(r.id, []).append((r.tile, r.fragment))
     assert {i: sorted(f) for i, f in rows.items()} == {i: sorted(plain_fragments(t, want[i], 3, 11)) for i, t in enumerate(texts)}
+
+
+def test_an_index_of_documents_shuffles_no_words(spark):
+    from marlow.operators import index
+
+    docs = spark.createDataFrame([(1, "red ring red"), (2, "ring")], "id long, title string")
+    built = index.build(docs, "id", {"title": ["simple"]})
+    assert built._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.term, r.id, r.tf, r.length, r.places) for r in built.collect()) == [("red", 1, 2, 3, [0, 2]), ("ring", 1, 1, 3, [1]), ("ring", 2, 1, 1, [0])]
