@@ -134,12 +134,14 @@ def _rings(edges: DataFrame) -> DataFrame:
     """(child, parent, ring): the edges on a cycle, with the least node that they are on a cycle with."""
     left = _edges(edges)
     size, now = -1, left.count()
-    while now and now != size:  # peel nodes without a way in or out for as long as that halves the edges
+    while now and now != size:  # peel nodes without a way in or out for as long as that takes a quarter of the edges
         parents, children = left.select(F.col("parent").alias("child")).distinct(), left.select(F.col("child").alias("parent")).distinct()
         left = materialise(left.join(parents, "child", "left_semi").join(children, "parent", "left_semi").select("child", "parent"), "peeled")
         size, now = now, left.count()
-        if 2 * now > size:
+        if 4 * now > 3 * size:
             break
+    if not now:
+        return left.withColumn("ring", F.col("child"))
     above = closure(left)
     mutual = above.join(above.select(F.col("child").alias("parent"), F.col("parent").alias("child")), ["child", "parent"], "left_semi")
     ring = mutual.groupBy("child").agg(F.min("parent").alias("ring"))
@@ -155,17 +157,18 @@ def break_cycles(edges: DataFrame, age: str) -> DataFrame:
     """Edges without cycles: of the cyclic ones, the one with the least ``age`` goes, again and again.
 
     Cycles that share no node don't touch each other's order, so each set of nodes that reach one
-    another loses an edge a round.
+    another loses an edge a round. Cycles that are left lie among the edges that were on one before.
     """
-    edges = materialise(edges, "dated-edges")
+    left = edges = materialise(edges, "dated-edges")
+    gone = []
     while True:
-        bad = materialise(_rings(edges), "rings")
+        bad = materialise(_rings(left), "rings")
         if bad.isEmpty():
-            return edges
-        dated = edges.join(bad, ["child", "parent"])
+            return edges.join(reduce(DataFrame.unionByName, gone), ["child", "parent"], "left_anti") if gone else edges
+        dated = left.join(bad, ["child", "parent"])
         first = F.struct(F.col(age).isNull(), F.col(age), "child", "parent")
-        worst = dated.groupBy("ring").agg(F.min(first).alias("x")).select("x.child", "x.parent")
-        edges = materialise(edges.join(worst, ["child", "parent"], "left_anti"), "dated-edges")
+        gone.append(materialise(dated.groupBy("ring").agg(F.min(first).alias("x")).select("x.child", "x.parent"), "broken"))
+        left = materialise(dated.drop("ring").join(gone[-1], ["child", "parent"], "left_anti"), "dated-edges")
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:

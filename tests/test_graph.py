@@ -62,3 +62,13 @@ def test_cycles_against_brute_force(spark):
     assert {(r.child, r.parent) for r in graph.break_cycles(rows, "age").collect()} == brute(edges, "age")
     bridge = table(spark, [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)])  # an edge from a cycle to a cycle is on none
     assert sorted(graph.cyclic_edges(bridge).collect()) == [(1, 2), (2, 1), (3, 4), (4, 3)]
+
+
+def test_trees_under_cycles_are_peeled_before_ways_are_paired(spark, monkeypatch):
+    edges = [(k, k // 2) for k in range(8, 512)] + [(a, b) for k in range(4, 8) for a, b in ((k, k + 10000), (k + 10000, k))]
+    sizes, closure = [], graph.closure
+    monkeypatch.setattr(graph, "closure", lambda e: sizes.append(e.count()) or closure(e))
+    rows = table(spark, [(c, p, c) for c, p in edges], "child long, parent long, age int")
+    left = {(r.child, r.parent) for r in graph.break_cycles(rows, "age").collect()}
+    assert left == set(edges) - {(k, k + 10000) for k in range(4, 8)}
+    assert len(sizes) == 1 and sizes[0] < 60  # of 512 edges, and not again once the cycles are gone
