@@ -30,6 +30,13 @@ def terms(text: Column) -> Column:
     return stems(F.filter(tokens(text), lambda w: ~w.isin(STOP_WORDS)))
 
 
+def stemmed_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, term, n, stem): how often each text has each token that is no stop word. A word is stemmed once, however many texts have it."""
+    kept = F.filter(tokens(F.col(text_col)), lambda w: ~w.isin(STOP_WORDS))
+    own = materialise(docs.select(id_col, F.explode(kept).alias("term")).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("n")), "words")
+    return own.join(own.select("term").distinct().select("term", stem(F.col("term")).alias("stem")), "term")
+
+
 def stem(word: Column) -> Column:
     """The English stem of one word."""
     return F.get(stems(F.array(word)), F.lit(0))

@@ -119,8 +119,8 @@ def ranked_search(spark: SparkSession, d: str) -> DataFrame:
 
 def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
     """Documents and occurrences of every English stem in the documents' texts."""
-    own = t(spark, d, "documents").select("doc_id", F.explode(tx.terms(F.col("text"))).alias("term"))
-    return own.groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count(F.lit(1)).alias("cf"))
+    own = tx.stemmed_words(t(spark, d, "documents"), "doc_id", "text")
+    return own.groupBy(F.col("stem").alias("term")).agg(F.countDistinct("doc_id").alias("df"), F.sum("n").alias("cf"))
 
 
 def term_counts(spark: SparkSession, d: str) -> DataFrame:

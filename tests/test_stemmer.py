@@ -96,3 +96,23 @@ def test_made_up_words(spark):
     got, sql = both(spark, words)
     assert got == sql
     assert got == [plain(w) for w in words]
+
+
+def test_words_begin_as_their_stems_say(spark):
+    from itertools import product
+
+    from marlow.functions.stemmer import STEP_1A, STEP_2, STEP_3, STEP_4, beginnings
+
+    heads = ["", "b", "er", "ap", "hop", "rel", "conf", "sky", "ay", "posit", "troub", "oscill"]
+    ends = ["", "s", "ed", "ing", "eed", "y", "ies", "ly", "e", "ll", "bility", "ency", "ancy", "abilities", "izing", "ating", "bling", "fulness"] + [a for a, *_ in STEP_1A + STEP_2 + STEP_3 + STEP_4]
+    words = sorted({h + a + b for h, a, b in product(heads, ends, ends)})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.get(stems(F.array("w")), F.lit(0)).alias("s")).collect()
+    assert len(rows) > 20000 and [r for r in rows if not any(r.w.startswith(b) for b in beginnings(r.s))] == []
+
+
+def test_a_word_is_stemmed_once(spark):
+    from marlow.operators import text as tx
+
+    docs = spark.createDataFrame([(1, "Running the runs, run"), (2, "runs"), (3, None), (None, "running")], "id long, text string")
+    own = tx.stemmed_words(docs, "id", "text")
+    assert sorted((r.id or 0, r.term, r.n, r.stem) for r in own.collect()) == [(0, "running", 1, "run"), (1, "run", 1, "run"), (1, "running", 1, "run"), (1, "runs", 1, "run"), (2, "runs", 1, "run")]
