@@ -12,7 +12,7 @@ from .relational_queries import t
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, n, part: an order's lines, once each."""
-    return t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("part"))
+    return layout.dealt(t(spark, d, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("part"))
 
 
 NUMBERED = "(SELECT l_orderkey AS doc_id, l_linenumber AS n, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2)"

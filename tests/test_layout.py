@@ -104,3 +104,17 @@ def test_rows_overlap_in_steps(spark):
     boxes = [(1, 0, "tall", 72.0, 90.0, 700.0, 660.0, 12.0), (1, 0, "a", 100.0, 200.0, 699.0, 690.0, 12.0), (1, 0, "b", 100.0, 200.0, 680.0, 670.0, 12.0), (1, 0, "c", 100.0, 200.0, 660.0, 650.0, 12.0)]
     got = layout.rows(spark.createDataFrame(boxes, SCHEMA)).orderBy("row").collect()
     assert [(r.text, r.n_boxes) for r in got] == [("tall a b", 3), ("c", 1)]
+
+
+def test_what_a_task_sorts_does_not_grow_with_the_boxes(spark, monkeypatch):
+    """Four times as many rows are dealt to four times as many partitions, and nothing gathers them again."""
+    from marlow.plans import registry
+
+    query = registry.QUERIES["layout_blocks"]
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    rows = sorted(query(spark, "/root/testdata/sf0.001").collect())
+    for held in (256, 64):
+        monkeypatch.setattr(layout, "DEALT", held, raising=False)
+        found = query(spark, "/root/testdata/sf0.001")
+        assert found.rdd.getNumPartitions() >= lines // held
+        assert sorted(found.collect()) == rows
